@@ -48,18 +48,27 @@ def matrix_of(vectors: pa.Array) -> np.ndarray:
 def above_own_mean(matrix: np.ndarray) -> np.ndarray:
     """True where an entry is strictly above its row's mean.
 
-    Compares ``x * D`` with the sum, so no division rounds a constant row upwards.
+    Compares ``x * D`` with the sum, in integers: a float row is first scaled by a
+    power of two that keeps its leading bits.  So the order of the sum, the scale of
+    the row and rounding play no part, and a constant row has no entry above its mean.
     """
     dim = matrix.shape[1]
-    if matrix.dtype.kind == "f":
+    if matrix.dtype.kind == "f" and matrix.size:
         wide = matrix.astype(np.float64)
+        _, exponent = np.frexp(np.abs(wide).max(axis=1))
+        wide = np.rint(np.ldexp(wide, (scaled_bits(dim) - exponent)[:, None])).astype(np.int64)
     else:
         wide = matrix.astype(np.int64)
-        if wide.size and max(abs(int(wide.max())), abs(int(wide.min()))) >= 2**62 // max(dim, 1):
+        if wide.size and max(abs(int(wide.max())), abs(int(wide.min()))) >= 2**62 // dim:
             wide = wide.astype(object)
     return (wide * dim > wide.sum(axis=1)[:, None]).astype(bool)
 
 
+def scaled_bits(dim: int) -> int:
+    """Bits an entry may have so that D of them add up inside a long."""
+    return min(53, 62 - max(dim - 1, 1).bit_length())
+
+
 def pack_words(flags: np.ndarray) -> np.ndarray:
     """Bit i of a row goes to word i/64, bit i%64."""
     rows, dim = flags.shape
@@ -206,24 +215,31 @@ def to_fixed(x: Column) -> Column:
     return F.floor(x.cast("double") * F.lit(FIXED_ONE) + F.lit(0.5))
 
 
-def binarize(vector: Column) -> Column:
-    """Expression twin of ``vector_bits`` for small inputs; the size is taken from each vector."""
-    wide = vector.cast("array<double>")
-    total = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)
+def binarize(vector: Column, dim: int) -> Column:
+    """Expression twin of ``vector_bits`` for small inputs, without a Python worker."""
+    wide = F.when(F.size(vector) == dim, vector.cast("array<double>")).otherwise(
+        F.raise_error(F.lit(f"a vector has not {dim} entries")).cast("array<double>")
+    )
+    largest = F.array_max(F.transform(wide, lambda x: F.abs(x)))
+    # A power of two that brings the largest entry close to, but not over, the allowed bits.
+    scale = F.pow(F.lit(2.0), scaled_bits(dim) - 1 - F.ceil(F.log2(F.nullif(largest, F.lit(0.0)))))
+
+    def words(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + x)
+        return let(total, lambda s: F.array(*[word(v, s, w) for w in range(-(-dim // WORD_BITS))]))
 
-    def word(v: Column, s: Column, w: Column) -> Column:
-        piece = F.slice(v, w * WORD_BITS + 1, F.lit(WORD_BITS))
+    def word(v: Column, s: Column, w: int) -> Column:
         flags = F.transform(
-            piece,
-            lambda x, i: F.when(x * F.size(v) > s, F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
-            .otherwise(F.lit(0).cast("bigint")),
+            F.slice(v, w * WORD_BITS + 1, WORD_BITS),
+            lambda x, i: F.when(x * dim > s, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(0),
         )
         return F.aggregate(flags, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
-    words = F.when(F.size(wide) == 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), F.floor((F.size(wide) - 1) / WORD_BITS).cast("int"))
+    scaled = let(
+        F.coalesce(scale, F.lit(1.0)),
+        lambda factor: F.transform(wide, lambda x: F.rint(x * factor).cast("bigint")),
     )
-    return let(total, lambda s: F.transform(words, lambda w: word(wide, s, w)))
+    return let(scaled, words)
 
 
 def bit_string(words: Column, dim: int) -> Column:

@@ -34,14 +34,13 @@ def _sign_bits(tokens: Sequence[str], digests_per_token: int) -> np.ndarray:
     known = _digests.setdefault(digests_per_token, {})
     if len(known) > CACHED_TOKENS:
         known.clear()
+    suffixes = [b"#%d" % k for k in range(digests_per_token)]
     rows = []
     for token in tokens:
         row = known.get(token)
         if row is None:
-            row = b"".join(
-                hashlib.md5(f"{token}#{k}".encode()).digest() for k in range(digests_per_token)
-            )
-            known[token] = row
+            data = token.encode()
+            row = known[token] = b"".join([hashlib.md5(data + suffix).digest() for suffix in suffixes])
         rows.append(row)
     packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
     return np.unpackbits(packed, axis=1)

@@ -113,11 +113,13 @@ def expand_queries(
     the documented defaults, and a query without an answer falls back.
     """
     query = F.col("query")
+    base = queries.withColumn("category", fallback_category(query))
     if templates is None:
-        anchors = repeat_anchor(query, num)
+        base = base.withColumn("anchors", repeat_anchor(query, num))
     else:
-        anchors = F.transform(_template_array(templates), lambda t: F.replace(t, F.lit("{query}"), query))
-    base = queries.withColumn("category", fallback_category(query)).withColumn("anchors", anchors)
+        base = base.withColumn("anchors", _template_array(templates)).withColumn(
+            "anchors", F.transform("anchors", lambda t: F.replace(t, F.lit("{query}"), query))
+        )
     if answers is None:
         return base.drop("query")
     given = answers.select(

@@ -62,12 +62,19 @@ def load_bank(filters: DataFrame, limit: int = BANK_FILTERS) -> B.FilterBank | N
 
 
 def _waves(filters: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """Filters spread over waves of about half the limit each, stored once."""
+    """Filters, stored once, spread over waves of at most ``limit`` each."""
     shared_dir(filters.sparkSession)
     stored = filters.select(F.col("ord").cast("long").alias("ord"), "category", "dim", "bits").checkpoint()
-    count = stored.count()
+    count, distinct = stored.agg(F.count("ord"), F.count_distinct("ord")).first()
+    if count != distinct:
+        raise ValueError("filter ord values must be unique")
     waves = max(1, -(-2 * count // limit))
-    return stored.withColumn("wave", F.pmod(F.xxhash64("ord"), F.lit(waves))), waves
+    while True:
+        waved = stored.withColumn("wave", F.pmod(F.xxhash64("ord"), F.lit(waves)))
+        largest = waved.groupBy("wave").count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= limit:
+            return waved, waves
+        waves *= 2
 
 
 def nearest_filter(
@@ -96,9 +103,7 @@ def nearest_filter(
     current = rows.withColumn("__bits", to_bits()).withColumn("__best", F.lit(None).cast(kind)).checkpoint()
     dim = 0
     for wave in range(waves):
-        table = waved.filter(F.col("wave") == wave).withColumn("category", F.lit("")).limit(limit + 1).toArrow()
-        if table.num_rows > limit:
-            raise ValueError("filter ord values must be unique")
+        table = waved.filter(F.col("wave") == wave).withColumn("category", F.lit("")).toArrow()
         if table.num_rows == 0:
             continue
         bank = _to_bank(table)

@@ -39,6 +39,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows cost enough to be worth spreading when it has few splits."""
+    return spread(table(spark, folder, name))
+
+
 # ---------------------------------------------------------------- vectors and matching
 def _label_anchors(spark, folder) -> DataFrame:
     rows = table(spark, folder, "embeddings")
@@ -178,13 +183,13 @@ def trim_stream_embeddings(spark, folder):
 # ---------------------------------------------------------------- text
 @query
 def normalize_docs(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return docs.select("doc_id", T.normalize_text(F.col("text")).alias("content"))
 
 
 @query
 def doc_lines(spark, folder):
-    files = table(spark, folder, "documents").select(
+    files = texts(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("content")
     )
     return extract.extract_txt_lines(files)
@@ -199,7 +204,7 @@ def decode_docs(spark, folder):
 
 @query
 def clean_lines(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     rows = docs.select("doc_id", F.col("source").alias("filename"), F.col("lang").alias("category"), "text")
     line = T.render_line(F.col("filename"), F.col("category"), F.col("text"))
     return rows.select("doc_id", line.alias("line"))
@@ -207,7 +212,7 @@ def clean_lines(spark, folder):
 
 @query
 def scored_lines(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     score = F.lit(1.0) - F.pmod(F.col("n_chars"), F.lit(384)) / F.lit(384.0)
     return docs.select("doc_id", T.render_scored_line(F.col("lang"), score, F.col("text")).alias("line"))
 
@@ -215,7 +220,7 @@ def scored_lines(spark, folder):
 @query
 def union_corpus(spark, folder):
     def part(name, key, text):
-        rows = table(spark, folder, name)
+        rows = texts(spark, folder, name)
         return rows.select(F.lit(name).alias("filename"), F.col(key).alias("row_no"), T.normalize_text(F.col(text)).alias("content"))
 
     return extract.union_extracts(
@@ -225,7 +230,7 @@ def union_corpus(spark, folder):
 
 @query
 def longest_prop(spark, folder):
-    files = table(spark, folder, "events").select(
+    files = texts(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("filename"), F.col("props").alias("content")
     )
     return extract.extract_json(files).select("filename", "content")
@@ -233,7 +238,7 @@ def longest_prop(spark, folder):
 
 @query
 def json_turns(spark, folder):
-    turns = table(spark, folder, "conversations")
+    turns = texts(spark, folder, "conversations")
     name = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     files = turns.select(name.alias("filename"), F.to_json(F.struct("role", "text")).alias("content"))
     return extract.extract_json(files).select("filename", "content")
@@ -247,7 +252,7 @@ def _numbered_lines() -> F.Column:
 
 @query
 def json_lines(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", _numbered_lines().alias("lines"))
+    docs = texts(spark, folder, "documents").select("doc_id", _numbered_lines().alias("lines"))
     files = docs.select(F.col("doc_id").cast("string").alias("filename"), F.to_json("lines").alias("content"))
     return extract.extract_json(files)
 
@@ -259,7 +264,7 @@ def csv_lines(spark, folder):
         _numbered_lines(),
         lambda line: F.concat(line["n"], F.lit(',"'), F.replace(line["body"], F.lit('"'), F.lit('""')), F.lit('"')),
     )
-    docs = table(spark, folder, "documents").select("doc_id", quoted.alias("records"))
+    docs = texts(spark, folder, "documents").select("doc_id", quoted.alias("records"))
     content = F.concat(F.lit("n,body\r\n"), F.array_join("records", "\r\n"))
     files = docs.select(F.col("doc_id").cast("string").alias("filename"), content.alias("content"))
     return extract.extract_csv_longest(files)
@@ -415,10 +420,10 @@ def _benchmark_filters(spark, folder) -> DataFrame:
 @query
 def hash_tokens(spark, folder):
     """The sign bits of every distinct token, as the encoder sees them."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     tokens = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")).alias("token"))
-    signs = F.transform(B.embed_text(ENCODER)("token"), lambda x: F.when(x > 0, F.lit("1")).otherwise(F.lit("0")))
-    return tokens.distinct().select("token", F.array_join(signs, "").alias("signs"))
+    bits = B.text_bits(ENCODER)("token")
+    return tokens.distinct().select("token", B.bit_string(bits, ENCODER.dim).alias("signs"))
 
 
 @query

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bits import let
 from ..functions.text import normalize_text, split_lines
 
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
+JSON_SPACE = " \t\n\r"
 
 
 # ---------------------------------------------------------------- lines
@@ -95,6 +97,18 @@ def _longest_key(first_object: Column) -> Column:
     return F.array_max(sized)["key"]
 
 
+def _last_values(parsed: Column) -> Column:
+    """An object that repeats a key keeps the key's first place and its last value."""
+
+    def last_value(key: Column) -> Column:
+        return F.element_at(F.filter(F.map_entries(parsed), lambda entry: entry["key"] == key), -1)["value"]
+
+    keys = F.array_distinct(F.map_keys(parsed))
+    return F.when(F.size(keys) == F.size(parsed), parsed).otherwise(
+        F.map_from_arrays(keys, F.transform(keys, last_value))
+    )
+
+
 def json_values(text: Column) -> Column:
     """Values of one key of a JSON list of objects, or the longest value of one object.
 
@@ -107,25 +121,36 @@ def json_values(text: Column) -> Column:
 
     def document(kind: str) -> Column:
         parsed = F.from_json(wrapped, f"array<{kind}>", JSON_OPTIONS)
-        return F.when(F.size(parsed) == 1, parsed[0])
+        return let(parsed, lambda roots: F.when(F.size(roots) == 1, F.get(roots, F.lit(0))))
+
+    def object_or_null(item: Column) -> Column:
+        return F.when(item.startswith("{"), F.from_json(item, "map<string,string>", JSON_OPTIONS))
 
-    objects = document("array<map<string,string>>")
     # A list that mixes objects with other items: the other items are passed over.
-    mixed = F.filter(
-        F.transform(
-            document("array<string>"),
-            lambda item: F.when(item.startswith("{"), F.from_json(item, "map<string,string>", JSON_OPTIONS)),
+    mixed = let(
+        document("array<string>"),
+        lambda items: F.when(
+            F.get(items, F.lit(0)).startswith("{"),
+            F.filter(F.transform(items, object_or_null), lambda item: item.isNotNull()),
         ),
-        lambda item: item.isNotNull(),
     )
-    first_is_object = F.ltrim(F.substring(F.ltrim(text, F.lit(" \t\n\r")), 2, 1 << 30), F.lit(" \t\n\r")).startswith("{")
-    items = F.coalesce(objects, F.when(first_is_object, mixed))
-    key = _longest_key(F.get(items, F.lit(0)))
-    from_list = F.filter(F.transform(items, lambda o: F.try_element_at(o, key)), lambda v: v.isNotNull())
-    single = document("map<string,string>")
-    from_object = F.array(F.try_element_at(single, _longest_key(single)))
-    opening = F.substring(F.ltrim(text, F.lit(" \t\n\r")), 1, 1)
-    return F.when(opening == "[", from_list).when(opening == "{", from_object)
+
+    def of_list(items: Column) -> Column:
+        return let(
+            _longest_key(_last_values(F.get(items, F.lit(0)))),
+            lambda key: F.filter(
+                F.transform(items, lambda item: F.try_element_at(_last_values(item), key)),
+                lambda value: value.isNotNull(),
+            ),
+        )
+
+    def of_object(single: Column) -> Column:
+        return F.array(F.try_element_at(single, _longest_key(single)))
+
+    opening = F.substring(F.ltrim(text, F.lit(JSON_SPACE)), 1, 1)
+    return F.when(
+        opening == "[", let(F.coalesce(document("array<map<string,string>>"), mixed), of_list)
+    ).when(opening == "{", let(_last_values(document("map<string,string>")), of_object))
 
 
 # ---------------------------------------------------------------- whole files

@@ -82,6 +82,7 @@ def scan_data_csv(
         .option("escape", '"')
         .option("multiLine", str(multi_line).lower())
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", "false")  # else a short row is not seen as one
         .option("columnNameOfCorruptRecord", "raw")
         .csv(path)
         .select(*names, "raw")
