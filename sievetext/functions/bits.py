@@ -48,20 +48,29 @@ def matrix_of(vectors: pa.Array) -> np.ndarray:
 def above_own_mean(matrix: np.ndarray) -> np.ndarray:
     """True where an entry is strictly above its row's mean.
 
-    Compares ``x * D`` with the sum, in integers: a float row is first scaled by a
-    power of two that keeps its leading bits.  So the order of the sum, the scale of
-    the row and rounding play no part, and a constant row has no entry above its mean.
+    Works in integers, where ``x > sum / D`` is ``x > floor(sum / D)``: a float row is
+    first scaled by a power of two that keeps its leading bits.  So the order of the
+    sum, the scale of the row and rounding play no part, and a constant row has no
+    entry above its mean.  A row that is not finite has none either.
     """
-    dim = matrix.shape[1]
-    if matrix.dtype.kind == "f" and matrix.size:
+    rows, dim = matrix.shape
+    if not matrix.size:
+        return np.zeros((rows, dim), dtype=bool)
+    largest, smallest = matrix.max(axis=1), matrix.min(axis=1)
+    if matrix.dtype.kind == "f":
+        reach = np.maximum(largest, -smallest).astype(np.float64)
+        finite = np.isfinite(reach)
         wide = matrix.astype(np.float64)
-        _, exponent = np.frexp(np.abs(wide).max(axis=1))
-        wide = np.rint(np.ldexp(wide, (scaled_bits(dim) - exponent)[:, None])).astype(np.int64)
+        if not finite.all():
+            wide[~finite] = 0.0
+        _, exponent = np.frexp(np.where(finite, reach, 0.0))
+        wide *= np.ldexp(1.0, scaled_bits(dim) - np.maximum(exponent, -900))[:, None]
+        whole = np.rint(wide, out=wide).astype(np.int64)
     else:
-        wide = matrix.astype(np.int64)
-        if wide.size and max(abs(int(wide.max())), abs(int(wide.min()))) >= 2**62 // dim:
-            wide = wide.astype(object)
-    return (wide * dim > wide.sum(axis=1)[:, None]).astype(bool)
+        whole = matrix.astype(np.int64, copy=False)
+        if max(abs(int(largest.max())), abs(int(smallest.min()))) >= 2**62 // dim:
+            whole = whole.astype(object)
+    return (whole > (whole.sum(axis=1) // dim)[:, None]).astype(bool)
 
 
 def scaled_bits(dim: int) -> int:
@@ -106,13 +115,13 @@ class FilterBank:
         dist = np.zeros(len(rows), dtype=np.int32)
         step = max(1, ROWS_TIMES_FILTERS // max(1, len(self.ords)))
         for start in range(0, len(rows), step):
-            part = rows[start : start + step]
-            total = np.zeros((len(part), len(self.ords)), dtype=np.int32)
-            for w in range(part.shape[1]):
-                total += np.bitwise_count(part[:, w, None] ^ self.words[None, :, w])
-            best = total.argmin(axis=1)
+            columns = np.ascontiguousarray(rows[start : start + step].T)
+            total = np.zeros((len(self.ords), columns.shape[1]), dtype=np.int32)
+            for w, column in enumerate(columns):
+                total += np.bitwise_count(column[None, :] ^ self.words[:, w, None])
+            best = total.argmin(axis=0)
             where[start : start + step] = best
-            dist[start : start + step] = total[np.arange(len(part)), best]
+            dist[start : start + step] = total[best, np.arange(len(best))]
         return where, dist
 
     def match(self, rows: np.ndarray, dim: int) -> pa.Array:

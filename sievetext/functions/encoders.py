@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
 DIGEST_BITS = 128
-TOKENS_PER_BLOCK = 1 << 16
+TOKENS_PER_BLOCK = 1 << 17
 CACHED_TOKENS = 1 << 18
 
 # Per Python worker: token -> packed sign bits, one dictionary per digest count.
@@ -65,23 +65,32 @@ class HashEncoder:
         words = pc.split_pattern_regex(pc.utf8_lower(texts), TOKEN_SEPARATOR)
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
         flat = words.flatten()
-        sums = np.zeros((len(texts), self.dim), dtype=np.int64)
+        # A token counts +1 or -1 per entry, so a sum is 2 * (number of ones) - (number of tokens).
+        ones = np.zeros((len(texts), self.dim), dtype=np.int64)
+        tokens = np.zeros(len(texts), dtype=np.int64)
         # Blocks bound the memory of one step whatever the batch or text length.
         for start in range(0, len(flat), TOKENS_PER_BLOCK):
             block = flat.slice(start, TOKENS_PER_BLOCK).dictionary_encode()
-            tokens = block.dictionary.to_pylist()
+            distinct = block.dictionary
             codes = block.indices.to_numpy()
-            signs = _sign_bits(tokens, self.dim // DIGEST_BITS).astype(np.int8) * 2 - 1
-            if "" in tokens:  # the split leaves empty strings at the ends
-                signs[tokens.index("")] = 0
-            stop = start + len(codes)
-            first = np.searchsorted(bounds, start, side="right") - 1
-            last = np.searchsorted(bounds, stop, side="left")
-            for row in range(first, last):
-                lo, hi = max(bounds[row], start) - start, min(bounds[row + 1], stop) - start
-                if hi > lo:
-                    sums[row] += signs[codes[lo:hi]].sum(axis=0, dtype=np.int32)
-        return sums
+            bits = _sign_bits(distinct.to_pylist(), self.dim // DIGEST_BITS)
+            empty = pc.index(distinct, "").as_py()  # the split leaves empty strings at the ends
+            if empty >= 0:
+                bits[empty] = 0
+            real = np.concatenate([[0], np.cumsum(codes != empty)])
+            first = int(np.searchsorted(bounds, start, side="right")) - 1
+            last = int(np.searchsorted(bounds, start + len(codes), side="left"))
+            cuts = np.clip(bounds[first : last + 1] - start, 0, len(codes))
+            tokens[first:last] += np.diff(real[cuts])
+            _add_segments(ones[first:last], bits, codes, cuts)
+        return 2 * ones - tokens[:, None]
+
+
+def _add_segments(sums: np.ndarray, bits: np.ndarray, codes: np.ndarray, cuts: np.ndarray) -> None:
+    """Add ``bits[codes[cuts[i]:cuts[i + 1]]]``, summed, to row i of ``sums``."""
+    for row, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if hi > lo:
+            sums[row] += bits[codes[lo:hi]].sum(axis=0, dtype=np.int32)
 
 
 @lru_cache(maxsize=4)

@@ -35,6 +35,7 @@ def _char_class(chars: str) -> str:
 # A run of whitespace and commas, except the single space, which stays as it is.  With
 # (?U) \s is the Unicode property, one test instead of a list; \x1c-\x1f complete it.
 UNTIDY_RUN = r"(?U)(?:[\s,\x1c-\x1f&&[^ ]]| [\s,\x1c-\x1f])[\s,\x1c-\x1f]*+"
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 LINE_BREAK = _char_class(LINE_BREAKS)
 
 
@@ -61,12 +62,12 @@ def normalize_text(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """All lines of a text, stripped; blank ones are left in, so positions are kept."""
-    return F.transform(F.split(text, LINE_BREAK), lambda line: strip(line))
+    """All lines of a text as they are, blank ones too."""
+    return F.split(text, LINE_BREAK)
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text_or_empty(text)) == ""
+    return ~text_or_empty(text).rlike(NOT_BLANK)
 
 
 def clean_output_text(text: Column) -> Column:

@@ -21,8 +21,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_lossy, normalize_text, strip_bom
-from .extract import json_values, longest_csv_values, txt_values
+from ..functions.text import decode_lossy, is_blank, normalize_text, split_lines, strip_bom
+from .extract import json_values, longest_csv_values
 
 BLOCK_BYTES = 4 << 20
 ROWS_PER_BATCH = 4096
@@ -190,14 +190,14 @@ def _pieces_to_rows(pieces: DataFrame) -> DataFrame:
     text = F.col("value")
     first_block = F.when(F.col("block") == 0, strip_bom(text)).otherwise(text)
     values = (
-        F.when(F.col("kind") == "txt", txt_values(first_block))
+        F.when(F.col("kind") == "txt", split_lines(first_block))
         .when(F.col("kind") == "json", json_values(text))
         .otherwise(F.array(text))
     )
     found = pieces.filter(F.col("error").isNull()).select(
-        "filename", "block", "row_no", F.posexplode(values).alias("pos", "value")
+        "filename", "kind", "block", "row_no", F.posexplode(values).alias("pos", "value")
     )
-    return found.filter(F.col("value").isNotNull()).select(
+    return found.filter((F.col("kind") != "txt") | ~is_blank(F.col("value"))).select(
         "filename",
         "block",
         (F.col("row_no") + F.col("pos")).alias("row_no"),
@@ -222,8 +222,8 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("filename", relative_name(F.col("path"), path))
         .filter(_wanted(F.col("filename")))
     )
-    parts = lines.select("filename", "block", "line_no", F.posexplode(txt_values(F.col("value"))).alias("pos", "value"))
-    return parts.filter(F.col("value").isNotNull()).select(
+    parts = lines.select("filename", "block", "line_no", F.posexplode(split_lines(F.col("value"))).alias("pos", "value"))
+    return parts.filter(~is_blank(F.col("value"))).select(
         "filename",
         "block",
         F.col("line_no").alias("row_no"),

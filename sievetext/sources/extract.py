@@ -16,18 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bits import let
-from ..functions.text import normalize_text, split_lines
+from ..functions.text import is_blank, normalize_text, split_lines
 
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 JSON_SPACE = " \t\n\r"
 
 
-# ---------------------------------------------------------------- lines
-def txt_values(text: Column) -> Column:
-    """Stripped lines; blank ones are null, so that positions stay line numbers."""
-    return F.transform(split_lines(text), lambda line: F.nullif(line, F.lit("")))
-
-
 # ---------------------------------------------------------------- csv
 def longest_csv_values(lines):
     """Yield the values of the field that is longest in the first data row.
@@ -145,7 +139,7 @@ def json_values(text: Column) -> Column:
         )
 
     def of_object(single: Column) -> Column:
-        return F.array(F.try_element_at(single, _longest_key(single)))
+        return F.filter(F.array(F.try_element_at(single, _longest_key(single))), lambda value: value.isNotNull())
 
     opening = F.substring(F.ltrim(text, F.lit(JSON_SPACE)), 1, 1)
     return F.when(
@@ -154,26 +148,28 @@ def json_values(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- whole files
-def _exploded(files: DataFrame, values: Column) -> DataFrame:
+def _exploded(files: DataFrame, values: Column, keep: Column) -> DataFrame:
     """(filename, row_no, content): normalised values of a table (filename, content)."""
-    rows = files.select("filename", F.posexplode(values).alias("row_no", "value")).filter(F.col("value").isNotNull())
-    return rows.select("filename", F.col("row_no").cast("long").alias("row_no"), normalize_text(F.col("value")).alias("content"))
+    rows = files.select("filename", F.posexplode(values).alias("row_no", "value")).filter(keep)
+    return rows.select(
+        "filename", F.col("row_no").cast("long").alias("row_no"), normalize_text(F.col("value")).alias("content")
+    )
 
 
 def extract_txt_lines(files: DataFrame) -> DataFrame:
     """Non-blank lines of text files given as (filename, content)."""
-    return _exploded(files, txt_values(F.col("content")))
+    return _exploded(files, split_lines(F.col("content")), ~is_blank(F.col("value")))
 
 
 def extract_csv_longest(files: DataFrame) -> DataFrame:
     """The longest column of CSV files given as (filename, content)."""
     parsed = files.select("filename", csv_values(F.col("content")).alias("values"))
-    return _exploded(parsed, F.col("values"))
+    return _exploded(parsed, F.col("values"), F.lit(True))
 
 
 def extract_json(files: DataFrame) -> DataFrame:
     """The longest key of JSON files given as (filename, content)."""
-    return _exploded(files, json_values(F.col("content")))
+    return _exploded(files, json_values(F.col("content")), F.lit(True))
 
 
 def union_extracts(*extracts: DataFrame) -> DataFrame:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import column_index_from_name, trim_and_compact
 from .extract import csv_records
@@ -58,9 +54,10 @@ def find_inputs(spark: SparkSession, path: str) -> tuple[str, str]:
     return by_role["filters"].path, by_role["data"].path
 
 
-@F.arrow_udf(T.IntegerType())
-def _cells_in(records: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else len(next(csv.reader([r]), [])) for r in records.to_pylist()], pa.int32())
+def _cells_in(record: Column) -> Column:
+    """Number of cells of one raw record: quoted cells are emptied, then commas count."""
+    bare = F.regexp_replace(record, r'(^|,)"(?:[^"]|"")*+"', "$1")
+    return F.size(F.split(bare, ",", -1))
 
 
 def scan_data_csv(
@@ -89,15 +86,13 @@ def scan_data_csv(
     )
     text = F.col(names[-1])
     # A null cell is an empty one or a missing one; only the raw record tells which.
-    unclear = F.when(text.isNull() & F.col("raw").isNotNull(), F.col("raw"))
-    counted = rows.withColumn("cells", _cells_in.asNondeterministic()(unclear))
-    missing = F.col("cells").isNotNull() & (F.col("cells") <= index)
+    missing = text.isNull() & F.col("raw").isNotNull() & (_cells_in(F.col("raw")) <= index)
     content = F.coalesce(text, F.lit(""))
     if strict:
         content = F.when(missing, F.raise_error(F.lit(f"a row has no column {index}"))).otherwise(content)
     else:
-        counted = counted.filter(~missing)
-    return counted.select(F.coalesce("c0", F.lit("")).alias("filename"), content.alias("content"))
+        rows = rows.filter(~missing)
+    return rows.select(F.coalesce("c0", F.lit("")).alias("filename"), content.alias("content"))
 
 
 def filters_from_csv(files: DataFrame) -> DataFrame:

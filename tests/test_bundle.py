@@ -156,6 +156,7 @@ JSON_CASES = {
     "[]": [],
     "{}": [],
     "[{}]": [],
+    '{"a":null}': [],
     "3": [],
     '"s"': [],
     "": [],

@@ -30,9 +30,11 @@ def test_data_file(spark, tmp_path):
 
 def test_data_file_with_short_rows(spark, tmp_path):
     path = tmp_path / "data_2.csv"
-    path.write_text("f,g,content\na,b,c\nshort,row\nd,e,\nf,,h,i\nj,k,,l\n")
+    path.write_text(
+        'f,g,content\na,b,c\nshort,row\nd,e,\nf,,h,i\nj,k,,l\n"m,n",o\np,"q, ""r, s",,t\nu"v,w"x\n'
+    )
     lenient = {tuple(r) for r in jobs.scan_data_csv(spark, str(path), 2, strict=False).collect()}
-    assert lenient == {("a", "c"), ("d", ""), ("f", "h"), ("j", "")}
+    assert lenient == {("a", "c"), ("d", ""), ("f", "h"), ("j", ""), ("p", "")}
     with pytest.raises(Exception, match="no column 2"):
         jobs.scan_data_csv(spark, str(path), 2).collect()
 
