@@ -204,3 +204,8 @@ def route_requests(
 def build_filter_table(filters: DataFrame) -> DataFrame:
     """The filters of one request, ready to embed or to write: (ord, category, anchors)."""
     return filters.select(F.col("ord").cast("long").alias("ord"), "category", "anchors")
+
+
+def count_anchors(filters: DataFrame) -> DataFrame:
+    """How many anchors each filter has: (ord, category, n_anchors)."""
+    return filters.select("ord", "category", F.size("anchors").alias("n_anchors"))

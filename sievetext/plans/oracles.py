@@ -206,6 +206,15 @@ ORACLES: dict[str, str] = {
     "doc_lines": f"""
         WITH {LINES} SELECT doc_id::VARCHAR AS filename, row_no::BIGINT AS row_no, {_normalized("line")} AS content
         FROM lines WHERE {_strip("line", WHITESPACE)} <> ''""",
+    "text_bundle": f"""
+        WITH {LINES} SELECT {_normalized("line")} AS content FROM lines WHERE {_strip("line", WHITESPACE)} <> ''""",
+    "data_csv": f"SELECT doc_id::VARCHAR AS filename, {_normalized('text')} AS content FROM documents",
+    "match_table": f"""
+        {EMBEDDINGS} SELECT category, round(1 - dist / 64.0::DOUBLE, 6) AS score, vec_id::VARCHAR AS data,
+        category AS folder FROM nearest WHERE dist <= {PASS_64}""",
+    "line_files": f"""
+        {EMBEDDINGS} SELECT vec_id || ' : ' || category || ' : "a ' || chr(39) || 'quoted' || chr(39) || ' text"' AS line
+        FROM nearest WHERE dist <= {PASS_64}""",
     "decode_docs": "SELECT doc_id, text || chr(65533) || lang AS content FROM documents",
     "clean_lines": f"""
         SELECT doc_id, source || ' : ' || lang || ' : "' || {_clean("text")} || '"' AS line FROM documents""",
@@ -245,6 +254,9 @@ ORACLES: dict[str, str] = {
     "fallback_filters": """
         SELECT item_id AS ord, left(lower(replace(text, ' ', '_')), 20) AS category, 5 AS n_anchors,
         text || '|' || text || '|' || text || '|' || text || '|' || text AS anchors FROM benchmark""",
+    "anchor_counts": f"""
+        SELECT item_id AS ord, left(lower(replace(text, ' ', '_')), 20) AS category, {len(QUERY_TEMPLATES)} AS n_anchors
+        FROM benchmark""",
     "template_filters": f"""
         SELECT item_id AS ord, left(lower(replace(text, ' ', '_')), 20) AS category, i::INTEGER AS anchor_no,
         replace([{", ".join(map(_literal, QUERY_TEMPLATES))}][i + 1], '{{query}}', text) AS anchor

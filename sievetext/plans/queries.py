@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions.encoders import HashEncoder, VectorTable
 from ..operators import intents, matching, vectors
 from ..session import shared_dir, spread
-from ..sources import extract, jobs, sinks
+from ..sources import bundle, extract, jobs, sinks
 from ..streaming.trim import trim_stream, write_stream
 from .trim import SIMILARITY_THRESHOLD, trim_against, trim_vectors
 
@@ -180,6 +180,51 @@ def trim_stream_embeddings(spark, folder):
     return spark.read.schema(matches.schema).parquet(f"{run}/rows")
 
 
+# ---------------------------------------------------------------- files
+def _new_folder(spark) -> str:
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+@query
+def text_bundle(spark, folder):
+    """The documents written as text files and read back as a bundle."""
+    path = _new_folder(spark)
+    texts(spark, folder, "documents").select("text").write.text(path)
+    return bundle.read_bundle(spark, path).select("content")
+
+
+@query
+def data_csv(spark, folder):
+    """The normalised documents written as a data CSV and read back by column index."""
+    path = _new_folder(spark)
+    docs = texts(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text")
+    rows = docs.select("filename", T.normalize_text(F.col("text")).alias("content"))
+    sinks.write_normalized(rows, path, "csv")
+    return jobs.scan_data_csv(spark, path, 1)
+
+
+@query
+def match_table(spark, folder):
+    """Matches written as the result table, one folder per category, and read back."""
+    path = _new_folder(spark)
+    matches = _embedding_matches(spark, folder)
+    named = matches.withColumn("filename", F.col("vec_id").cast("string")).withColumn("content", F.col("filename"))
+    sinks.write_matches(named, path)
+    return spark.read.parquet(path).select(
+        "category", F.round("score", 6).alias("score"), "data", F.col("category_folder").cast("string").alias("folder")
+    )
+
+
+@query
+def line_files(spark, folder):
+    """Matches written as compressed result lines and read back."""
+    path = _new_folder(spark)
+    matches = _embedding_matches(spark, folder)
+    named = matches.withColumn("filename", F.col("vec_id").cast("string"))
+    sinks.write_lines(named.withColumn("content", F.lit('a "quoted"\ntext')), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 # ---------------------------------------------------------------- text
 @query
 def normalize_docs(spark, folder):
@@ -315,6 +360,12 @@ def fallback_filters(spark, folder):
     )
 
 
+@query
+def anchor_counts(spark, folder):
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))
+    return intents.count_anchors(intents.expand_queries(items, QUERY_TEMPLATES))
+
+
 @query
 def template_filters(spark, folder):
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"))

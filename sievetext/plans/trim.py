@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..functions.encoders import VectorTable
 from ..operators.matching import best_match_texts, best_match_vectors, threshold_filter
@@ -30,6 +31,11 @@ def trim_corpus(
     return trim_against(docs, embed_filters(filters, encoder), encoder, threshold, text, key)
 
 
+def observed(rows: DataFrame, counts: Observation | None) -> DataFrame:
+    """Count the rows that pass here while the job runs: ``counts.get["rows"]`` afterwards."""
+    return rows if counts is None else rows.observe(counts, F.count(F.lit(1)).alias("rows"))
+
+
 def trim_against(
     docs: DataFrame,
     bank: DataFrame,

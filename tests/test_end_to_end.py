@@ -92,3 +92,14 @@ def test_stream_equals_batch(spark, small, filters, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("conv_id", "turn", "category", "dist")
     assert want.count() > 10
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_observed_counts(spark, corpus, filters):
+    from pyspark.sql import Observation
+
+    from sievetext.plans.trim import observed
+
+    rows_in, rows_out = Observation(), Observation()
+    matches = observed(trim_corpus(observed(corpus, rows_in), filters, ENCODER), rows_out)
+    matches.write.format("noop").mode("overwrite").save()
+    assert (rows_in.get["rows"], rows_out.get["rows"]) == (corpus.count(), 4)
