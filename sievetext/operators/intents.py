@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import let
 from ..functions.text import (
     defaulted,
     fallback_category,
@@ -159,24 +160,31 @@ def expand_fields(
     sentences with that value in place of the first.  A request whose fields are all
     blank gets no anchors, so it drops out when it is embedded.
     """
-    lists = {
-        name: trim_and_compact(F.split(defaulted(F.col(f"fields.{name}"), ""), ",")) for name in FIELDS
-    }
-    first = {name: defaulted(F.get(values, F.lit(0)), DEFAULT_FIELD) for name, values in lists.items()}
+    given = F.struct(
+        *[trim_and_compact(F.split(defaulted(F.col(f"fields.{name}"), ""), ",")).alias(name) for name in FIELDS]
+    )
     wide = F.array(*[F.lit(t) for t in templates[: num * num]])
     narrow = F.array(*[F.lit(t) for t in templates[:num]])
+    none = F.array().cast("array<string>")
 
-    def further(name: str) -> Column:
-        values = lists[name]
-        extra = F.when(F.size(values) > 1, F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(1))))
-        sentences = F.flatten(F.transform(extra, lambda value: _fill(narrow, {**first, name: value})))
-        return F.coalesce(sentences, F.array().cast("array<string>"))
+    def further(values: Column, name: str, first: dict[str, Column]) -> Column:
+        extra = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+        return F.flatten(F.transform(extra, lambda value: _fill(narrow, {**first, name: value})))
 
-    anchors = F.flatten(F.array(_fill(wide, first), *[further(name) for name in FIELDS]))
-    given = F.flatten(F.array(*lists.values()))
-    return requests.withColumn("category", F.lit(category)).withColumn(
-        "anchors", F.when(F.size(given) > 0, anchors).otherwise(F.array().cast("array<string>"))
-    )
+    def anchors(lists: Column) -> Column:
+        # Bound once: the first value of every field, used in each sentence.
+        firsts = F.struct(
+            *[defaulted(F.get(lists[name], F.lit(0)), DEFAULT_FIELD).alias(name) for name in FIELDS]
+        )
+
+        def sentences(bound: Column) -> Column:
+            first = {name: bound[name] for name in FIELDS}
+            return F.flatten(F.array(_fill(wide, first), *[further(lists[name], name, first) for name in FIELDS]))
+
+        some = F.greatest(*[F.size(lists[name]) for name in FIELDS]) > 0
+        return F.when(some, let(firsts, sentences)).otherwise(none)
+
+    return requests.withColumn("category", F.lit(category)).withColumn("anchors", let(given, anchors))
 
 
 def route_requests(

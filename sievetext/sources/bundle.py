@@ -44,14 +44,23 @@ def open_path(path: str):
     return pafs.LocalFileSystem().open_input_file(path)
 
 
+def _below(root: str) -> str:
+    """The part of a root path that every path below it has, whatever its scheme."""
+    return re.sub(r"^[a-z0-9]+:/{0,2}(?=/)|^[a-z0-9]+://", "", root).rstrip("/") + "/"
+
+
 def relative_name(path: Column, root: str) -> Column:
     """A file's name below the folder that was read; a single file keeps its base name."""
-    inner = re.sub(r"^[a-z0-9]+:/{0,2}(?=/)|^[a-z0-9]+://", "", root).rstrip("/") + "/"
+    inner = _below(root)
     at = F.instr(path, inner)
     below = path.substr(at + F.lit(len(inner)), F.length(path))
     return F.when(at > 0, below).otherwise(F.substring_index(path, "/", -1))
 
 
+def _ignored(path: Column, root: str) -> Column:
+    return relative_name(path, root).startswith(IGNORED_PREFIX)
+
+
 def _kind(filename: Column) -> Column:
     return F.regexp_extract(filename, r"\.(txt|json|csv)$", 1)
 
@@ -211,16 +220,19 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     ``block`` is the start of the file split and ``row_no`` grows within it, so
     (block, row_no) orders the lines of a file; row numbers have gaps.
     """
+    encoded = F.col("_metadata.file_path")
+    decoded = F.when(
+        encoded.contains("%"), F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    ).otherwise(encoded)
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+        .filter(~encoded.contains("/" + IGNORED_PREFIX) | ~_ignored(decoded, path))
         .select(
-            F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
+            relative_name(decoded, path).alias("filename"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line_no"),
             decode_lossy(F.col("value")).alias("value"),
         )
-        .withColumn("filename", relative_name(F.col("path"), path))
-        .filter(_wanted(F.col("filename")))
     )
     parts = lines.select("filename", "block", "line_no", F.posexplode(split_lines(F.col("value"))).alias("pos", "value"))
     return parts.filter(~is_blank(F.col("value"))).select(

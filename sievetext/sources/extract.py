@@ -130,8 +130,9 @@ def json_values(text: Column) -> Column:
     )
 
     def of_list(items: Column) -> Column:
+        first = let(F.get(items, F.lit(0)), _last_values)
         return let(
-            _longest_key(_last_values(F.get(items, F.lit(0)))),
+            let(first, _longest_key),
             lambda key: F.filter(
                 F.transform(items, lambda item: F.try_element_at(_last_values(item), key)),
                 lambda value: value.isNotNull(),
@@ -144,7 +145,7 @@ def json_values(text: Column) -> Column:
     opening = F.substring(F.ltrim(text, F.lit(JSON_SPACE)), 1, 1)
     return F.when(
         opening == "[", let(F.coalesce(document("array<map<string,string>>"), mixed), of_list)
-    ).when(opening == "{", let(_last_values(document("map<string,string>")), of_object))
+    ).when(opening == "{", let(document("map<string,string>"), lambda parsed: let(_last_values(parsed), of_object)))
 
 
 # ---------------------------------------------------------------- whole files
