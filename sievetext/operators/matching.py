@@ -98,6 +98,8 @@ def nearest_filter(
             return rows.withColumn("best", empty).filter(F.lit(False)), 0
         return rows.withColumn("best", match(bank)), bank.dim
 
+    if rows.isStreaming:
+        raise ValueError(f"a stream can be matched with at most {limit} filters")
     waved, waves = _waves(filters, limit)
     kind = "struct<dist:int,ord:bigint>"
     current = rows.withColumn("__bits", to_bits()).withColumn("__best", F.lit(None).cast(kind)).checkpoint()

@@ -167,18 +167,24 @@ def _read_member(stream, filename: str, out: _Batches) -> Iterator[pa.RecordBatc
 
 def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = _Batches()
+    archive_path, archive, raw = None, None, None
     for batch in batches:
-        archive_path, archive, raw = None, None, None
         for row in batch.to_pylist():
             if row["member_no"] < 0:
                 with open_path(row["path"]) as stream:
                     yield from _read_member(io.BufferedReader(stream), row["filename"], out)
                 continue
             if row["path"] != archive_path:
+                if archive is not None:
+                    archive.close()
+                    raw.close()
                 raw = open_path(row["path"])
                 archive_path, archive = row["path"], zipfile.ZipFile(raw)
             with archive.open(archive.infolist()[row["member_no"]]) as stream:
                 yield from _read_member(stream, row["filename"], out)
+    if archive is not None:
+        archive.close()
+        raw.close()
     if out.rows:
         yield out.take()
 
