@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -24,3 +24,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query
+def op5_bpe(spark, folder):
+    return bpe.digests(documents(spark, folder))
+
+
+@query
+def op7_packing(spark, folder):
+    return packing.pack(documents(spark, folder))
