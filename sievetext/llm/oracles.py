@@ -3,3 +3,30 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op3_quality"] = r"""
+with words as (
+  select doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
+         row_number() over () as r
+  from documents),
+grams as (
+  select r, j, array_to_string(w[j:j + 7], ' ') as g
+  from words, range(1, len(w) - 6) t(j)),
+met as (select r, j, count(*) over (partition by r, g) as n from grams),
+covered as (
+  select r, sum(least(8, coalesce(nxt - j, 8))) as n
+  from (select r, j, lead(j) over (partition by r order by j) as nxt from met where n > 1) group by r),
+base as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
+         cast(coalesce(c.n, 0) as bigint) as n_repeat_words
+  from words left join covered c using (r)),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (n_symbols > 0.25 * n_words) and not (n_lines >= 4 and n_dup_lines > 0.3 * n_lines)
+       and not (word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from judged
+"""
