@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash
+from . import bpe, packing, quality, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -26,6 +26,11 @@ def op1_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder))
 
 
+@query
+def op2_token_files(spark, folder):
+    return token_files.written_and_read(documents(spark, folder))
+
+
 @query
 def op3_quality(spark, folder):
     return quality.judge(documents(spark, folder))
