@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash, token_files
+from . import bpe, packing, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -44,3 +44,8 @@ def op5_bpe(spark, folder):
 @query
 def op7_packing(spark, folder):
     return packing.pack(documents(spark, folder))
+
+
+@query
+def op8_toxicity(spark, folder):
+    return toxicity.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
