@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash, token_files, toxicity
+from . import bpe, packing, paragraphs, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,3 +49,8 @@ def op7_packing(spark, folder):
 @query
 def op8_toxicity(spark, folder):
     return toxicity.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query
+def op10_paragraphs(spark, folder):
+    return paragraphs.repeated_passages(documents(spark, folder))
