@@ -125,32 +125,43 @@ class BytePairs:
             if self.slot_key[at] < 0:
                 self.slot_key[at], self.slot_rank[at] = key, rank
 
-    def cut(self, word: bytes) -> list[bytes]:
-        """A word's bytes, cut where no token can reach across."""
-        codes = np.frombuffer(word, np.uint8)
-        places = np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1
-        if not len(places):
-            return [word]
-        edges = [0, *places.tolist(), len(word)]
-        return [word[s:e] for s, e in zip(edges, edges[1:])]
+    def cut(self, words: list[bytes]) -> list[list[bytes]]:
+        """Words' bytes, cut where no token can reach across; all words at once."""
+        ends = np.cumsum([len(w) for w in words])
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        certain = ~self.inside[codes[:-1], codes[1:]]
+        certain[ends[:-1] - 1] = False
+        places = np.flatnonzero(certain) + 1
+        owners = np.searchsorted(ends, places, side="right")
+        found = [[w] for w in words]
+        firsts = np.flatnonzero(np.concatenate(([True], np.diff(owners) > 0))).tolist() if len(owners) else []
+        for s, e in zip(firsts, [*firsts[1:], len(owners)]):
+            i = int(owners[s])
+            edges = [0, *(places[s:e] - (ends[i] - len(words[i]))).tolist(), len(words[i])]
+            found[i] = [words[i][x:y] for x, y in zip(edges, edges[1:])]
+        return found
 
     def _find(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
         """(ids, their strings each followed by a space, count) of runs without white space."""
-        cuts: list[list[tuple[bytes, bool]]] = []
+        words: list[bytes] = []
+        sizes: list[int] = []
         for chunk in chunks:
-            chunk = unicodedata.normalize("NFC", chunk)
+            if not chunk.isascii():
+                chunk = unicodedata.normalize("NFC", chunk)
             chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-            parts: list[tuple[bytes, bool]] = []
-            for word in _WORDS.findall(chunk):
-                cut = self.cut(word.encode("utf-8", "surrogatepass"))
-                parts.extend((p, False) for p in cut[:-1])
-                parts.append((cut[-1], True))
-            cuts.append(parts)
+            found = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+            words += [w.encode("utf-8", "surrogatepass") for w in found]
+            sizes.append(len(found))
+        if not words:
+            return [(b"", b"", 0)] * len(chunks)
+        cuts = [[*[(p, False) for p in parts[:-1]], (parts[-1], True)] for parts in self.cut(words)]
         self.fragments.learn(cuts)
-        found = []
-        for parts in cuts:
-            known = self.fragments.look(parts)
-            found.append((b"".join(x[0] for x in known), b"".join(x[1] for x in known), sum(x[2] for x in known)))
+        known = [self.fragments.look(parts) for parts in cuts]
+        found, at = [], 0
+        for size in sizes:
+            parts = known[at] if size == 1 else [x for own in known[at : at + size] for x in own]
+            at += size
+            found.append(parts[0] if len(parts) == 1 else (b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), sum([x[2] for x in parts])))
         return found
 
     def _find_fragments(self, fragments: list[tuple[bytes, bool]]) -> list[tuple[bytes, bytes, int]]:

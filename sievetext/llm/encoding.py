@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces kept per generation and worker.
-KEPT = 150_000
+KEPT = 250_000
 #: Characters worked on at once.
 SLICE = 1 << 20
 

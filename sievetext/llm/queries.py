@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, paragraphs, quality, simhash, token_files, toxicity
+from . import bpe, ctw, packing, paragraphs, quality, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -54,3 +54,8 @@ def op8_toxicity(spark, folder):
 @query
 def op10_paragraphs(spark, folder):
     return paragraphs.repeated_passages(documents(spark, folder))
+
+
+@query
+def op4_ctw(spark, folder):
+    return ctw.score(documents(spark, folder))
