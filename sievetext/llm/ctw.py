@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, stored, text_of
 from .encoding import groups
 
-DEPTH = 4
+DEPTH = 5
 #: Stands before a text's first byte and after its last; it is in no UTF-8 text.
 EDGE = 0xFF
 #: Entries of the tables of the commonest grams and words that every task has.
-COMMON_GRAMS, COMMON_WORDS = 1 << 19, 1 << 16
+COMMON_GRAMS, COMMON_WORDS = 1 << 20, 1 << 16
 GRAM, WORD = 0, 1
 _HALF = np.log(0.5)
 
@@ -245,10 +245,10 @@ def _score_texts(shared):
                         base, known = added, np.bincount(owner, hit[where], len(own)).astype(np.int64)
                     miss = ~hit[where]
                     if miss.any():
-                        pairs, n = np.unique(np.stack([owner[miss], where[miss]]), axis=1, return_counts=True)
-                        rids.append(rid[pairs[0]])
+                        pairs, n = np.unique(owner[miss] * len(distinct) + where[miss], return_counts=True)
+                        rids.append(rid[pairs // len(distinct)])
                         kinds.append(np.full(len(n), kind, np.int32))
-                        units.append(distinct[pairs[1]].view(np.int64))
+                        units.append(distinct[pairs % len(distinct)].view(np.int64))
                         ns.append(n)
                         sums.append(np.zeros((len(n), 2)))
                         knowns.append(np.zeros(len(n), np.int64))

@@ -30,3 +30,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        and not (word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
 from judged
 """
+
+ORACLES["op9_search"] = r"""
+with words as (
+  select doc_id, unnest(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+')) as t
+  from documents where doc_id is not null and text is not null),
+tf as (select doc_id, t, count(*) as tf from words where t <> '' group by 1, 2),
+lengths as (select doc_id, sum(tf) as dl from tf group by 1),
+facts as (select (select count(*) from documents where doc_id is not null) as n, (select sum(tf) from tf) as words),
+idf as (select t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, facts group by t, n),
+scored as (
+  select q.doc_id as query_id, d.doc_id,
+         round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / (words / n)))), 6) as score
+  from tf q join idf using (t) join tf d using (t) join lengths l on l.doc_id = d.doc_id, facts
+  where q.doc_id % 50 = 0 group by 1, 2),
+ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, packing, paragraphs, quality, simhash, token_files, toxicity
+from . import bpe, ctw, packing, paragraphs, quality, search, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -59,3 +59,10 @@ def op10_paragraphs(spark, folder):
 @query
 def op4_ctw(spark, folder):
     return ctw.score(documents(spark, folder))
+
+
+@query
+def op9_search(spark, folder):
+    docs = documents(spark, folder)
+    queries = docs.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "text")
+    return search.search(docs, queries, k=10)
