@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license import LICENCE_FILE, TERM, template_terms
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_quality"] = r"""
@@ -47,3 +49,40 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)
 select query_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
 """
+
+_TEMPLATE_ROWS = ", ".join(f"('{licence}', {i}, '{term}', {n})" for licence, i, term, n in template_terms())
+
+ORACLES["op6_license"] = rf"""
+with template(licence, i, term, n) as (values {_TEMPLATE_ROWS}),
+known as (select distinct term from template),
+files as (
+  select doc_id, concat_ws('/', source, doc_id // 1000, doc_id // 100, case when doc_id % 100 = 0 then 'LICENSE' else doc_id || '.txt' end) as path,
+         coalesce(text, '') as text from documents),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from files),
+terms as (select doc_id, line_no, unnest(regexp_extract_all(lower(line), '{TERM}')) as term from lines),
+tf as (select doc_id, line_no, term, count(*) as tf from terms group by all),
+df as (select term, count(distinct doc_id) as df from tf join known using (term) group by 1),
+idf as (select term, ln((1 + (select count(*) from files)) / (1 + coalesce(df, 0))) + 1 as idf from known left join df using (term)),
+norms as (
+  select doc_id, line_no, sqrt(sum(case when idf is null then power(ln(1 + (select count(*) from files)) + 1, 2) else power(tf * idf, 2) end)) as norm
+  from tf left join idf using (term) group by 1, 2),
+vectors as (select licence, i, term, n * idf as w from template join idf using (term)),
+lengths as (select licence, i, sqrt(sum(w * w)) as length from vectors group by 1, 2),
+cosines as (
+  select doc_id, line_no, licence, round(sum(tf * idf * w) / any_value(length) / any_value(norm), 6) as cosine
+  from tf join vectors using (term) join idf using (term) join lengths using (licence, i) join norms using (doc_id, line_no)
+  group by doc_id, line_no, licence, i having cosine >= 0.8),
+best as (select doc_id, first(licence order by cosine desc, line_no, licence desc) as own, max(cosine) as own_cosine from cosines group by 1),
+own as (select f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') as leaf, own, own_cosine from files f left join best using (doc_id)),
+holders as (
+  select leaf as dir, min(path) as h_path, first(own order by path) as h_own, first(own_cosine order by path) as h_cosine
+  from own where own is not null and regexp_matches(path, '{LICENCE_FILE}') group by 1),
+above as (
+  select o.doc_id, first(h_path order by length(dir) desc) as h_path, first(h_own order by length(dir) desc) as h_own,
+         first(h_cosine order by length(dir) desc) as h_cosine
+  from own o join holders on dir = '' or o.leaf = dir or starts_with(o.leaf, dir || '/') where o.own is null group by 1)
+select doc_id, path, coalesce(own, h_own) as licence, coalesce(own_cosine, h_cosine) as cosine,
+       case when own is not null then 'own' when h_own is not null then 'inherited' else 'none' end as source,
+       case when own is not null then path else h_path end as licence_path
+from own left join above using (doc_id)
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ctw, packing, paragraphs, quality, search, simhash, token_files, toxicity
+from . import bpe, ctw, license, packing, paragraphs, quality, search, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -66,3 +67,12 @@ def op9_search(spark, folder):
     docs = documents(spark, folder)
     queries = docs.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "text")
     return search.search(docs, queries, k=10)
+
+
+@query
+def op6_license(spark, folder):
+    """Documents as files of a tree: source / thousand / hundred, whose first one is the directory's LICENSE."""
+    name = F.expr("if(doc_id % 100 = 0, 'LICENSE', concat(doc_id, '.txt'))")
+    path = F.concat_ws("/", F.col("source"), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"), name)
+    files = documents(spark, folder).select("doc_id", path.alias("path"), "text")
+    return license.scan(files)
