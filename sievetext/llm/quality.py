@@ -7,13 +7,14 @@ a CASE stops at the first that rejects.  The order decides what is computed, nev
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, stored, text_of
+from .common import stored
 
 #: Words per window of the repetition rule.
 WINDOW = 8
@@ -30,10 +31,6 @@ class Rule:
     needs: tuple[str, ...]
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, WORD_GAP), "")
-
-
 def _repeats(words: str) -> str:
     """SQL for the words that lie in a window of WINDOW words found twice or more.
 
@@ -77,22 +74,29 @@ RULES = (
 )
 
 
-def with_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the text, its words and its lines that hold a word, nulls as empty."""
-    rows = docs.withColumn("_text", text_of(text)).withColumn("_words", words_of(F.col("_text")))
-    return rows.withColumn("_lines", F.expr("filter(split(_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
+#: The text, its words and its lines that hold a word (SQL over ``text``); nulls are empty.
+PARTS = {
+    "t": "coalesce(text, '')",
+    "w": "array_remove(split(coalesce(text, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), '')",
+    "l": "filter(split(coalesce(text, ''), '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')",
+}
+
+
+def with_parts(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns _text, _words and _lines."""
+    return docs.withColumns({"_text": F.expr(PARTS["t"]), "_words": F.expr(PARTS["w"]), "_lines": F.expr(PARTS["l"])})
 
 
-def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second of work on ``rows`` documents, most first.
 
     Any documents serve, as the order changes no verdict; ties and an empty table keep the given order.
     """
-    sample = stored(docs.select(text).limit(rows), "rule-sample")
+    sample = stored(docs.select("text").limit(rows), "rule-sample")
     ranked = []
     for place, rule in enumerate(rules):
         began = time.perf_counter()
-        tested = with_parts(sample, text).select(*[F.expr(FEATURES[f]).alias(f) for f in rule.needs])
+        tested = with_parts(sample).select(*[F.expr(FEATURES[f]).alias(f) for f in rule.needs])
         rejected = tested.agg(F.sum(F.when(F.expr(rule.rejects), 1).otherwise(0))).first()[0] or 0
         ranked.append((-rejected / (time.perf_counter() - began), place, rule))
     return [rule for _, _, rule in sorted(ranked, key=lambda x: x[:2])]
@@ -124,12 +128,15 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns kept; one pass, each feature only if reached."""
     order = ordered_rules(docs, rules)
-    chain = None
-    for rule in order:
-        rejects = rule.rejects
-        for name in sorted(rule.needs, key=len, reverse=True):
-            rejects = rejects.replace(name, f"({FEATURES[name]})")
-        chain = F.when(F.expr(rejects), F.lit(False)) if chain is None else chain.when(F.expr(rejects), F.lit(False))
-    names = docs.columns
-    rows = with_parts(docs).withColumn("_kept", chain.otherwise(F.lit(True)))
-    return rows.where("_kept").select(*[F.col(f"`{n}`") for n in names])
+    cases = " ".join(f"when {_over_parts(rule)} then false" for rule in order)
+    parts = "named_struct('t', {t}, 'w', {w}, 'l', {l})".format(**PARTS)
+    return docs.where(F.expr(f"transform(array({parts}), d -> case {cases} else true end)[0]"))
+
+
+def _over_parts(rule: Rule) -> str:
+    """A rule's condition over a struct ``d`` of text, words and lines, so that each is made once a row."""
+    rejects = rule.rejects
+    for name in rule.needs:
+        feature = FEATURES[name].replace("_text", "d.t").replace("_words", "d.w").replace("_lines", "d.l")
+        rejects = re.sub(rf"\b{name}\b", lambda _, f=feature: f"({f})", rejects)
+    return rejects
