@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces kept per generation and worker.
-KEPT = 250_000
+KEPT = 400_000
 #: Characters worked on at once.
 SLICE = 1 << 20
+#: Marks that often follow a word.
+MARKS = frozenset(".,;:!?")
 
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _PIECES = re.compile(r"\s*\S+|\s+")
@@ -94,8 +96,13 @@ class TextEncoder:
         self.memory = Memory(self._find)
 
     def _find(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        """ids of pieces; a word and a mark after it are two pieces to both kinds of files."""
+        parts = [(p[:-1], p[-1]) if p[-1] in MARKS and p[:-1].lstrip().isalpha() else (p,) for p in pieces]
+        known = {x: self.memory.young.get(x) or self.memory.old.get(x) for own in parts for x in own}
+        new = [x for x, ids in known.items() if ids is None]
+        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[piece] = np.array(found.ids, self.kind).tobytes()
+        return [known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]] for own in parts]
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """ids of each text in turn."""
