@@ -31,6 +31,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """Identity of a document: rows with the same id and the same text are one document."""
     return F.xxhash64(F.col(key), text_of(text))

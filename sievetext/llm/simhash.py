@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_of
+from .common import components, spare, stored, text_of
 
 BITS = 64
 #: Shingles whose bits are counted at once, so that a text of any length needs little memory.
@@ -175,6 +175,7 @@ def keep_first(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     Of several rows with that id one stays; rows with a null id stay, as they can't be told apart.
     """
     found = near_duplicates(docs.where("doc_id is not null"), radius, width)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    name = spare(docs, "_kept")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

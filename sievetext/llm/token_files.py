@@ -39,7 +39,8 @@ SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("count", "<
 
 def _mix(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     """A 64-bit finalizer over x and a salt."""
-    x = x ^ (np.asarray(salt, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = x ^ (np.asarray(salt, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)

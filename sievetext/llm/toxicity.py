@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, text_of
+from .common import crc_bucket, spare, text_of
 from .encoding import Memory, groups
 
 WINDOW, STEP = 64, 32
@@ -44,11 +45,31 @@ def split_words(text: str) -> list[str]:
     return _WORD.findall(text.lower()) or [EMPTY]
 
 
-def word_codes(word: str) -> tuple[int, list[int]]:
-    """Hash places of a word and of its character 3- to 5-grams, ends marked."""
-    data = f"<{word}>".encode("utf-8", "surrogatepass")
-    grams = [zlib.crc32(data[i : i + n]) % GRAMS for n in (3, 4, 5) for i in range(max(1, len(data) - n + 1))]
-    return zlib.crc32(data) % WORDS, grams
+@dataclass
+class Codes:
+    """Hash places of words and of their character 3- to 5-grams, ends marked, as flat arrays."""
+
+    words: np.ndarray
+    grams: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(words: list[str]) -> Codes:
+        crc, own, grams, counts = zlib.crc32, [], array("i"), []
+        for word in words:
+            data = f"<{word}>".encode("utf-8", "surrogatepass")
+            found = [crc(data[i : i + n]) % GRAMS for n in (3, 4, 5) for i in range(max(1, len(data) - n + 1))]
+            grams.extend(found)
+            own.append(crc(data) % WORDS)
+            counts.append(len(found))
+        return Codes(np.array(own, np.int32), np.frombuffer(grams, np.int32), np.array(counts, np.int32))
+
+    def take(self, places: np.ndarray) -> Codes:
+        ends = np.cumsum(self.counts)
+        counts = self.counts[places]
+        total = np.cumsum(counts)
+        at = np.repeat(ends[places] - total, counts) + np.arange(total[-1] if len(total) else 0)
+        return Codes(self.words[places], self.grams[at], counts)
 
 
 def window_starts(n: int) -> range:
@@ -78,13 +99,17 @@ class Net:
         p["bias"][:] = -1
         return Net(p)
 
-    def inputs(self, codes: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, codes: Codes) -> np.ndarray:
         """Input vectors of words given by their codes."""
-        words = self.p["word"][[w for w, _ in codes]]
-        counts = np.array([len(g) for _, g in codes])
-        grams = self.p["gram"][np.fromiter((x for _, g in codes for x in g), np.int64, int(counts.sum()))]
-        means = np.add.reduceat(grams, np.concatenate(([0], np.cumsum(counts)[:-1]))) / counts[:, None]
-        return np.concatenate([words, means], axis=1).astype(np.float32)
+        found = np.empty((len(codes.words), 2 * EMBED), np.float32)
+        found[:, :EMBED] = self.p["word"][codes.words]
+        ends = np.cumsum(codes.counts)
+        for at in range(0, len(ends), 1 << 14):  # by parts, as a word has many n-grams
+            own = codes.counts[at : at + (1 << 14)]
+            first = int(ends[at] - own[0])
+            grams = self.p["gram"][codes.grams[first : int(ends[at + len(own) - 1])]]
+            found[at : at + len(own), EMBED:] = np.add.reduceat(grams, np.cumsum(own) - own) / own[:, None]
+        return found
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
         return inputs @ self.p["wx"] + self.p["bx"]
@@ -150,14 +175,12 @@ class Net:
         flat = places.ravel()
         order = np.argsort(flat, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-        d_gates = np.zeros((len(codes), 6 * HIDDEN), np.float32)
+        d_gates = np.zeros((len(codes.words), 6 * HIDDEN), np.float32)
         d_gates[flat[order][starts]] = np.add.reduceat(d_gx.reshape(-1, 6 * HIDDEN)[order], starts)
         g["wx"], g["bx"] = inputs.T @ d_gates, d_gates.sum(axis=0)
         d_inputs = d_gates @ self.p["wx"].T
-        g["word"] = _rows(np.array([w for w, _ in codes]), d_inputs[:, :EMBED])
-        counts = np.array([len(x) for _, x in codes])
-        grams = np.fromiter((x for _, gs in codes for x in gs), np.int64, int(counts.sum()))
-        g["gram"] = _rows(grams, np.repeat(d_inputs[:, EMBED:] / counts[:, None], counts, axis=0))
+        g["word"] = _rows(codes.words, d_inputs[:, :EMBED])
+        g["gram"] = _rows(codes.grams, np.repeat(d_inputs[:, EMBED:] / codes.counts[:, None], codes.counts, axis=0))
         return g
 
 
@@ -183,18 +206,25 @@ class Adam:
             self.net.p[name][at] -= scale * self.m[name][at] / (np.sqrt(self.v[name][at]) + 1e-8)
 
 
-def fit(windows: list[list[list[str]]], labels: list[int], seed: int = 7) -> Net | None:
-    """Train on texts given as lists of windows of words; None if a class has no text."""
+def fit(texts: Iterable[tuple[int, list[str]]], seed: int = 7) -> Net | None:
+    """Train on (label, windows of words joined by spaces) of texts; None if a class has no text."""
+    place: dict[str, int] = {}
+    parts, lengths, owner, labels = [], [], [], []
+    for own, windows in texts:
+        for window in windows:
+            words = window.split(" ")
+            parts.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
+            lengths.append(len(words))
+            owner.append(len(labels))
+        labels.append(own)
     if len(set(labels)) < 2:
         return None
-    place = {w: i for i, w in enumerate(sorted({w for text in windows for win in text for w in win}))}
-    codes = [word_codes(w) for w in place]
-    flat = [win for text in windows for win in text]
-    owner = np.repeat(np.arange(len(windows)), [len(t) for t in windows])
-    lengths = np.array([len(w) for w in flat])
-    places = np.zeros((len(flat), WINDOW), np.int64)
-    for i, win in enumerate(flat):
-        places[i, : len(win)] = [place[w] for w in win]
+    codes = Codes.of(list(place))
+    place.clear()
+    lengths, owner = np.array(lengths), np.array(owner)
+    places = np.zeros((len(parts), WINDOW), np.int32)
+    for i, part in enumerate(parts):
+        places[i, : len(part)] = part
     label = np.array(labels, np.float32)[owner]
     net, rng = Net.fresh(seed), np.random.default_rng(seed)
     adam = Adam(net, RATE)
@@ -202,9 +232,9 @@ def fit(windows: list[list[list[str]]], labels: list[int], seed: int = 7) -> Net
         if round_:
             score = _all_logits(net, net.gates(net.inputs(codes)), places, lengths)
         else:
-            score = rng.random(len(flat))
+            score = rng.random(len(parts))
         worst = np.lexsort((-score, owner))
-        rank = np.arange(len(flat)) - np.searchsorted(owner[worst], owner[worst])
+        rank = np.arange(len(parts)) - np.searchsorted(owner[worst], owner[worst])
         taken = worst[rank < (6 if round_ == 0 else 2)]
         if round_ >= 2:  # of a toxic text the worst window alone is sure to be toxic
             taken = worst[rank < np.where(label[worst] > 0, 1, 2)]
@@ -212,7 +242,7 @@ def fit(windows: list[list[list[str]]], labels: list[int], seed: int = 7) -> Net
         for at in range(0, len(taken), BATCH):
             own = taken[at : at + BATCH]
             used, local = np.unique(places[own], return_inverse=True)
-            adam.apply(net.gradients([codes[i] for i in used], local.reshape(len(own), WINDOW), lengths[own], label[own]))
+            adam.apply(net.gradients(codes.take(used), local.reshape(len(own), WINDOW), lengths[own], label[own]))
     return net
 
 
@@ -231,7 +261,7 @@ class Scorer:
 
     def __init__(self, net: Net):
         self.net = net
-        self.memory = Memory(lambda words: list(net.gates(net.inputs([word_codes(w) for w in words]))), 60_000)
+        self.memory = Memory(lambda words: list(net.gates(net.inputs(Codes.of(words)))), 60_000)
 
     def scores(self, texts: list[str]) -> Iterator[float]:
         for group in groups(texts):
@@ -286,19 +316,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     rows = texts.join(F.broadcast(chosen), "doc_id")  # no more ids than the sample's bound
     first = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = first.select("doc_id", "toxic", "text").mapInArrow(_sample_windows, "doc_id long, toxic int, windows array<string>")
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    return fit([[w.split(" ") for w in r["windows"]] for r in rows], [r["toxic"] for r in rows])
+    table = found.toArrow().sort_by("doc_id")  # no larger than the sample's bound
+    return fit((label.as_py(), own.as_py()) for label, own in zip(table["toxic"], table["windows"], strict=True))
 
 
-def _score(net):
+def _score(net, text: str, score: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net.value) if net is not None else None
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(text).to_pylist()
             found = list(scorer.scores(texts)) if scorer else [0.0] * len(texts)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*names, "_score"])
+            names = [n for n in batch.schema.names if n != text]
+            columns = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*names, score])
 
     return run
 
@@ -313,7 +343,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = train(docs, labels)
     net = docs.sparkSession.sparkContext.broadcast(net) if net is not None else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
-    found = rows.mapInArrow(_score(net), "doc_id long, _score double")
+    found = rows.mapInArrow(_score(net, "_text", "_score"), "doc_id long, _score double")
     predicted = (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
     return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), predicted)
 
@@ -322,6 +352,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored THRESHOLD or more; one pass, all columns kept."""
     net = train(docs, labels)
     net = docs.sparkSession.sparkContext.broadcast(net) if net is not None else None
-    rows = docs.withColumn("_text", text_of())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return rows.mapInArrow(_score(net), schema).where(F.col("_score") < THRESHOLD).drop("_score")
+    text, score_ = spare(docs, "_text"), spare(docs, "_score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {score_} double"
+    rows = docs.withColumn(text, text_of()).mapInArrow(_score(net, text, score_), schema)
+    return rows.where(F.col(score_) < THRESHOLD).drop(score_)
