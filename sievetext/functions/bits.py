@@ -20,13 +20,13 @@ from pyspark.sql import types as T
 WORD_BITS = 64
 FIXED_ONE = 4294967296.0  # 2**32: sums of fixed-point entries do not depend on their order
 ROWS_TIMES_FILTERS = 1 << 20
+FILTERS_PER_BLOCK = 1 << 12
 
 VECTOR_TYPE = T.ArrayType(T.DoubleType())
 BITS_TYPE = T.ArrayType(T.LongType())
 MATCH_TYPE = T.StructType(
     [
         T.StructField("ord", T.LongType()),
-        T.StructField("category", T.StringType()),
         T.StructField("dist", T.IntegerType()),
     ]
 )
@@ -102,40 +102,37 @@ def list_array(matrix: np.ndarray) -> pa.Array:
 
 @dataclass(frozen=True)
 class FilterBank:
-    """A bounded block of filters, ordered by ``ord``, held by every task."""
+    """The filters, ordered by ``ord``, held by every task."""
 
     dim: int
     ords: np.ndarray
-    categories: pa.Array
     words: np.ndarray
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and distance of the nearest filter; the first one wins ties."""
         where = np.zeros(len(rows), dtype=np.int64)
-        dist = np.zeros(len(rows), dtype=np.int32)
-        step = max(1, ROWS_TIMES_FILTERS // max(1, len(self.ords)))
-        for start in range(0, len(rows), step):
-            columns = np.ascontiguousarray(rows[start : start + step].T)
-            total = np.zeros((len(self.ords), columns.shape[1]), dtype=np.int32)
-            for w, column in enumerate(columns):
-                total += np.bitwise_count(column[None, :] ^ self.words[:, w, None])
-            best = total.argmin(axis=0)
-            where[start : start + step] = best
-            dist[start : start + step] = total[best, np.arange(len(best))]
+        dist = np.full(len(rows), np.iinfo(np.int32).max, dtype=np.int32)
+        for first in range(0, len(self.ords), FILTERS_PER_BLOCK):
+            block = self.words[first : first + FILTERS_PER_BLOCK]
+            step = max(1, ROWS_TIMES_FILTERS // len(block))
+            for start in range(0, len(rows), step):
+                columns = np.ascontiguousarray(rows[start : start + step].T)
+                total = np.zeros((len(block), columns.shape[1]), dtype=np.int32)
+                for w, column in enumerate(columns):
+                    total += np.bitwise_count(column[None, :] ^ block[:, w, None])
+                best = total.argmin(axis=0)
+                low = total[best, np.arange(len(best))]
+                part = slice(start, start + step)
+                nearer = low < dist[part]  # an equal one in a later block does not count
+                where[part] = np.where(nearer, best + first, where[part])
+                dist[part] = np.where(nearer, low, dist[part])
         return where, dist
 
     def match(self, rows: np.ndarray, dim: int) -> pa.Array:
         if len(rows) and dim != self.dim:
             raise ValueError(f"rows have dimension {dim}, filters {self.dim}")
         where, dist = self.nearest(rows)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(self.ords[where]),
-                self.categories.take(pa.array(where)),
-                pa.array(dist, type=pa.int32()),
-            ],
-            ["ord", "category", "dist"],
-        )
+        return pa.StructArray.from_arrays([pa.array(self.ords[where]), pa.array(dist, type=pa.int32())], ["ord", "dist"])
 
 
 # ---------------------------------------------------------------- Arrow functions
@@ -221,7 +218,11 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def to_fixed(x: Column) -> Column:
-    return F.floor(x.cast("double") * F.lit(FIXED_ONE) + F.lit(0.5))
+    """Units of 2**-32, rounded; what does not fit (NaN, 2**31 or more) raises instead of saturating."""
+    wide = x.cast("double")
+    outside = F.isnan(wide) | (F.abs(wide) >= F.lit(2147483648.0))
+    error = F.raise_error(F.lit("a vector entry is NaN or too large for a sum")).cast("bigint")
+    return F.when(outside, error).otherwise(F.floor(wide * F.lit(FIXED_ONE) + F.lit(0.5)))
 
 
 def binarize(vector: Column, dim: int) -> Column:

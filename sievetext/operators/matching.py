@@ -1,9 +1,9 @@
 """Nearest filter, threshold, and reports on the matches.
 
-The corpus side is never shuffled: filters are a small table, checked before it
-is handed to every task, and each row is matched where it lies.  Filter tables
-over the limit are matched in waves of bounded size, which gives the same result
-because the minimum over (distance, ord) can be taken wave by wave.
+There is one way for every number of filters.  The filter table is checked and read once, its
+packed words go to every task, and a row takes the minimum over blocks of filters where it
+lies; the corpus side is never shuffled or stored for it.  Category names come by an equi join
+on ``ord`` afterwards, so their length does not matter to the tasks.
 """
 
 from __future__ import annotations
@@ -16,147 +16,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
-from ..session import shared_dir
 
-# 16,384 filters of 384 bits are 0.8 MB of words; with the longest names still < 20 MB.
-BANK_FILTERS = 1 << 14
-BANK_NAME_BYTES = 1 << 10
-WAVES_PER_STAGE = 8
+#: Filters of 384 bits are 56 bytes each in a task, so this many are 235 MB; more are refused.
+MOST_FILTERS = 1 << 22
 
 
-def _to_bank(table: pa.Table) -> B.FilterBank:
-    dims = set(table["dim"].to_pylist())
+def load_bank(filters: DataFrame) -> tuple[B.FilterBank, DataFrame]:
+    """The checked filter table as a bank for the tasks, and its names as (__ord, __category).
+
+    A null or repeated ``ord``, filters of mixed dimension and more than MOST_FILTERS raise,
+    whatever the size; null categories stay null.
+    """
+    columns = filters.select(F.col("ord").cast("long").alias("ord"), "category", F.col("dim").cast("int").alias("dim"), "bits")
+    table = columns.limit(MOST_FILTERS + 1).toArrow()
+    if table.num_rows > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} filters")
+    names = pa.table({"__ord": table["ord"], "__category": table["category"].cast(pa.string())})
+    named = filters.sparkSession.createDataFrame(names) if table.num_rows else None
+    if table.num_rows == 0:
+        return B.FilterBank(0, np.zeros(0, np.int64), np.zeros((0, 0), "<u8")), named
+    if table["ord"].null_count:
+        raise ValueError("filter ord values must not be null")
+    ords = table["ord"].to_numpy()
+    if len(np.unique(ords)) != len(ords):
+        raise ValueError("filter ord values must be unique")
+    dims = set(table["dim"].unique().to_pylist())
     if len(dims) != 1:
-        raise ValueError(f"filters of mixed dimension: {sorted(dims)}")
+        raise ValueError(f"filters of mixed dimension: {sorted(dims, key=str)}")
     words = B.matrix_of(table["bits"].combine_chunks()).astype("<i8").view("<u8")
-    ords = table["ord"].to_numpy()
     order = np.argsort(ords, kind="stable")
-    return B.FilterBank(
-        dim=dims.pop(),
-        ords=ords[order],
-        categories=table["category"].combine_chunks().take(pa.array(order)),
-        words=np.ascontiguousarray(words[order]),
-    )
+    return B.FilterBank(dims.pop(), ords[order], np.ascontiguousarray(words[order])), named
 
 
-def load_bank(filters: DataFrame, limit: int = BANK_FILTERS) -> B.FilterBank | None:
-    """The whole filter table as one bank, or None when it is over the limit.
+def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[B.FilterBank], Column]) -> tuple[DataFrame, int]:
+    """Rows plus ``best`` = (ord, category, dist) of the nearest filter, and the dimension.
 
-    Reads at most ``limit + 1`` rows and the start of each name, so the driver
-    never holds more than the bound, whatever the table's size.
+    ``match`` goes straight from the row to the nearest filter of a bank.  An empty filter
+    table matches nothing.
     """
-    name = F.coalesce("category", F.lit(""))
-    bounded = filters.select(
-        F.col("ord").cast("long").alias("ord"),
-        F.substring(name, 1, BANK_NAME_BYTES // 4).alias("category"),
-        (F.length(name) > BANK_NAME_BYTES // 4).alias("cut"),
-        "dim",
-        "bits",
-    )
-    table = bounded.limit(limit + 1).toArrow()
-    if table.num_rows > limit or any(table["cut"].to_pylist()):
-        return None
-    if table.num_rows == 0:
-        return B.FilterBank(0, np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros((0, 0), "<u8"))
-    return _to_bank(table)
+    bank, names = load_bank(filters)
+    if names is None:
+        empty = F.lit(None).cast("struct<ord:bigint,category:string,dist:int>")
+        return rows.withColumn("best", empty).filter(F.lit(False)), 0
+    # The planner broadcasts the names only when they are small.
+    found = rows.withColumn("__best", match(bank)).join(names, F.col("__best.ord") == F.col("__ord"))
+    best = F.struct(F.col("__best.ord").alias("ord"), F.col("__category").alias("category"), F.col("__best.dist").alias("dist"))
+    return found.select(*rows.columns, best.alias("best")), bank.dim
 
 
-def _waves(filters: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """Filters, stored once, spread over waves of at most ``limit`` each."""
-    shared_dir(filters.sparkSession)
-    stored = filters.select(F.col("ord").cast("long").alias("ord"), "category", "dim", "bits").checkpoint()
-    count, distinct = stored.agg(F.count("ord"), F.count_distinct("ord")).first()
-    if count != distinct:
-        raise ValueError("filter ord values must be unique")
-    waves = max(1, -(-2 * count // limit))
-    while True:
-        waved = stored.withColumn("wave", F.pmod(F.xxhash64("ord"), F.lit(waves)))
-        largest = waved.groupBy("wave").count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= limit:
-            return waved, waves
-        waves *= 2
-
-
-def nearest_filter(
-    rows: DataFrame,
-    filters: DataFrame,
-    match: Callable[[B.FilterBank], Column],
-    to_bits: Callable[[], Column],
-    limit: int = BANK_FILTERS,
-) -> tuple[DataFrame, int]:
-    """Rows plus ``best`` = (ord, category, dist) of the nearest filter, and the dimension.
-
-    ``match`` goes straight from the row to the nearest filter of a bank.
-    ``to_bits`` is used only when the filters need several waves: bits are then
-    computed once and every wave works on them.  An empty filter table matches
-    nothing.
-    """
-    bank = load_bank(filters, limit)
-    if bank is not None:
-        if len(bank.ords) == 0:
-            empty = F.lit(None).cast(B.MATCH_TYPE)
-            return rows.withColumn("best", empty).filter(F.lit(False)), 0
-        return rows.withColumn("best", match(bank)), bank.dim
-
-    if rows.isStreaming:
-        raise ValueError(f"a stream can be matched with at most {limit} filters")
-    waved, waves = _waves(filters, limit)
-    kind = "struct<dist:int,ord:bigint>"
-    current = rows.withColumn("__bits", to_bits()).withColumn("__best", F.lit(None).cast(kind)).checkpoint()
-    dim = 0
-    for wave in range(waves):
-        table = waved.filter(F.col("wave") == wave).withColumn("category", F.lit("")).toArrow()
-        if table.num_rows == 0:
-            continue
-        bank = _to_bank(table)
-        dim = bank.dim
-        found = B.match_bits(bank)("__bits")
-        current = current.withColumn("__found", found).withColumn(
-            "__best",
-            F.least("__best", F.struct(F.col("__found.dist").alias("dist"), F.col("__found.ord").alias("ord"))),
-        ).drop("__found")
-        if wave % WAVES_PER_STAGE == WAVES_PER_STAGE - 1:
-            current = current.checkpoint()
-    names = waved.select(F.col("ord").alias("__ord"), "category")
-    # An ordinary equi join: the planner broadcasts the names only when they are small.
-    joined = current.join(names, F.col("__best.ord") == F.col("__ord"))
-    best = F.struct(F.col("__best.ord").alias("ord"), F.col("category"), F.col("__best.dist").alias("dist"))
-    return joined.select(*rows.columns, best.alias("best")), dim
-
-
-def best_match(rows: DataFrame, filters: DataFrame, bits: str = "bits", limit: int = BANK_FILTERS) -> DataFrame:
+def best_match(rows: DataFrame, filters: DataFrame, bits: str = "bits") -> DataFrame:
     """Nearest filter per row of packed bits; the first filter wins ties.
 
-    Adds ord, category, dist and score.
+    Adds ord, category, dist and score.  Packed words carry no dimension, so only their number
+    is checked against the filters'.
     """
-    matched, dim = nearest_filter(
-        rows, filters, lambda bank: B.match_bits(bank)(F.col(bits)), lambda: F.col(bits), limit
-    )
-    return with_score(matched, dim)
+    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_bits(bank)(F.col(bits))))
 
 
-def best_match_vectors(
-    rows: DataFrame, filters: DataFrame, vector: str = "embedding", limit: int = BANK_FILTERS
-) -> DataFrame:
+def best_match_vectors(rows: DataFrame, filters: DataFrame, vector: str = "embedding") -> DataFrame:
     """Nearest filter per row of vectors: binarize and match in one Arrow step."""
-    matched, dim = nearest_filter(
-        rows, filters, lambda bank: B.match_vector(bank)(F.col(vector)), lambda: B.vector_bits()(F.col(vector)), limit
-    )
-    return with_score(matched, dim)
+    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_vector(bank)(F.col(vector))))
 
 
-def best_match_texts(
-    rows: DataFrame, filters: DataFrame, encoder, text: str = "content", limit: int = BANK_FILTERS
-) -> DataFrame:
+def best_match_texts(rows: DataFrame, filters: DataFrame, encoder, text: str = "content") -> DataFrame:
     """Nearest filter per row of text: encode, binarize and match in one Arrow step."""
-    matched, dim = nearest_filter(
-        rows,
-        filters,
-        lambda bank: B.match_text(encoder, bank)(F.col(text)),
-        lambda: B.text_bits(encoder)(F.col(text)),
-        limit,
-    )
-    return with_score(matched, dim)
+    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_text(encoder, bank)(F.col(text))))
 
 
 def with_score(matched: DataFrame, dim: int) -> DataFrame:
@@ -186,35 +110,22 @@ def threshold_filter(matched: DataFrame, threshold: float, dim: int | None = Non
     )
 
 
-def score_all(rows: DataFrame, filters: DataFrame, bits: str = "bits", limit: int = BANK_FILTERS) -> DataFrame:
+def score_all(rows: DataFrame, filters: DataFrame, bits: str = "bits") -> DataFrame:
     """Every row with every filter, its distance and score: the full score table.
 
     The filters travel as one array, read once by a scalar subquery, and each row
-    is expanded where it lies; there is no join and no shuffle of the rows.  A
-    filter table over the limit is scored in waves, one branch per wave.
+    is expanded where it lies; there is no join and no shuffle of the rows.
     """
     packed = F.array_sort(F.collect_list(F.struct("ord", "category", "dim", "bits")))
-
-    def scored(part: DataFrame) -> DataFrame:
-        array = part.agg(packed.alias("filters")).scalar()
-        dist = B.hamming_distance(F.col(bits), F.col("f.bits"))
-        expanded = rows.withColumn("f", F.explode(array)).withColumn("dist", dist)
-        return expanded.select(
-            *rows.columns,
-            F.col("f.ord").alias("ord"),
-            F.col("f.category").alias("category"),
-            "dist",
-            (F.lit(1.0) - F.col("dist") / F.col("f.dim")).alias("score"),
-        )
-
-    if filters.limit(limit + 1).count() <= limit:
-        return scored(filters)
-    waved, waves = _waves(filters, limit)
-    result = None
-    for wave in range(waves):
-        part = scored(waved.filter(F.col("wave") == wave).drop("wave"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    array = filters.agg(packed.alias("filters")).scalar()
+    expanded = rows.withColumn("f", F.explode(array))
+    return expanded.withColumn("dist", B.hamming_distance(F.col(bits), F.col("f.bits"))).select(
+        *rows.columns,
+        F.col("f.ord").alias("ord"),
+        F.col("f.category").alias("category"),
+        "dist",
+        (F.lit(1.0) - F.col("dist") / F.col("f.dim")).alias("score"),
+    )
 
 
 def match_summary(matches: DataFrame) -> DataFrame:
@@ -225,30 +136,41 @@ def match_summary(matches: DataFrame) -> DataFrame:
 
 
 def reduction(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row: rows in, rows out and the share that was kept."""
+    """One row: rows in, rows out and the share that was kept, of any two tables."""
     counted = rows.select(F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
         matches.select(F.lit(0).alias("i"), F.lit(1).alias("o"))
     )
-    total = counted.agg(F.sum("i").alias("rows_in"), F.sum("o").alias("rows_out"))
+    return _shares(counted.agg(F.sum("i").alias("rows_in"), F.sum("o").alias("rows_out")))
+
+
+def reduction_of(matched: DataFrame, threshold: float) -> DataFrame:
+    """The same in one pass over rows matched but not yet held against the threshold."""
+    room = F.lit(f"{threshold}").cast("decimal(20,15)")
+    over = F.col("dist").cast("decimal(10,0)") < F.col("dim").cast("decimal(10,0)") * (F.lit(1) - room)
+    return _shares(matched.agg(F.count("*").alias("rows_in"), F.count_if(over).alias("rows_out")))
+
+
+def _shares(total: DataFrame) -> DataFrame:
     return total.withColumn("kept", F.try_divide(F.col("rows_out").cast("double"), F.col("rows_in")))
 
 
 def top_k_per_category(matches: DataFrame, k: int, key: str) -> DataFrame:
     """The k best rows of each category, by distance and then key.
 
-    Tasks first keep the k best of what they hold (the planner does this for
-    ``row_number() <= k``; above its limit of 1,000 a salted ranking does), so a
-    hot category does not end up whole in one task.
+    The k best of each of 256 parts of a category come first, so that a hot category
+    does not end up whole in one task; every column but ``rank`` stays as it was.
     """
     order = [F.col("dist"), F.col(key)]
-    if k > 1000:
-        salt = F.pmod(F.xxhash64(key), F.lit(256))
-        within = Window.partitionBy("category", "salt").orderBy(*order)
-        matches = (
-            matches.withColumn("salt", salt)
-            .withColumn("rank", F.row_number().over(within))
-            .filter(F.col("rank") <= k)
-            .drop("salt", "rank")
-        )
-    ranked = matches.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    names = [c for c in matches.columns if c != "rank"]
+    salt, place = (_spare(matches, name) for name in ("__salt", "__place"))
+    within = Window.partitionBy("category", salt).orderBy(*order)
+    parts = matches.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(256))).withColumn(place, F.row_number().over(within))
+    best = parts.filter(F.col(place) <= k).select(*names)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
+
+
+def _spare(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name = f"_{name}"
+    return name
