@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import let
@@ -150,26 +150,24 @@ def _fill(templates: Column, values: dict[str, Column]) -> Column:
 def expand_fields(
     requests: DataFrame,
     templates: Sequence[str] = FIELD_TEMPLATES,
-    num: int = ANCHORS_PER_QUERY,
     category: str = DEFAULT_FIELDS_CATEGORY,
 ) -> DataFrame:
     """Structured criteria to one filter per request: adds ``category`` and ``anchors``.
 
-    A field may list several values, separated by commas.  The first values fill up
-    to ``num * num`` sentences; every further value of a field adds up to ``num``
-    sentences with that value in place of the first.  A request whose fields are all
+    A field may list several values, separated by commas.  The first values fill every
+    template; every further value of a field fills every template again, in place of the
+    first.  A request whose fields are all
     blank gets no anchors, so it drops out when it is embedded.
     """
     given = F.struct(
         *[trim_and_compact(F.split(defaulted(F.col(f"fields.{name}"), ""), ",")).alias(name) for name in FIELDS]
     )
-    wide = F.array(*[F.lit(t) for t in templates[: num * num]])
-    narrow = F.array(*[F.lit(t) for t in templates[:num]])
+    every = F.array(*[F.lit(t) for t in templates])
     none = F.array().cast("array<string>")
 
     def further(values: Column, name: str, first: dict[str, Column]) -> Column:
         extra = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-        return F.flatten(F.transform(extra, lambda value: _fill(narrow, {**first, name: value})))
+        return F.flatten(F.transform(extra, lambda value: _fill(every, {**first, name: value})))
 
     def anchors(lists: Column) -> Column:
         # Bound once: the first value of every field, used in each sentence.
@@ -179,7 +177,7 @@ def expand_fields(
 
         def sentences(bound: Column) -> Column:
             first = {name: bound[name] for name in FIELDS}
-            return F.flatten(F.array(_fill(wide, first), *[further(lists[name], name, first) for name in FIELDS]))
+            return F.flatten(F.array(_fill(every, first), *[further(lists[name], name, first) for name in FIELDS]))
 
         some = F.greatest(*[F.size(lists[name]) for name in FIELDS]) > 0
         return F.when(some, let(firsts, sentences)).otherwise(none)
@@ -203,15 +201,27 @@ def route_requests(
     spoken = expand_queries(
         described.select("request_id", F.col("sub").cast("long").alias("ord"), "query"), query_templates, num
     )
-    structured = expand_fields(requests.filter(~nl), field_templates, num)
+    structured = expand_fields(requests.filter(~nl), field_templates)
     return spoken.select("request_id", "ord", "category", "anchors").unionByName(
         structured.select("request_id", F.lit(0).cast("long").alias("ord"), "category", "anchors")
     )
 
 
 def build_filter_table(filters: DataFrame) -> DataFrame:
-    """The filters of one request, ready to embed or to write: (ord, category, anchors)."""
-    return filters.select(F.col("ord").cast("long").alias("ord"), "category", "anchors")
+    """Filters ready to embed or to write: (ord, category, anchors), and request_id if there is one.
+
+    With ``request_id`` the filters of all requests stay apart: ``ord`` becomes the request's place
+    in their order, times 2**32, plus the place within the request.  Without it ``ord`` stays, and
+    matching refuses a table in which one repeats.
+    """
+    if "request_id" not in filters.columns:
+        return filters.select(F.col("ord").cast("long").alias("ord"), "category", "anchors")
+    requests = filters.select("request_id").distinct()  # no more than there are filters, a small table
+    numbered = requests.withColumn("__place", F.row_number().over(Window.orderBy("request_id")) - 1)
+    numbered = numbered.withColumnRenamed("request_id", "__request")
+    joined = filters.join(numbered, F.col("request_id").eqNullSafe(F.col("__request")))
+    order = F.col("__place").cast("long") * F.lit(1 << 32) + F.col("ord")
+    return joined.select("request_id", order.alias("ord"), "category", "anchors")
 
 
 def count_anchors(filters: DataFrame) -> DataFrame:

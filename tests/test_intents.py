@@ -78,12 +78,14 @@ def test_expand_fields(spark):
         (1, False, None, Row(" ", None, "A, ,B", "", "C"), "f"),
         (2, False, None, None, "f"),
     )
-    got = {r.request_id: (r.category, r.anchors) for r in I.expand_fields(df, templates, num=2).collect()}
+    got = {r.request_id: (r.category, r.anchors) for r in I.expand_fields(df, templates).collect()}
     first = ["Jane Smith in London", "Burglary on 12/2/23", "Went to London"]
-    assert got[0] == ("structured_query", [*first, "Jane Smith in New York", "Burglary on 12/2/23"])
-    assert got[1][1] == ["A in C", "N/A on N/A", "N/A", "B in C", "N/A on N/A"]
+    assert got[0] == ("structured_query", [*first, "Jane Smith in New York", "Burglary on 12/2/23", "Went to London"])
+    assert got[1][1] == ["A in C", "N/A on N/A", "N/A", "B in C", "N/A on N/A", "N/A"]
     assert got[2][1] == []
     assert not any("Error" in a for _, anchors in got.values() for a in anchors)
+    many = [f"{{importantLocation}} {i}" for i in range(30)]
+    assert len(I.expand_fields(df.filter("request_id = 0"), many).first().anchors) == 60
 
 
 def test_default_templates_use_every_field(spark):
@@ -102,7 +104,11 @@ def test_route_requests(spark):
     assert [(r.request_id, r.ord, r.category) for r in rows] == [
         (0, 0, "one"), (0, 1, "two"), (1, 0, "structured_query"), (2, 0, "structured_query")
     ]
-    table = I.build_filter_table(I.route_requests(df.filter("request_id = 0"), separators=r"\."))
+    table = I.build_filter_table(I.route_requests(df, separators=r"\."))
+    assert table.columns == ["request_id", "ord", "category", "anchors"]
+    places = [(r.request_id, r.ord) for r in table.orderBy("ord").collect()]
+    assert places == [(0, 0), (0, 1), (1, 1 << 32), (2, 2 << 32)]
+    table = I.build_filter_table(I.route_requests(df.filter("request_id = 0"), separators=r"\.").drop("request_id"))
     assert table.columns == ["ord", "category", "anchors"]
     assert table.agg(F.min(F.size("anchors")).alias("n")).first().n == 5
 
