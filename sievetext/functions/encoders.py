@@ -10,9 +10,9 @@ uses the raw rows and skips the division.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +93,15 @@ def _add_segments(sums: np.ndarray, bits: np.ndarray, codes: np.ndarray, cuts: n
             sums[row] += bits[codes[lo:hi]].sum(axis=0, dtype=np.int32)
 
 
-@lru_cache(maxsize=4)
-def _worker_model(factory: Callable[[], Callable[[list[str]], np.ndarray]]):
-    return factory()
+_models: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def _worker_model(token: str, factory: Callable[[], Callable[[list[str]], np.ndarray]]):
+    """The model of an encoder; a worker keeps the latest one."""
+    if token not in _models:
+        _models.clear()
+        _models[token] = factory()
+    return _models[token]
 
 
 @dataclass(frozen=True)
@@ -109,9 +115,11 @@ class ModelEncoder:
     factory: Callable[[], Callable[[list[str]], np.ndarray]]
     dim: int = 384
     batch_size: int = 1024
+    #: Names this encoder in workers, where the factory itself arrives as a new object with every task.
+    token: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
 
     def raw(self, texts: pa.Array) -> np.ndarray:
-        model = _worker_model(self.factory)
+        model = _worker_model(self.token, self.factory)
         texts = pc.fill_null(texts, "")
         parts = [
             np.asarray(model(texts.slice(i, self.batch_size).to_pylist()), dtype=np.float64)
@@ -127,7 +135,7 @@ class ModelEncoder:
 class VectorTable:
     """Precomputed vectors: an equi join on the text's key instead of a model.
 
-    ``vectors`` has one row per ``key``.  Rows of the other side may repeat a key
+    ``vectors`` has one row per ``key``; a second one raises where the key is used.  Rows of the other side may repeat a key
     any number of times; adaptive execution splits a hot key's partition.
     """
 
@@ -136,12 +144,14 @@ class VectorTable:
     vector: str
 
     def attach(self, rows: DataFrame, key: str, into: str) -> DataFrame:
-        table = self.vectors.select(
-            F.col(self.key).alias("__key"), F.col(self.vector).alias("__vector")
+        table = self.vectors.groupBy(F.col(self.key).alias("__key")).agg(
+            F.any_value(self.vector).alias("__vector"), F.count("*").alias("__n")
         )
+        kind = table.schema["__vector"].dataType
+        twice = F.raise_error(F.concat(F.lit("more than one vector for key "), F.col(key).cast("string")))
         missing = F.raise_error(F.concat(F.lit("no vector for key "), F.col(key).cast("string")))
         return (
             rows.join(table, F.col(key) == F.col("__key"), "left")
-            .withColumn(into, F.coalesce("__vector", missing.cast(table.schema["__vector"].dataType)))
-            .drop("__key", "__vector")
+            .withColumn(into, F.coalesce(F.when(F.col("__n") > 1, twice.cast(kind)).otherwise(F.col("__vector")), missing.cast(kind)))
+            .drop("__key", "__vector", "__n")
         )

@@ -23,7 +23,8 @@ def vector_sum(rows: DataFrame, keys: Sequence[str], vector: str, into: str = "c
     Every task first folds its own rows into one partial sum per (key, position),
     so what is shuffled does not grow with the size of a group, and a group that
     holds a third of all rows costs no more than any other.  Long sums do not
-    depend on the order of the rows; an overflow raises.
+    depend on the order of the rows.  Entries are rounded to that unit; NaN, entries of
+    2**31 or more and an overflow raise.
     """
     cells = rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
     sums = cells.groupBy(*keys, "pos").agg(F.sum(to_fixed(F.col("x"))).alias("total"))

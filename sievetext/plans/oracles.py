@@ -210,11 +210,10 @@ ORACLES: dict[str, str] = {
         WITH {LINES} SELECT {_normalized("line")} AS content FROM lines WHERE {_strip("line", WHITESPACE)} <> ''""",
     "data_csv": f"SELECT doc_id::VARCHAR AS filename, {_normalized('text')} AS content FROM documents",
     "match_table": f"""
-        {EMBEDDINGS} SELECT category, round(1 - dist / 64.0::DOUBLE, 6) AS score, vec_id::VARCHAR AS data,
-        category AS folder FROM nearest WHERE dist <= {PASS_64}""",
+        SELECT fmt, ' ' || lang || ' ' AS category, round(1 - (doc_id % 64) / 64.0::DOUBLE, 6) AS score, {_clean("text")} AS data,
+        source AS filename, (doc_id % 64)::INT AS dist FROM documents, (VALUES ('parquet'), ('csv')) f(fmt)""",
     "line_files": f"""
-        {EMBEDDINGS} SELECT vec_id || ' : ' || category || ' : "a ' || chr(39) || 'quoted' || chr(39) || ' text"' AS line
-        FROM nearest WHERE dist <= {PASS_64}""",
+        SELECT source || ' :  ' || lang || '  : "' || {_clean("text")} || '"' AS line FROM documents""",
     "decode_docs": "SELECT doc_id, text || chr(65533) || lang AS content FROM documents",
     "clean_lines": f"""
         SELECT doc_id, source || ' : ' || lang || ' : "' || {_clean("text")} || '"' AS line FROM documents""",
@@ -286,6 +285,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN coalesce(nl, false) THEN list_aggregate(list_transform(range(5), lambda i: coalesce(description, '')), 'string_agg', '|')
             ELSE list_aggregate({_field_anchor_list(REQUEST_FIELDS, {"importantEvents": "lower(outcome)"})}, 'string_agg', '|')
             END AS anchors FROM requests""",
+    "request_filters": f"""
+        WITH {REQUESTS} SELECT request_id, (row_number() OVER (ORDER BY request_id) - 1) * 4294967296 AS ord,
+        CASE WHEN coalesce(nl, false) THEN left(lower(replace(coalesce(description, ''), ' ', '_')), 20)
+            ELSE 'structured_query' END AS category,
+        CASE WHEN coalesce(nl, false) THEN list_aggregate(list_transform(range(5), lambda i: coalesce(description, '')), 'string_agg', '|')
+            ELSE list_aggregate({_field_anchor_list(REQUEST_FIELDS, {"importantEvents": "lower(outcome)"})}, 'string_agg', '|')
+            END AS anchors FROM requests""",
     "defaulted_fields": f"""
         WITH {REQUESTS} SELECT request_id, outcome AS "desiredOutcome", date AS "importantDate",
         coalesce(people, 'N/A') AS "importantPeople", events AS "importantEvents", location AS "importantLocation"

@@ -15,7 +15,7 @@ from ..functions import bits as B
 from ..functions import text as T
 from ..functions.encoders import HashEncoder, VectorTable
 from ..operators import intents, matching, vectors
-from ..session import shared_dir, spread
+from ..session import shared_dir
 from ..sources import bundle, extract, jobs, sinks
 from ..streaming.trim import trim_stream, write_stream
 from .trim import SIMILARITY_THRESHOLD, trim_against, trim_vectors
@@ -39,11 +39,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows cost enough to be worth spreading when it has few splits."""
-    return spread(table(spark, folder, name))
-
-
 # ---------------------------------------------------------------- vectors and matching
 def _label_anchors(spark, folder) -> DataFrame:
     rows = table(spark, folder, "embeddings")
@@ -139,7 +134,8 @@ def match_summary(spark, folder):
 @query
 def reduction(spark, folder):
     rows = table(spark, folder, "embeddings")
-    totals = matching.reduction(rows, _embedding_matches(spark, folder))
+    matched = matching.best_match_vectors(rows.select("vec_id", "embedding"), _label_filters(spark, folder))
+    totals = matching.reduction_of(matched, SIMILARITY_THRESHOLD)
     return totals.select("rows_in", "rows_out", F.round("kept", 6).alias("kept"))
 
 
@@ -189,7 +185,7 @@ def _new_folder(spark) -> str:
 def text_bundle(spark, folder):
     """The documents written as text files and read back as a bundle."""
     path = _new_folder(spark)
-    texts(spark, folder, "documents").select("text").write.text(path)
+    table(spark, folder, "documents").select("text").write.text(path)
     return bundle.read_bundle(spark, path).select("content")
 
 
@@ -197,44 +193,54 @@ def text_bundle(spark, folder):
 def data_csv(spark, folder):
     """The normalised documents written as a data CSV and read back by column index."""
     path = _new_folder(spark)
-    docs = texts(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text")
     rows = docs.select("filename", T.normalize_text(F.col("text")).alias("content"))
     sinks.write_normalized(rows, path, "csv")
     return jobs.scan_data_csv(spark, path, 1)
 
 
+def _document_matches(spark, folder) -> DataFrame:
+    """Documents with a category and a score of their own, as the sinks get them."""
+    docs = table(spark, folder, "documents")
+    dist = (F.col("doc_id") % 64).cast("int")
+    return docs.select(
+        "doc_id", F.col("source").alias("filename"), F.concat(F.lit(" "), "lang", F.lit(" ")).alias("category"), F.col("text").alias("content"),
+        dist.alias("dist"), (F.lit(1.0) - dist / F.lit(64.0)).alias("score"),
+    )
+
+
 @query
 def match_table(spark, folder):
-    """Matches written as the result table, one folder per category, and read back."""
+    """Documents written as the result table, as parquet and as CSV, and read back."""
     path = _new_folder(spark)
-    matches = _embedding_matches(spark, folder)
-    named = matches.withColumn("filename", F.col("vec_id").cast("string")).withColumn("content", F.col("filename"))
-    sinks.write_matches(named, path)
-    return spark.read.parquet(path).select(
-        "category", F.round("score", 6).alias("score"), "data", F.col("category_folder").cast("string").alias("folder")
-    )
+    rows = _document_matches(spark, folder)
+    sinks.write_matches(rows, f"{path}/parquet")
+    sinks.write_matches(rows, f"{path}/csv", fmt="csv")
+    schema = "category string, score double, data string, filename string, dist int"
+    stored = spark.read.parquet(f"{path}/parquet").withColumn("fmt", F.lit("parquet"))
+    text = spark.read.schema(schema).option("header", "true").option("escape", '"').option("emptyValue", "").csv(f"{path}/csv")
+    both = stored.unionByName(text.withColumn("fmt", F.lit("csv")))
+    return both.select("fmt", "category", F.round("score", 6).alias("score"), F.coalesce("data", F.lit("")).alias("data"), "filename", "dist")
 
 
 @query
 def line_files(spark, folder):
-    """Matches written as compressed result lines and read back."""
+    """Documents written as compressed result lines and read back."""
     path = _new_folder(spark)
-    matches = _embedding_matches(spark, folder)
-    named = matches.withColumn("filename", F.col("vec_id").cast("string"))
-    sinks.write_lines(named.withColumn("content", F.lit('a "quoted"\ntext')), path)
+    sinks.write_lines(_document_matches(spark, folder), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 # ---------------------------------------------------------------- text
 @query
 def normalize_docs(spark, folder):
-    docs = texts(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", T.normalize_text(F.col("text")).alias("content"))
 
 
 @query
 def doc_lines(spark, folder):
-    files = texts(spark, folder, "documents").select(
+    files = table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("content")
     )
     return extract.extract_txt_lines(files)
@@ -249,7 +255,7 @@ def decode_docs(spark, folder):
 
 @query
 def clean_lines(spark, folder):
-    docs = texts(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     rows = docs.select("doc_id", F.col("source").alias("filename"), F.col("lang").alias("category"), "text")
     line = T.render_line(F.col("filename"), F.col("category"), F.col("text"))
     return rows.select("doc_id", line.alias("line"))
@@ -257,7 +263,7 @@ def clean_lines(spark, folder):
 
 @query
 def scored_lines(spark, folder):
-    docs = texts(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     score = F.lit(1.0) - F.pmod(F.col("n_chars"), F.lit(384)) / F.lit(384.0)
     return docs.select("doc_id", T.render_scored_line(F.col("lang"), score, F.col("text")).alias("line"))
 
@@ -265,7 +271,7 @@ def scored_lines(spark, folder):
 @query
 def union_corpus(spark, folder):
     def part(name, key, text):
-        rows = texts(spark, folder, name)
+        rows = table(spark, folder, name)
         return rows.select(F.lit(name).alias("filename"), F.col(key).alias("row_no"), T.normalize_text(F.col(text)).alias("content"))
 
     return extract.union_extracts(
@@ -275,7 +281,7 @@ def union_corpus(spark, folder):
 
 @query
 def longest_prop(spark, folder):
-    files = texts(spark, folder, "events").select(
+    files = table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("filename"), F.col("props").alias("content")
     )
     return extract.extract_json(files).select("filename", "content")
@@ -283,7 +289,7 @@ def longest_prop(spark, folder):
 
 @query
 def json_turns(spark, folder):
-    turns = texts(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations")
     name = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     files = turns.select(name.alias("filename"), F.to_json(F.struct("role", "text")).alias("content"))
     return extract.extract_json(files).select("filename", "content")
@@ -297,7 +303,7 @@ def _numbered_lines() -> F.Column:
 
 @query
 def json_lines(spark, folder):
-    docs = texts(spark, folder, "documents").select("doc_id", _numbered_lines().alias("lines"))
+    docs = table(spark, folder, "documents").select("doc_id", _numbered_lines().alias("lines"))
     files = docs.select(F.col("doc_id").cast("string").alias("filename"), F.to_json("lines").alias("content"))
     return extract.extract_json(files)
 
@@ -309,7 +315,7 @@ def csv_lines(spark, folder):
         _numbered_lines(),
         lambda line: F.concat(line["n"], F.lit(',"'), F.replace(line["body"], F.lit('"'), F.lit('""')), F.lit('"')),
     )
-    docs = texts(spark, folder, "documents").select("doc_id", quoted.alias("records"))
+    docs = table(spark, folder, "documents").select("doc_id", quoted.alias("records"))
     content = F.concat(F.lit("n,body\r\n"), F.array_join("records", "\r\n"))
     files = docs.select(F.col("doc_id").cast("string").alias("filename"), content.alias("content"))
     return extract.extract_csv_longest(files)
@@ -438,6 +444,16 @@ def routed_requests(spark, folder):
     return routed.select("request_id", "ord", "category", F.array_join("anchors", "|").alias("anchors"))
 
 
+@query
+def request_filters(spark, folder):
+    """Filter table of all requests, written and read back; each filter keeps its request."""
+    path = _new_folder(spark)
+    routed = intents.route_requests(_requests(spark, folder), field_templates=FIELD_TEMPLATES)
+    sinks.write_filters(intents.build_filter_table(routed), path)
+    rows = spark.read.parquet(path)
+    return rows.select("request_id", "ord", "category", F.array_join("anchors", "|").alias("anchors"))
+
+
 @query
 def defaulted_fields(spark, folder):
     filled = intents.defaulted_fields(_requests(spark, folder))
@@ -471,7 +487,7 @@ def _benchmark_filters(spark, folder) -> DataFrame:
 @query
 def hash_tokens(spark, folder):
     """The sign bits of every distinct token, as the encoder sees them."""
-    docs = texts(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     tokens = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")).alias("token"))
     bits = B.text_bits(ENCODER)("token")
     return tokens.distinct().select("token", B.bit_string(bits, ENCODER.dim).alias("signs"))
@@ -492,14 +508,14 @@ def filter_bits(spark, folder):
 
 @query
 def trim_documents(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", F.col("text").alias("content")))
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
     matches = trim_against(docs, _benchmark_filters(spark, folder), ENCODER, SIMILARITY_THRESHOLD)
     return _match_columns(matches, "doc_id")
 
 
 @query
 def trim_conversations(spark, folder):
-    turns = spread(table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("content")))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
     matches = trim_against(turns, _benchmark_filters(spark, folder), ENCODER, SIMILARITY_THRESHOLD)
     return _match_columns(matches, "conv_id", "turn")
 
@@ -507,7 +523,7 @@ def trim_conversations(spark, folder):
 @query
 def trimmed_lines(spark, folder):
     """Result lines: normalised documents, trimmed and rendered."""
-    docs = spread(table(spark, folder, "documents").select(F.col("source").alias("filename"), "text"))
+    docs = table(spark, folder, "documents").select(F.col("source").alias("filename"), "text")
     rows = docs.select("filename", T.normalize_text(F.col("text")).alias("content"))
     matches = trim_against(rows, _benchmark_filters(spark, folder), ENCODER, SIMILARITY_THRESHOLD)
     return sinks.result_lines(matches)

@@ -11,7 +11,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "sievetext", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -56,7 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and written tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a fresh local folder is used.
+    (tests, a laptop) and the master is local, a fresh local folder is used; on a
+    cluster executors would not see such a folder, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -65,17 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     active = spark.sparkContext.getCheckpointDir()
     if active is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievetext-"))
         active = spark.sparkContext.getCheckpointDir()
     return active.rstrip("/")
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core work when a *leaf scan* has fewer splits than cores.
-
-    A small table stored as one row group would run its encoder in one task.  A
-    scan that already has at least one split per core is returned unchanged, so
-    large inputs are never shuffled by this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

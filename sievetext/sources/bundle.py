@@ -98,7 +98,7 @@ def scan_bundle(spark: SparkSession, path: str) -> DataFrame:
         "path", relative_name(F.col("path"), path).alias("filename"), F.lit(-1).cast("long").alias("member_no"),
         F.col("length").alias("size"),
     )
-    zipped = files.filter(F.col("path").endswith(".zip")).select("path").mapInArrow(_list_archives, MEMBER_SCHEMA)
+    zipped = files.filter(F.lower("path").endswith(".zip")).select("path").mapInArrow(_list_archives, MEMBER_SCHEMA)
     return plain.unionByName(zipped).filter(_wanted(F.col("filename")))
 
 

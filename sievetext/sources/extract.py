@@ -64,7 +64,8 @@ def csv_records(contents: pa.Array) -> pa.Array:
 
     def parse(content):
         csv.field_size_limit(sys.maxsize)
-        return [record for record in csv.reader(io.StringIO(content)) if record]
+        # any line break ends a record, also inside the text of a file that mixes them
+        return [record for record in csv.reader(io.StringIO(content, newline="")) if record]
 
     return pa.array(
         [None if c is None else parse(c) for c in contents.to_pylist()],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import column_index_from_name, trim_and_compact
+from ..functions.text import column_index_from_name, decode_lossy, strip_bom, trim_and_compact
 from .extract import csv_records
 
 # Name parts that decide what a file is.
@@ -20,10 +20,11 @@ def column_index_of_parts(parts: DataFrame, name: str, order: str) -> DataFrame:
     return indexed.agg(F.coalesce(last, F.lit(0)).alias("column_index"))
 
 
-def input_role(path: Column) -> Column:
-    """'filters', 'data' or null, from the lower-cased base name."""
+def input_role(path: Column, root: str = "") -> Column:
+    """'filters', 'data' or null, from the lower-cased base name; only what lies below ``root`` counts."""
     name = F.lower(F.substring_index(path, "/", -1))
-    ignored = F.lower(path).contains(IGNORED_NAMES[0]) | name.contains(IGNORED_NAMES[1])
+    below = F.substring_index(path, root.rstrip("/") + "/", -1) if root else path
+    ignored = F.lower(below).contains(IGNORED_NAMES[0]) | name.contains(IGNORED_NAMES[1])
     return (
         F.when(ignored | ~name.endswith(".csv"), F.lit(None).cast("string"))
         .when(name.contains(FILTER_NAME_PART), F.lit("filters"))
@@ -31,16 +32,16 @@ def input_role(path: Column) -> Column:
     )
 
 
-def classify_inputs(paths: DataFrame, path: str = "path") -> DataFrame:
+def classify_inputs(paths: DataFrame, path: str = "path", root: str = "") -> DataFrame:
     """Add ``role`` to a table of paths; files without a role are left out."""
-    return paths.withColumn("role", input_role(F.col(path))).filter(F.col("role").isNotNull())
+    return paths.withColumn("role", input_role(F.col(path), root)).filter(F.col("role").isNotNull())
 
 
 def find_inputs(spark: SparkSession, path: str) -> tuple[str, str]:
     """(filter file, data file) below a folder; exactly one of each must exist."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     found = (
-        classify_inputs(files)
+        classify_inputs(files, root=path)
         .groupBy("role")
         .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
         .collect()
@@ -117,6 +118,7 @@ def filters_from_csv(files: DataFrame) -> DataFrame:
 
 
 def scan_filter_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, category, anchors) of one filter file."""
-    files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("filename"), F.col("value").alias("content"))
-    return filters_from_csv(files).drop("filename")
+    """(ord, category, anchors) of one filter file; invalid bytes are replaced, a byte order mark goes."""
+    files = spark.read.format("binaryFile").load(path)
+    content = strip_bom(decode_lossy(F.col("content")))
+    return filters_from_csv(files.select(F.lit(path).alias("filename"), content.alias("content"))).drop("filename")

@@ -19,31 +19,31 @@ def write_lines(matches: DataFrame, path: str, text: str = "content", compressio
 
 
 def write_matches(matches: DataFrame, path: str, text: str = "content", fmt: str = "parquet") -> None:
-    """The result table (category, score, data, filename, dist), in one folder per category.
+    """The result table (category, score, data, filename, dist), as many files as tasks.
 
-    The category is also kept as a column, since folder names lose empty strings.
+    Values are written as they are, also with blanks at their ends.
     """
-    table = matches.select(
-        "category", "score", clean_output_text(F.col(text)).alias("data"), "filename", "dist",
-        F.col("category").alias("category_folder"),
-    )
-    writer = table.write.partitionBy("category_folder")
+    table = matches.select("category", "score", clean_output_text(F.col(text)).alias("data"), "filename", "dist")
     if fmt == "csv":
-        writer.option("header", "true").option("escape", '"').csv(path)
+        _as_csv(table).csv(path)
     else:
-        writer.format(fmt).save(path)
+        table.write.format(fmt).save(path)
+
+
+def _as_csv(table: DataFrame):
+    writer = table.write.option("header", "true").option("escape", '"').option("emptyValue", "")
+    return writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
 
 
 def write_normalized(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The normalised corpus; as CSV it has the two cells (filename, content) and a header."""
     if fmt == "csv":
-        corpus.select("filename", "content").write.option("header", "true").option("escape", '"').option(
-            "emptyValue", ""
-        ).csv(path)
+        _as_csv(corpus.select("filename", "content")).csv(path)
     else:
         corpus.write.format(fmt).save(path)
 
 
 def write_filters(filters: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A filter table (ord, category, anchors), as parquet or JSON."""
-    filters.select("ord", "category", "anchors").write.format(fmt).save(path)
+    """A filter table (ord, category, anchors, request_id if there is one), as parquet or JSON."""
+    names = [c for c in ("request_id", "ord", "category", "anchors") if c in filters.columns]
+    filters.select(*names).write.format(fmt).save(path)

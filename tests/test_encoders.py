@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievetext.functions import encoders as E
+from sievetext.functions.bits import text_bits
+from sievetext.functions.encoders import ModelEncoder, VectorTable
 from sievetext.operators.vectors import embed
 
 
@@ -83,3 +86,27 @@ def test_text_bits_equal_bits_of_exact_sums(spark):
         flags = above_own_mean(brute_force(row.t, 128)[None, :])[0]
         assert row.b == "".join("1" if f else "0" for f in flags)
     assert df.select(F.size(text_bits(encoder)("t")).alias("n")).distinct().collect()[0].n == 2
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: np.ones((len(texts), 4))
+
+    rows = spark.range(64).repartition(16).selectExpr("cast(id as string) as t")
+    rows.select(text_bits(ModelEncoder(factory, 4))("t").alias("b")).write.format("noop").mode("overwrite").save()
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert loads and len(loads) == len(set(loads))
+
+
+def test_a_repeated_key_in_a_vector_table_raises(spark):
+    vectors = spark.createDataFrame([("a", [1.0]), ("a", [2.0]), ("b", [3.0])], "k string, v array<double>")
+    rows = spark.createDataFrame([("b",)], "t string")
+    assert VectorTable(vectors, "k", "v").attach(rows, "t", "x").first().x == [3.0]
+    with pytest.raises(Exception, match="more than one vector"):
+        VectorTable(vectors, "k", "v").attach(rows.union(rows.selectExpr("'a'")), "t", "x").collect()

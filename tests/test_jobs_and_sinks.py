@@ -19,6 +19,13 @@ def test_filter_file(spark, tmp_path):
     ]
 
 
+def test_filter_file_with_odd_bytes(spark, tmp_path):
+    path = tmp_path / "keys.csv"
+    path.write_bytes(b"\xef\xbb\xbfcat,a\rcat2,b\r\ncat3,c\xffd\n")
+    rows = [(r.category, r.anchors) for r in jobs.scan_filter_csv(spark, str(path)).orderBy("ord").collect()]
+    assert rows == [("cat", ["a"]), ("cat2", ["b"]), ("cat3", ["c\ufffdd"])]
+
+
 def test_data_file(spark, tmp_path):
     path = tmp_path / "data_1.csv"
     path.write_text('filename,content\na,"say ""hi"", you"\nb,\nc,x,extra,cells\n"d",""\n,no name\n')
@@ -90,7 +97,10 @@ def test_write_matches(spark, matches, tmp_path, fmt):
     back = spark.read.option("header", "true").option("escape", '"').format(fmt).load(str(tmp_path / "out"))
     rows = {(r.category or "", float(r.score), r.data) for r in back.select("category", "score", "data").collect()}
     assert rows == {("pets", 0.9, "he said 'hi' bye"), ("", 0.8, "x"), ("a/b=c", 0.7, "y, z")}
-    assert (tmp_path / "out" / "category_folder=pets").is_dir()
+    blanks = matches.selectExpr("filename", "' cat ' as category", "dist", "score", "'  lead' as content").limit(1)
+    sinks.write_matches(blanks, str(tmp_path / "blanks"), fmt=fmt)
+    back = spark.read.option("header", "true").option("escape", '"').format(fmt).load(str(tmp_path / "blanks"))
+    assert back.first().category == " cat "
 
 
 def test_normalized_corpus_round_trip(spark, tmp_path):

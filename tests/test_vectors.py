@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievetext.functions.encoders import HashEncoder
@@ -62,3 +63,15 @@ def test_sum_and_mean_give_the_same_bits(spark):
     mean = np.mean([d[2] for d in data], axis=0)
     want = sum(1 << i for i in range(64) if mean[i] > mean.mean())
     assert bits[0] & (2**64 - 1) == want
+
+
+@pytest.mark.parametrize("entry", [1e30, -1e30, float("nan"), 2147483648.0])
+def test_entries_that_do_not_fit_raise(spark, entry):
+    rows = spark.createDataFrame([(1, [entry, 0.5])], "k int, v array<double>")
+    with pytest.raises(Exception, match="NaN or too large"):
+        centroid_sum(rows, ["k"], "v").collect()
+
+
+def test_sums_are_rounded_to_the_documented_unit(spark):
+    rows = spark.createDataFrame([(1, [1e-12, 2.0**-32])], "k int, v array<double>")
+    assert centroid_sum(rows, ["k"], "v").first().centroid == [0.0, 2.0**-32]
