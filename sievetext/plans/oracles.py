@@ -208,6 +208,10 @@ ORACLES: dict[str, str] = {
         FROM lines WHERE {_strip("line", WHITESPACE)} <> ''""",
     "text_bundle": f"""
         WITH {LINES} SELECT {_normalized("line")} AS content FROM lines WHERE {_strip("line", WHITESPACE)} <> ''""",
+    "archive_bundle": f"""
+        WITH {LINES} SELECT doc_id || '.txt' AS filename, {_normalized("line")} AS content FROM lines WHERE {_strip("line", WHITESPACE)} <> ''
+        UNION ALL SELECT conv_id || '-' || turn || k, {_normalized("text")} FROM conversations, (VALUES ('.csv'), ('.json')) kinds(k)
+        WHERE text IS NOT NULL""",
     "data_csv": f"SELECT doc_id::VARCHAR AS filename, {_normalized('text')} AS content FROM documents",
     "match_table": f"""
         SELECT fmt, ' ' || lang || ' ' AS category, round(1 - (doc_id % 64) / 64.0::DOUBLE, 6) AS score, {_clean("text")} AS data,

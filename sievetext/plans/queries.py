@@ -5,9 +5,14 @@ Each takes (spark, folder of parquet tables).  ``oracles.py`` has the SQL twins.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +194,43 @@ def text_bundle(spark, folder):
     return bundle.read_bundle(spark, path).select("content")
 
 
+def _write_archives(path: str):
+    """Tasks write their rows (kind, name, value) as members of one zip file each; only the path returns."""
+
+    def run(batches):
+        rows = [(n, v) for b in batches for n, v in zip(b.column("name").to_pylist(), b.column("value").to_pylist(), strict=True)]
+        if rows:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, value in rows:
+                    archive.writestr(name, value)
+            files, root = pafs.FileSystem.from_uri(path)
+            name = f"{root}/{hashlib.md5(rows[0][0].encode()).hexdigest()}.ZIP"  # a retried task writes the same file
+            with files.open_output_stream(name) as out:
+                out.write(held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+
+    return run
+
+
+@query
+def archive_bundle(spark, folder):
+    """Documents as .txt, conversations' turns as .csv and .json members of zip files, read as a bundle."""
+    path = _new_folder(spark)
+    files, root = pafs.FileSystem.from_uri(path)
+    files.create_dir(root, recursive=True)
+    turns = table(spark, folder, "conversations").filter("text is not null")
+    named = F.concat("conv_id", F.lit("-"), "turn")
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    members = (
+        table(spark, folder, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("value"))
+        .unionByName(turns.select(F.concat(named, F.lit(".csv")).alias("name"), F.concat(F.lit("a,b\n,"), cell).alias("value")))
+        .unionByName(turns.select(F.concat(named, F.lit(".json")).alias("name"), F.to_json(F.array(F.struct("text"))).alias("value")))
+    )
+    members.repartition("name").mapInArrow(_write_archives(path), "path string").write.format("noop").mode("overwrite").save()
+    return bundle.read_bundle(spark, path).select("filename", "content")
+
+
 @query
 def data_csv(spark, folder):
     """The normalised documents written as a data CSV and read back by column index."""

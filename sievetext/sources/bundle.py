@@ -130,16 +130,18 @@ class _Batches:
 
 
 def _line_blocks(stream) -> Iterator[bytes]:
-    """Whole lines in blocks of a few megabytes."""
-    rest = b""
+    """Whole lines in blocks of a few megabytes, cut at any one-byte line break.
+
+    A carriage return at the end of what was read may belong to a pair, so no cut is made there.
+    """
+    held: list[bytes] = []
     while chunk := stream.read(BLOCK_BYTES):
-        cut = chunk.rfind(b"\n") + 1
+        cut = max(chunk.rfind(b"\n"), *(chunk.rfind(b, 0, len(chunk) - 1) for b in (b"\r", b"\x0b", b"\x0c"))) + 1
         if cut:
-            yield rest + chunk[:cut]
-            rest = chunk[cut:]
-        else:
-            rest += chunk
-    if rest:
+            yield b"".join([*held, chunk[:cut]])
+            held = []
+        held.append(chunk[cut:])
+    if rest := b"".join(held):
         yield rest
 
 
@@ -262,7 +264,10 @@ def read_bundle(spark: SparkSession, path: str, tasks: int | None = None) -> Dat
 
 
 def bundle_errors(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """(filename, error) of CSV members that broke off; their rows before that are kept."""
-    members = scan_bundle(spark, path).filter(F.col("filename").endswith(".csv"))
+    """(filename, error) of CSV members that broke off, whose rows before that are kept, and of
+    JSON members that give no value."""
+    members = scan_bundle(spark, path).filter(~F.col("filename").endswith(".txt"))
     pieces = read_members(members, tasks)
-    return pieces.filter(F.col("error").isNotNull()).select("filename", "error")
+    values = F.when(F.col("kind") == "json", F.coalesce(F.size(json_values(F.col("value"))), F.lit(0)))
+    nothing = F.when(values <= 0, F.lit("no value can be taken from this JSON document"))
+    return pieces.select("filename", F.coalesce("error", nothing).alias("error")).filter(F.col("error").isNotNull())

@@ -47,10 +47,16 @@ def longest_csv_values(lines):
 
 
 def _csv_values_or_none(content: str | None) -> list[str] | None:
+    """The values up to where the text breaks off; null if there is none before that."""
+    if content is None:
+        return None
+    values: list[str] = []
     try:
-        return None if content is None else list(longest_csv_values(io.StringIO(content)))
+        for value in longest_csv_values(io.StringIO(content)):
+            values.append(value)
     except csv.Error:
-        return None
+        return values or None
+    return values
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

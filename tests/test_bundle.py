@@ -203,3 +203,26 @@ def test_csv_of_content_column(spark):
     for row in extract_csv_longest(files).orderBy("row_no").collect():
         got.setdefault(row.filename, []).append(row.content)
     assert got == {n: w for n, w in WANT.items() if n.endswith(".csv")}
+
+
+def test_line_blocks_cut_at_any_break(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 5)
+    for data in (b"ab\rcd\r\nef\ngh", b"abcdefghijk", b"a\r\nb\r\nc\r", b"abcd\r\nx", b""):
+        blocks = list(S._line_blocks(io.BytesIO(data)))
+        assert b"".join(blocks) == data
+        assert [x for b in blocks for x in b.splitlines()] == data.splitlines()
+
+
+def test_errors_and_upper_case_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "B.ZIP", "w") as archive:
+        archive.writestr("a.txt", "one line")
+        archive.writestr("bad.json", "{not json")
+        archive.writestr("none.json", "[{}]")
+        archive.writestr("good.json", '{"k": "value"}')
+    assert {r.content for r in S.read_bundle(spark, str(tmp_path)).collect()} == {"one line", "value"}
+    assert {r.filename for r in S.bundle_errors(spark, str(tmp_path)).collect()} == {"bad.json", "none.json"}
+
+
+def test_a_broken_csv_keeps_its_first_rows(spark):
+    files = spark.createDataFrame([("a.csv", "h,k\nx,long\ny,more\nz\r,q\n")], "filename string, content string")
+    assert [r.content for r in extract_csv_longest(files).orderBy("row_no").collect()] == ["long", "more"]
