@@ -266,6 +266,22 @@ def _score_texts(shared):
     return run
 
 
+def commonest(table: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``table`` whose count ``c`` is over a bar that at most ``limit`` rows pass; nothing is sorted.
+
+    The bar is found from how many rows each sixteenth of a power of two has.
+    """
+    step = F.floor(F.log2("c") * 16)
+    sizes = table.where("c > 0").groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # 1,024 at most
+    total, bar = 0, None
+    for row in sizes:
+        total += row["n"]
+        if total > limit:
+            break
+        bar = row["s"]
+    return table.where((F.col("c") > 0) & (step >= bar)) if bar is not None else table.limit(0)
+
+
 PARTS = "rid long, kind int, unit long, n long, total double, base double, known long"
 
 
@@ -295,7 +311,7 @@ def score(docs: DataFrame) -> DataFrame:
     valued_words = words.select("unit", "c", F.log10((F.col("c") + 0.1) / F.lit(below)).alias("value"))
     common = []
     for table, limit in ((valued, COMMON_GRAMS), (valued_words, COMMON_WORDS)):
-        top = table.orderBy(F.desc("c"), "unit").limit(limit).select("unit", "value").toArrow()  # of fixed size
+        top = commonest(table, limit).select("unit", "value").toArrow()  # no more rows than the limit
         common.append(Table(top["unit"].to_numpy().view(np.uint64), top["value"].to_numpy()))
     shared = spark.sparkContext.broadcast(tuple(common))
     keyed = stored(rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), "text"), "texts")
