@@ -62,8 +62,8 @@ class BytePairs:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")") if self.added else None
         self.names = {i: t.encode() + b" " for t, i in (vocab | self.added).items()}
-        self.fragments = Memory(self._find_fragments)
-        self.memory = Memory(self._find)
+        self.fragments = Memory(self._find_fragments, f"pairs {path}")
+        self.memory = Memory(self._find, f"pairs {path}")
 
     def merge(self, fragments: list[tuple[bytes, bool]]) -> list[np.ndarray]:
         """ids of fragments; each comes with whether it is the last of its word.

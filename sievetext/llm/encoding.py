@@ -10,12 +10,13 @@ encoded in one go.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Pieces kept per generation and worker.
-KEPT = 400_000
+KEPT = 300_000
 #: Characters worked on at once.
 SLICE = 1 << 20
 #: Marks that often follow a word.
@@ -34,13 +35,26 @@ def tokenizer_path(name: str) -> str:
 
 
 class Memory:
-    """What was found for the latest pieces: two generations, so a full one costs no search."""
+    """What was found for the latest pieces: two generations, so a full one costs no search.
 
-    def __init__(self, find, kept: int = KEPT):
-        self.find, self.kept, self.young, self.old = find, kept, {}, {}
+    A worker may serve several operators in turn; once another ``owner`` learns, what the others
+    hold is let go.
+    """
+
+    everyone: weakref.WeakSet[Memory] = weakref.WeakSet()
+    current: str = ""
+
+    def __init__(self, find, owner: str, kept: int = KEPT):
+        self.find, self.owner, self.kept, self.young, self.old = find, owner, kept, {}, {}
+        Memory.everyone.add(self)
 
     def learn(self, lists: list[list]) -> None:
         """Find what is not known of these lists of pieces, all at once; ``young`` has it all then."""
+        if Memory.current != self.owner:
+            Memory.current = self.owner
+            for other in Memory.everyone:
+                if other.owner != self.owner:
+                    other.young, other.old = {}, {}
         missing = set().union(*lists).difference(self.young)
         if missing and len(self.young) + len(missing) > self.kept and self.young:
             self.old, self.young = self.young, {}
@@ -93,7 +107,7 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memory = Memory(self._find)
+        self.memory = Memory(self._find, path)
 
     def _find(self, pieces: list[str]) -> list[bytes]:
         """ids of pieces; a word and a mark after it are two pieces to both kinds of files."""

@@ -261,7 +261,7 @@ class Scorer:
 
     def __init__(self, net: Net):
         self.net = net
-        self.memory = Memory(lambda words: list(net.gates(net.inputs(Codes.of(words)))), 60_000)
+        self.memory = Memory(lambda words: list(net.gates(net.inputs(Codes.of(words)))), "toxicity", 60_000)
 
     def scores(self, texts: list[str]) -> Iterator[float]:
         for group in groups(texts):
