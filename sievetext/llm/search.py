@@ -28,9 +28,10 @@ from .common import fresh_folder, stored, text_of
 from .encoding import groups
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 1 << 15
+#: A shard is closed at so many documents or (document, term) pairs; building one takes about 100 bytes a pair.
+SHARD_DOCS, SHARD_PAIRS = 1 << 13, 2_500_000
 BLOCK = 64
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 #: Scores count to this many decimals, so that equal texts tie exactly.
 DECIMALS = 6
 
@@ -156,7 +157,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _write_shards(folder: str, mean_length: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, counts = [], [], []
+        ids, terms, counts, pairs = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             name = _save(folder, "shard", build(np.array(ids, np.int64), terms, counts, mean_length))
@@ -168,9 +169,10 @@ def _write_shards(folder: str, mean_length: float):
                 ids.append(doc_id)
                 terms.append(own)
                 counts.append(n.astype(np.uint32))
-                if len(ids) == SHARD_DOCS:
+                pairs += len(own)
+                if len(ids) == SHARD_DOCS or pairs >= SHARD_PAIRS:
                     yield flush()
-                    ids, terms, counts = [], [], []
+                    ids, terms, counts, pairs = [], [], [], 0
         if ids:
             yield flush()
 
