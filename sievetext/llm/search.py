@@ -70,14 +70,16 @@ def build(ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], me
     norm = K1 * (1 - B + B * lengths / mean_length)
     impact = tf * (K1 + 1) / (tf + norm[owner])
     by_term = np.lexsort((doc, place))
-    place, doc, impact = place[by_term], doc[by_term], impact[by_term]
+    place, doc, impact, tf = place[by_term], doc[by_term], impact[by_term], tf[by_term]
     block = doc // BLOCK
     first = np.flatnonzero(np.concatenate(([True], (np.diff(place) > 0) | (np.diff(block) > 0)))) if len(doc) else np.zeros(0, np.int64)
     most = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
     return {
-        "ids": ids[order], "terms": distinct, "docs": doc.astype(np.uint32), "impacts": impact,
-        "entry_ptr": np.searchsorted(place[first], np.arange(len(distinct) + 1)), "entry_block": block[first].astype(np.int32),
-        "entry_max": most, "entry_post": np.append(first, len(doc)),
+        "ids": ids[order], "terms": distinct, "norms": norm[order], "docs": doc.astype(np.uint16),
+        "tf": tf.astype(np.uint16 if tf.max(initial=0) < 1 << 16 else np.uint32),
+        "entry_ptr": np.searchsorted(place[first], np.arange(len(distinct) + 1)).astype(np.uint32),
+        "entry_block": block[first].astype(np.uint16), "entry_post": np.append(first, len(doc)).astype(np.uint32),
+        "entry_max": np.nextafter(most.astype(np.float32), np.float32(np.inf)),  # rounded up
     }
 
 
@@ -90,7 +92,7 @@ def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray,
     at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
     hit = own[at] == terms
     at, weights = at[hit], weights[hit]
-    ptr = index["entry_ptr"]
+    ptr = index["entry_ptr"].astype(np.int64)
     counts = ptr[at + 1] - ptr[at]
     entries = spans(ptr[at], counts)
     weight = np.repeat(weights, counts)
@@ -107,9 +109,12 @@ def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray,
         opened, step = opened + step, min(64, step * 2)
         taken = chosen[block]
         e = entries[taken]
-        size = index["entry_post"][e + 1] - index["entry_post"][e]
-        posts = spans(index["entry_post"][e], size)
-        total = np.bincount(index["docs"][posts], np.repeat(weight[taken], size) * index["impacts"][posts], n_docs)
+        start = index["entry_post"][e].astype(np.int64)
+        size = index["entry_post"][e + 1] - start
+        posts = spans(start, size)
+        docs, tf = index["docs"][posts], index["tf"][posts].astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + index["norms"][docs])
+        total = np.bincount(docs, np.repeat(weight[taken], size) * impact, n_docs)
         found = np.flatnonzero(total)
         if len(found) > k:
             least = np.partition(total[found], len(found) - k)[len(found) - k]
