@@ -242,6 +242,28 @@ def test_near_paragraphs_and_edited_copies(spark):
     assert {r["doc_id"]: r["text"] for r in paragraphs.drop_repeats(docs).collect()} == {1: rows[0][1], 2: "x\ny", 3: rows[2][1], 4: rows[3][1]}
 
 
+def test_near_lines_of_template_text_meet(spark):
+    rng = np.random.default_rng(7)
+    common = [f"t{i}" for i in range(200)]
+    lines = []
+    for own in range(60):  # 34 of every 40 words shared, each line with copies of 4 edits
+        line = [w if i % 40 < 34 else f"o{own}x{i}" for i, w in enumerate(common)]
+        lines.append(line)
+        for copy in range(4):
+            edited = list(line)
+            for place in rng.choice(200, 4, replace=False):
+                edited[place] = f"e{own}x{copy}x{place}"
+            lines.append(edited)
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    got = {r["doc_id"] for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("n_words >= 200").collect()}
+    sets = [{tuple(x[i : i + 5]) for i in range(196)} for x in lines]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert got <= {a for a in range(300) if any(like(a, b) for b in range(a))}
+    lost = [a for a in range(300) if a not in got and any(b not in got and like(a, b) for b in range(a))]
+    assert not lost
+
+
 def test_drop_repeats_keeps_rows_and_columns(docs):
     cut = paragraphs.drop_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
