@@ -1,10 +1,9 @@
 """License scans: TF-IDF cosine of lines to licence templates, then inheritance along directories.
 
 Every line of every text is compared with every template, as sparse TF-IDF vectors.  A term's
-weight comes from how many of all documents hold it; a term of no template counts as one that no
-document holds.  A file's licence is that of its best line; a file without one takes that of the
-licence file in its nearest directory above, found by joins on the paths of directories.  All of it
-is DataFrame and SQL functions.
+weight comes from how many of all documents hold it.  A file's licence is that of its best line; a
+file without one takes that of the licence file in its nearest directory above, found by joins on the
+paths of directories.  All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -44,22 +43,18 @@ def template_terms() -> list[tuple[str, int, str, int]]:
     return rows
 
 
-def _known() -> list[str]:
-    return sorted({term for _, _, term, _ in template_terms()})
-
-
 def _terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(f"({TERM})"), F.lit(1))
 
 
-def weights(docs: DataFrame) -> tuple[dict[str, float], float]:
-    """The templates' terms' inverse document frequencies over all texts, and that of any other term."""
-    known = F.array(*[F.lit(t) for t in _known()])
-    own = docs.select(F.explode(F.array_intersect(_terms(text_of()), known)).alias("term"))
-    counts = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # the templates' terms
-    rows = docs.count()
-    idf = lambda n: math.log((1 + rows) / (1 + n)) + 1
-    return {term: idf(counts.get(term, 0)) for term in _known()}, idf(0)
+def _idf(n, rows: int):
+    """Of a term that n of ``rows`` texts hold, as number or column."""
+    return F.log((1 + rows) / (1 + n)) + 1 if isinstance(n, Column) else math.log((1 + rows) / (1 + n)) + 1
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): how many of the texts hold each term."""
+    return docs.select(F.explode(F.array_distinct(_terms(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -68,26 +63,33 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A line is first held against what its cosine could be at most if it had no term but the
     templates', which loses none; what remains is scored exactly.
     """
-    idf, other = weights(docs)
-    vectors: dict[tuple[str, int], dict[str, float]] = {}
-    for licence, i, term, n in template_terms():
-        vectors.setdefault((licence, i), {})[term] = n * idf[term]
+    frequencies, rows = stored(document_frequencies(docs), "document-frequencies"), docs.count()
     lines = docs.select("key", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
+    return unit_matches(lines, template_terms(), frequencies, rows, threshold)
+
+
+def unit_matches(units: DataFrame, templates: list[tuple[str, int, str, int]], frequencies: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """(key, line_no, licence, cosine) of the units (key, line_no, line) that reach ``threshold`` with one of the templates."""
+    spark = units.sparkSession
+    names = spark.createDataFrame([(t,) for t in sorted({term for _, _, term, _ in templates})], "term string")
+    counts = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(names), "term").collect()}  # the templates' terms
+    vectors: dict[tuple[str, int], dict[str, float]] = {}
+    for licence, i, term, n in templates:
+        vectors.setdefault((licence, i), {})[term] = n * _idf(counts.get(term, 0), rows)
     telling = "|".join(re.escape(t) for t in sorted(needed(vectors, threshold)))
-    lines = lines.where(F.lower("line").rlike(f"(?<![a-z])(?:{telling})(?![a-z])"))
-    terms = lines.select("key", "line_no", F.explode(_terms(F.col("line"))).alias("term"))
+    units = units.where(F.lower("line").rlike(f"(?<![a-z])(?:{telling})(?![a-z])"))
+    terms = units.select("key", "line_no", F.explode(_terms(F.col("line"))).alias("term"))
     tf = stored(terms.groupBy("key", "line_no", "term").agg(F.count("*").cast("double").alias("tf")), "line-terms")
-    spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    square = F.when(F.col("idf").isNull(), F.lit(other**2)).otherwise(F.pow(F.col("tf") * F.col("idf"), 2.0))
-    norms = tf.join(F.broadcast(known), "term", "left").groupBy("key", "line_no").agg(F.sqrt(F.sum(square)).alias("norm"))
-    rows = []
+    weighed = tf.join(frequencies, "term").withColumn("x", F.col("tf") * _idf(F.col("df"), rows))
+    weighed = stored(weighed.select("key", "line_no", "term", "x"), "line-weights")
+    norms = weighed.groupBy("key", "line_no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    shares = []
     for (licence, i), vector in vectors.items():
         length = sum(w * w for w in vector.values()) ** 0.5
-        rows += [(licence, i, term, idf[term] * w / length) for term, w in vector.items()]
-    templates = spark.createDataFrame(rows, "licence string, i int, term string, w double")
-    dots = tf.join(F.broadcast(templates), "term").groupBy("key", "line_no", "licence", "i")  # the templates' terms
-    dots = dots.agg(F.sum(F.col("tf") * F.col("w")).alias("dot")).join(norms, ["key", "line_no"])
+        shares += [(licence, i, term, w / length) for term, w in vector.items()]
+    shares = spark.createDataFrame(shares, "licence string, i int, term string, w double")
+    dots = weighed.join(F.broadcast(shares), "term").groupBy("key", "line_no", "licence", "i")  # the templates' terms
+    dots = dots.agg(F.sum(F.col("x") * F.col("w")).alias("dot")).join(norms, ["key", "line_no"])
     found = dots.select("key", "line_no", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     return found.where(F.col("cosine") >= threshold)
 

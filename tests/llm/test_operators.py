@@ -285,6 +285,12 @@ def test_license_inheritance(spark):
     }
 
 
+def test_license_terms_weigh_by_their_documents(spark):
+    rows = [(i, f"d/{i}.txt", "and all of this is by the way") for i in range(300)] + [(300, "d/x.c", "by the way and all of this is released under the MIT License.")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert [(r["doc_id"], r["licence"]) for r in license.scan(files).where("source = 'own'").collect()] == [(300, "MIT")]
+
+
 def test_search_ties_and_empty_queries(docs):
     queries = docs.where("doc_id in (2, 3, 4)").dropDuplicates(["doc_id"]).selectExpr("doc_id as query_id", "text")
     got = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.search(docs, queries, k=3).orderBy("query_id", "rank").collect()]
