@@ -1,7 +1,9 @@
 """License scans: TF-IDF cosine of lines to licence templates, then inheritance along directories.
 
-Every line of every text is compared with every template, as sparse TF-IDF vectors.  A term's
-weight comes from how many of all documents hold it.  A file's licence is that of its best line; a
+Units of one kind are compared with templates of that kind, as sparse TF-IDF vectors: every line
+with notices, the header of a file (its leading comment lines, or else its first paragraph) with
+standard headers and short licences, the whole text of a licence file with whole licences.  A term's
+weight comes from how many of all documents hold it.  A file's licence is that of its best unit; a
 file without one takes that of the licence file in its nearest directory above, found by joins on the
 paths of directories.  All of it is DataFrame and SQL functions.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,27 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 
+# What the licences ask to be put at the head of a file.
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+        should have received a copy of the GNU General Public License along with this program. If not, see
+        <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+#: Licences whose whole text stands in ``licences``; those that are short are put at the head of files, too.
+WHOLE, SHORT = ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0"), ("BSD-3-Clause", "MIT")
+#: A line of a comment.
+COMMENT = r"^\s*(?://|/?\*|#|--|;|%|<!--|\(\*|\"\"\")"
+
 THRESHOLD = 0.8
 #: A term: letters, digits and dots between digits; case does not count.
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
@@ -35,8 +59,26 @@ LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 def template_terms() -> list[tuple[str, int, str, int]]:
     """(licence, template, term, how often) of the templates."""
+    return _term_rows(TEMPLATES)
+
+
+def header_terms() -> list[tuple[str, int, str, int]]:
+    """The same of standard headers and short licences."""
+    return _term_rows({name: (text,) for name, text in HEADERS.items()} | {name: (_whole(name),) for name in SHORT})
+
+
+def whole_terms() -> list[tuple[str, int, str, int]]:
+    """The same of whole licences."""
+    return _term_rows({name: (_whole(name),) for name in WHOLE})
+
+
+def _whole(licence: str) -> str:
+    return files("sievetext.llm").joinpath("licences", f"{licence}.txt").read_text("utf-8")
+
+
+def _term_rows(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, str, int]]:
     rows = []
-    for licence, texts in TEMPLATES.items():
+    for licence, texts in templates.items():
         for i, text in enumerate(texts):
             terms = re.findall(TERM, text.lower())
             rows += [(licence, i, term, terms.count(term)) for term in sorted(set(terms))]
@@ -57,15 +99,32 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(_terms(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line_no, licence, cosine) of lines whose best template reaches ``threshold``; ``docs`` has key and text.
+def header(text: Column) -> Column:
+    """A file's leading comment lines, or its first paragraph if it begins otherwise; '' if it is blank."""
+    lines = F.split(F.regexp_replace(text, r"^\s+", ""), r"\r?\n")
+    taken = F.when(F.element_at(lines, 1).rlike(COMMENT), r"comment").otherwise("paragraph")
+    ends = lambda line: ~F.when(taken == "comment", line.rlike(COMMENT)).otherwise(line.rlike(r"\S"))
+    # a block comment goes on in lines that have no mark of their own
+    block = F.regexp_extract(F.array_join(lines, "\n"), r"^/\*(?s:.*?)\*/", 0)
+    end = F.array_position(F.transform(lines, ends), True)
+    leading = F.array_join(F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(lines), "\n")
+    return F.when(block != "", block).otherwise(leading)
+
+
+def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, line_no, licence, cosine) of units that reach ``threshold`` with a template of their kind.
 
-    A line is first held against what its cosine could be at most if it had no term but the
-    templates', which loses none; what remains is scored exactly.
+    ``docs`` has key, text and named (whether the file's name says that it is a licence).  Headers and whole
+    texts count as line 0.  A unit is first held against what its cosine could be at most if it had no
+    term but the templates', which loses none; what remains is scored exactly.
     """
     frequencies, rows = stored(document_frequencies(docs), "document-frequencies"), docs.count()
     lines = docs.select("key", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    return unit_matches(lines, template_terms(), frequencies, rows, threshold)
+    heads = docs.select("key", F.lit(0).alias("line_no"), header(text_of()).alias("line"))
+    wholes = docs.where("named").select("key", F.lit(0).alias("line_no"), text_of().alias("line"))
+    found = unit_matches(lines, template_terms(), frequencies, rows, threshold)
+    found = found.union(unit_matches(heads, header_terms(), frequencies, rows, threshold))
+    return found.union(unit_matches(wholes, whole_terms(), frequencies, rows, threshold))
 
 
 def unit_matches(units: DataFrame, templates: list[tuple[str, int, str, int]], frequencies: DataFrame, rows: int, threshold: float) -> DataFrame:
@@ -128,13 +187,13 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``files``: doc_id, path, text; other columns are ignored.
 
-    A file's own licence is that of its best line, ties to the first line, then by name; one whose name says so
+    A file's own licence is that of its best line, header or (of a licence file) whole text, ties to the first line, then by name; one whose name says so
     (LICENSE, COPYING, NOTICE) is its directory's licence file and passes its licence on.  Of several
     in a directory the first by path counts.  Null paths have no directory and inherit nothing; null and empty
     texts have no licence of their own; repeated rows each get theirs; no rows give no rows.
     """
     keyed = files.select("doc_id", "path", F.xxhash64("path", text_of()).alias("key"), text_of().alias("text"))
-    found = line_matches(keyed.select("key", "text"), threshold)
+    found = matches(keyed.select("key", "text", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("named")), threshold)
     first = F.min(F.struct((-F.col("cosine")).alias("c"), "line_no", "licence")).alias("m")
     best = found.groupBy("key").agg(first).select("key", F.col("m.licence").alias("own"), (-F.col("m.c")).alias("own_cosine"))
     own = stored(keyed.select("doc_id", "path", "key").join(best, "key", "left"), "own-licences")

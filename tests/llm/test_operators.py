@@ -291,6 +291,20 @@ def test_license_terms_weigh_by_their_documents(spark):
     assert [(r["doc_id"], r["licence"]) for r in license.scan(files).where("source = 'own'").collect()] == [(300, "MIT")]
 
 
+def test_license_bodies_and_wrapped_headers(spark):
+    whole = {name: license._whole(name) for name in license.WHOLE}
+    rows = [(i, f"{name}/LICENSE", text.replace("<year> <copyright holders>", "2024 Jane Doe")) for i, (name, text) in enumerate(whole.items())]
+    apache = [line.strip() for line in license.HEADERS["Apache-2.0"].split("\n")]
+    gpl = [line.strip() for line in license.HEADERS["GPL-3.0"].split("\n")]
+    code = "\n\nint main(void) { return answer(42); }\n" * 30
+    rows += [(10, "s/a.py", "\n".join(f"# {x}" for x in ["Copyright 2024 Jane Doe", "", *apache]) + code)]
+    rows += [(11, "s/b.c", "/*\n" + "\n\n".join(gpl) + "\n*/" + code), (12, "MIT/x.c", code), (13, "s/c.c", "// by Jane Doe" + code)]
+    rows += [(20 + i, f"t/{i}.txt", "the use of this and that is by the way in any of the other texts") for i in range(50)]
+    found = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["licence"], r["source"]) for r in license.scan(found).where("doc_id < 20").collect()}
+    assert got == dict(enumerate((name, "own") for name in whole)) | {10: ("Apache-2.0", "own"), 11: ("GPL-3.0", "own"), 12: ("MIT", "inherited"), 13: (None, "none")}
+
+
 def test_search_ties_and_empty_queries(docs):
     queries = docs.where("doc_id in (2, 3, 4)").dropDuplicates(["doc_id"]).selectExpr("doc_id as query_id", "text")
     got = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.search(docs, queries, k=3).orderBy("query_id", "rank").collect()]
