@@ -7,8 +7,9 @@ children's.  A trained tree then mixes the estimates of all depths along a conte
 weights that follow from the counts alone, so nothing depends on the order of the training texts.
 
 What the tree says of a byte depends on DEPTH + 1 bytes.  Tasks count these grams, one shuffle adds
-them up, tasks weigh the grams of one last byte each, and only the root's 255 nodes (of at most 256
-rows each) meet on the driver.  Scoring looks the grams up: the commonest in a table of fixed size that
+them up, and tasks weigh the subtrees of grams that share their last TOP context bytes, many small ones at
+once.  What these subtrees say of their roots is added up to the root of the tree by grouped sums, and
+what the nodes above say comes back to them by joins.  Scoring looks the grams up: the commonest in a table of fixed size that
 every task has, the rest by an equi join on (document, gram) rows.  Words of the base model go the same way.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, text_of
@@ -31,6 +32,8 @@ EDGE = 0xFF
 #: Entries of the tables of the commonest grams and words that every task has.
 COMMON_GRAMS, COMMON_WORDS = 1 << 20, 1 << 16
 GRAM, WORD = 0, 1
+#: Last context bytes that a task's grams share in groups, and about how many grams it weighs at once.
+TOP, PART_GRAMS = 3, 1 << 17
 _HALF = np.log(0.5)
 
 
@@ -187,19 +190,88 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return units[order], counts[order]
 
 
-def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = root_rows(*_arrays(batches))
-    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bit", "prefix", "zeros", "ones", "weighted"])
+def parted(grams: DataFrame) -> DataFrame:
+    """The grams (unit, c) with the part that weighs them; a subtree below TOP context bytes is in one part."""
+    parts = grams.count() // PART_GRAMS + 1
+    return grams.withColumn("part", F.pmod(F.xxhash64(F.shiftrightunsigned("unit", 8 * (DEPTH + 1 - TOP))), F.lit(parts)))
 
 
-def _scores(root):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = _arrays(batches)
-        arrays = [pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(gram_scores(grams, counts, root))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["unit", "c", "value"])
+NODES = "part long, bit int, name long, zeros double, ones double, weighted double"
 
-    return run
+
+def _subtrees(table: pa.Table) -> pa.Table:
+    """The roots of a part's subtrees; a node's name is its context, then the bits before in its byte."""
+    part = table.column("part")[0].as_py()
+    grams, counts = _arrays(iter(table.to_batches()))
+    found = []
+    for bit in range(8):
+        tree = Tree(grams, counts, bit, TOP)
+        names = tree.nodes[TOP].view(np.int64)
+        found.append((np.full(len(names), part), np.full(len(names), bit, np.int32), names, *tree.kt[TOP], tree.weighted[TOP]))
+    columns = [np.concatenate([x[k] for x in found]) for k in range(6)]
+    return pa.table([pa.array(c) for c in columns], names=["part", "bit", "name", "zeros", "ones", "weighted"])
+
+
+LEVEL = "bit int, name long, one double, zero double, rest double, weighted double"
+
+
+def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of nodes (bit, name, zeros, ones, children): shares of the own estimates, what is left to the children, ln weighted."""
+    for batch in batches:
+        zeros, ones, children = (batch.column(c).to_numpy() for c in ("zeros", "ones", "children"))
+        log_e = log_kt(zeros, ones)
+        weighted = _HALF + np.logaddexp(log_e, children)
+        own, below = np.exp(_HALF + log_e - weighted), np.exp(_HALF + children - weighted)
+        each = own / (zeros + ones + 1)
+        arrays = [pa.array(x) for x in (each * (ones + 0.5), each * (zeros + 0.5), below, weighted)]
+        yield pa.RecordBatch.from_arrays([batch.column("bit"), batch.column("name"), *arrays], names=["bit", "name", "one", "zero", "rest", "weighted"])
+
+
+def _parent(name: str) -> Column:
+    """The name of the node of one context byte less."""
+    return F.shiftleft(F.shiftright(name, 16), 8).bitwiseOR(F.col(name).bitwiseAND(F.lit(255)))
+
+
+def shares_above(subtrees: DataFrame) -> DataFrame:
+    """(part, bit, name, one, zero, rest) of the subtrees' roots: what all nodes above give to either bit, and what they leave."""
+    sums = subtrees.select("bit", "name", "zeros", "ones", "weighted")
+    levels = []
+    for depth in range(TOP - 1, -1, -1):
+        sums = sums.groupBy("bit", _parent("name").alias("name")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children"))
+        sums = stored(sums, f"sums{depth}")
+        level = stored(sums.mapInArrow(_level, LEVEL), f"level{depth}")
+        levels.append(level)
+        sums = sums.join(level.select("bit", "name", "weighted"), ["bit", "name"])
+    above = levels.pop().drop("weighted")  # the root's 255 nodes
+    outer = lambda frame: frame.select(F.col("bit"), F.col("name").alias("parent"), *[F.col(c).alias(f"o_{c}") for c in ("one", "zero", "rest")])
+    while levels:
+        level = levels.pop().withColumn("parent", _parent("name")).join(outer(above), ["bit", "parent"])
+        mixed = [(F.col(f"o_{c}") + F.col("o_rest") * F.col(c)).alias(c) for c in ("one", "zero")]
+        above = level.select("bit", "name", *mixed, (F.col("o_rest") * F.col("rest")).alias("rest"))
+    roots = subtrees.select("part", "bit", "name", _parent("name").alias("parent")).join(outer(above), ["bit", "parent"])
+    return roots.select("part", "bit", "name", *[F.col(f"o_{c}").alias(c) for c in ("one", "zero", "rest")])
+
+
+def _part_scores(table: pa.Table, above: pa.Table) -> pa.Table:
+    """log10 of the probability of each gram's byte, from a part's grams and the shares above its subtrees."""
+    grams, counts = _arrays(iter(table.to_batches()))
+    bits, names, *shares = (above.column(c).to_numpy() for c in ("bit", "name", "one", "zero", "rest"))
+    total = np.zeros(len(grams))
+    for bit in range(8):
+        tree = Tree(grams, counts, bit, TOP)
+        mine = np.flatnonzero(bits == bit)
+        mine = mine[np.argsort(names[mine])][tree.place[TOP]]  # the names are those of tree.nodes
+        one, zero, rest = (x[mine] for x in shares)
+        total += np.log10(np.where(tree.ones == 1, one, zero) + rest * tree.probability())
+    return pa.table([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(total)], names=["unit", "c", "value"])
+
+
+def gram_values(grams: DataFrame) -> DataFrame:
+    """(unit, c, value) of the counted grams (unit, c)."""
+    grams = parted(grams)
+    subtrees = stored(grams.groupBy("part").applyInArrow(_subtrees, NODES), "subtrees")
+    above = shares_above(subtrees).groupBy("part")
+    return grams.groupBy("part").cogroup(above).applyInArrow(_part_scores, "unit long, c long, value double")
 
 
 class Table:
@@ -297,12 +369,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), held)
     counts = rows.mapInArrow(_count, "kind int, unit long, c long").groupBy("kind", "unit").agg(F.sum("c").alias("c"))
     counts = stored(counts, "unit-counts")
-    grams = counts.where(F.col("kind") == GRAM).select("unit", "c", F.shiftrightunsigned("unit", 8 * DEPTH).alias("last"))
-    tops = grams.groupBy("last").applyInArrow(lambda t: pa.Table.from_batches(_root(iter(t.to_batches()))), "bit int, prefix int, zeros double, ones double, weighted double")
-    root = root_nodes([tuple(r) for r in tops.collect()])  # at most 256 x 255 rows
-    scores = _scores(root)
-    valued = grams.groupBy("last").applyInArrow(lambda t: pa.Table.from_batches(scores(iter(t.to_batches()))), "unit long, c long, value double")
-    valued = stored(valued, "gram-scores")
+    grams = counts.where(F.col("kind") == GRAM).select("unit", "c")
+    valued = stored(gram_values(grams), "gram-scores")
     words = counts.where(F.col("kind") == WORD)
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = rows.agg(F.count_if(~F.col("held_out"))).first()[0]

@@ -206,6 +206,22 @@ def test_ctw_rare_units_are_joined(docs, monkeypatch):
     assert whole == sorted((repr(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.score(docs).collect())
 
 
+@pytest.mark.parametrize("part", [1 << 17, 300])
+def test_ctw_parts_of_one_last_byte_give_the_whole_tree(spark, monkeypatch, part):
+    monkeypatch.setattr(ctw, "PART_GRAMS", part)
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abc "), 3000)).encode()
+    units, counts = np.unique(np.concatenate([ctw.text_grams(text), ctw.text_grams(b"the cab, the bac")]), return_counts=True)
+    last = units >> np.uint64(8 * ctw.DEPTH)
+    root = ctw.root_nodes([r for top in np.unique(last) for r in ctw.root_rows(units[last == top], counts[last == top].astype(float))])
+    want = {u: v for top in np.unique(last) for u, v in zip(units[last == top].view(np.int64).tolist(), ctw.gram_scores(units[last == top], counts[last == top].astype(float), root), strict=True)}
+    grams = spark.createDataFrame(list(zip(units.view(np.int64).tolist(), counts.tolist(), strict=True)), "unit long, c long")
+    got = {r["unit"]: r["value"] for r in ctw.gram_values(grams).collect()}
+    assert set(got) == set(want) and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+    one = grams.where((F.shiftrightunsigned("unit", 8 * ctw.DEPTH)) == ord("a"))
+    assert part > 300 or ctw.parted(one).select("part").distinct().count() > 1
+
+
 def test_toxicity_learns_and_ignores_all_but_the_text(spark):
     clean, bad = [f"calm words about thing{i} and more of it" for i in range(60)], [f"you awful{i % 7} person{i} go away" for i in range(60)]
     rows = [(i, t) for i, t in enumerate(clean + bad)] + [(500, None), (None, "calm words"), (501, "")]
