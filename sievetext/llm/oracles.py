@@ -86,3 +86,29 @@ select doc_id, path, coalesce(own, h_own) as licence, coalesce(own_cosine, h_cos
        case when own is not null then path else h_path end as licence_path
 from own left join above using (doc_id)
 """
+
+ORACLES["op12_mixing"] = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5(coalesce(cast(doc_id as varchar), '')) as key from documents),
+sources as (
+  select source, sum(size) as source_size, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from sized group by source),
+ranked as (
+  select *, sum(2 * source_size) over filling - 2 * source_size as full_words, sum(weight) over () - sum(weight) over filling + weight as left_weight
+  from sources window filling as (order by source_size / weight, source nulls last rows unbounded preceding)),
+shares as (
+  select first((1.5::double * (select sum(source_size) from sources) - full_words) / left_weight order by source_size / weight, source nulls last) as a_weight
+  from ranked where (1.5::double * (select sum(source_size) from sources) - full_words) / left_weight * weight < 2 * source_size),
+targets as (
+  select source, source_size, least(2.0::double * source_size, coalesce(a_weight, 0)::double * weight) as target from sources, shares),
+placed as (
+  select doc_id, size, source_size, target, least(round(target), 2 * source_size) as wanted,
+         sum(size) over (partition by s.source order by key, doc_id nulls first rows unbounded preceding) - size as start
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
+       cast(case when source_size = 0 then 0 else
+         floor(wanted / source_size) * size
+         + greatest(0, least(start + size, wanted - floor(wanted / source_size) * source_size) - start) end as bigint) as taken
+from placed
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, license, packing, paragraphs, quality, search, simhash, token_files, toxicity
+from . import bpe, ctw, license, mixing, packing, paragraphs, quality, runs, search, simhash, token_files, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -76,3 +76,18 @@ def op6_license(spark, folder):
     path = F.concat_ws("/", F.col("source"), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"), name)
     files = documents(spark, folder).select("doc_id", path.alias("path"), "text")
     return license.scan(files)
+
+
+@query
+def op11_whitening(spark, folder):
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op12_mixing(spark, folder):
+    return mixing.taken(documents(spark, folder))
+
+
+@query
+def op13_runs(spark, folder):
+    return runs.digests(documents(spark, folder))
