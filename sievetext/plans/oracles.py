@@ -331,4 +331,24 @@ ORACLES: dict[str, str] = {
         f"""SELECT source || ' : ' || category || ' : "' || {_clean(_normalized("text"))} || '"' AS line
         FROM nearest JOIN documents ON doc_id = key WHERE dist <= {PASS_384}""",
     ),
+    "csv_files": f"SELECT {_normalized('text')} AS content FROM documents",
+    "json_list_files": f"SELECT 'docs.json' AS filename, {_normalized('text')} AS content FROM documents",
+    "bundle_run": f"""
+        WITH turns AS (SELECT conv_id || '-' || turn || '.json' AS filename, turn % 3 = 1 AS broken,
+                              {_normalized("coalesce(text, '')")} AS content FROM conversations),
+        counts AS (SELECT count(*) FILTER (WHERE NOT broken) AS rows, count(*) FILTER (WHERE broken) AS errors,
+                          coalesce(sum(length(content)) FILTER (WHERE NOT broken), 0)::BIGINT AS characters FROM turns)
+        SELECT filename, CASE WHEN broken THEN 'error' ELSE 'row' END AS kind,
+        CASE WHEN broken THEN 'no value can be taken from this JSON document' ELSE content END AS content,
+        rows, errors, characters FROM turns, counts""",
+    "filter_files_read": f"""
+        WITH cells AS (SELECT item_id, list_filter(list_transform(string_split(text, '.'),
+            lambda x: {_strip("x", UNICODE_WHITESPACE)}), lambda x: x <> '') AS a FROM benchmark)
+        SELECT item_id || '.csv' AS filename, 0::BIGINT AS ord, 'first' AS category, list_aggregate(a, 'string_agg', '|') AS anchors,
+               NULL::VARCHAR AS error FROM cells WHERE len(a) > 0
+        UNION ALL SELECT item_id || '.csv', 1, CASE WHEN item_id % 3 <> 0 THEN 'whole' END,
+               CASE WHEN item_id % 3 <> 0 THEN 'closed' END, CASE WHEN item_id % 3 = 0 THEN 'a quote is not closed' END FROM cells
+        UNION ALL SELECT item_id || '.csv', 2, 'last', 'item ' || item_id, NULL FROM cells""",
 }
+
+ORACLES["archive_match"] = ORACLES["trimmed_lines"]

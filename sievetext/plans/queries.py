@@ -5,14 +5,11 @@ Each takes (spark, folder of parquet tables).  ``oracles.py`` has the SQL twins.
 
 from __future__ import annotations
 
-import hashlib
-import io
 import uuid
 import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +18,9 @@ from ..functions import text as T
 from ..functions.encoders import HashEncoder, VectorTable
 from ..operators import intents, matching, vectors
 from ..session import shared_dir
-from ..sources import bundle, extract, jobs, sinks
+from ..sources import bundle, extract, filter_files, jobs, sinks
 from ..streaming.trim import trim_stream, write_stream
-from .trim import SIMILARITY_THRESHOLD, trim_against, trim_vectors
+from .trim import SIMILARITY_THRESHOLD, match_archive_to_lines, trim_against, trim_vectors
 
 EMBEDDING_DIM = 64
 ENCODER = HashEncoder(384)
@@ -194,41 +191,142 @@ def text_bundle(spark, folder):
     return bundle.read_bundle(spark, path).select("content")
 
 
-def _write_archives(path: str):
-    """Tasks write their rows (kind, name, value) as members of one zip file each; only the path returns."""
+def _write_archives(spark, rows: DataFrame, tasks: int | None = None) -> str:
+    """Write rows (archive, name, place, value) as zip files and return their folder.
 
-    def run(batches):
-        rows = [(n, v) for b in batches for n, v in zip(b.column("name").to_pylist(), b.column("value").to_pylist(), strict=True)]
-        if rows:
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-                for name, value in rows:
-                    archive.writestr(name, value)
-            files, root = pafs.FileSystem.from_uri(path)
-            name = f"{root}/{hashlib.md5(rows[0][0].encode()).hexdigest()}.ZIP"  # a retried task writes the same file
-            with files.open_output_stream(name) as out:
-                out.write(held.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+    The values of one name, in order of place, are one member; a null value is empty.  A task streams
+    the archives that fall to it; a retried one writes the same files again.
+    """
+    path = _new_folder(spark)
 
-    return run
+    def task(batches):
+        files, root = bundle.filesystem_of(path)
+        files.create_dir(root, recursive=True)
+        archive_name = name = out = archive = member = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["archive"] != archive_name:
+                    if archive is not None:
+                        member.close()
+                        archive.close()
+                        out.close()
+                    archive_name, name = row["archive"], None
+                    out = files.open_output_stream(f"{root}/{archive_name}")
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                if row["name"] != name:
+                    if name is not None:
+                        member.close()
+                    name = row["name"]
+                    member = archive.open(name, "w", force_zip64=True)
+                member.write((row["value"] or "").encode())
+        if archive is not None:
+            member.close()
+            archive.close()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([archive_name])], names=["archive"])
+
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    sorted_ = rows.select("archive", "name", "place", "value").repartition(tasks, "archive").sortWithinPartitions("archive", "name", "place")
+    sorted_.mapInArrow(task, "archive string").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def _member(name, value, place=0) -> list:
+    """Columns of ``_write_archives`` for small members, spread over archives by name."""
+    archive = F.concat(F.pmod(F.xxhash64(name), F.lit(32)), F.lit(".ZIP"))
+    return [archive.alias("archive"), name.alias("name"), F.lit(place).cast("long").alias("place"), value.alias("value")]
+
+
+def _quoted(text: str) -> F.Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
 @query
 def archive_bundle(spark, folder):
     """Documents as .txt, conversations' turns as .csv and .json members of zip files, read as a bundle."""
-    path = _new_folder(spark)
-    files, root = pafs.FileSystem.from_uri(path)
-    files.create_dir(root, recursive=True)
     turns = table(spark, folder, "conversations").filter("text is not null")
     named = F.concat("conv_id", F.lit("-"), "turn")
-    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     members = (
-        table(spark, folder, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("value"))
-        .unionByName(turns.select(F.concat(named, F.lit(".csv")).alias("name"), F.concat(F.lit("a,b\n,"), cell).alias("value")))
-        .unionByName(turns.select(F.concat(named, F.lit(".json")).alias("name"), F.to_json(F.array(F.struct("text"))).alias("value")))
+        table(spark, folder, "documents").select(_member(F.concat("doc_id", F.lit(".txt")), F.col("text")))
+        .unionByName(turns.select(_member(F.concat(named, F.lit(".csv")), F.concat(F.lit("a,b\n,"), _quoted("text")))))
+        .unionByName(turns.select(_member(F.concat(named, F.lit(".json")), F.to_json(F.array(F.struct("text"))))))
+    )
+    return bundle.read_bundle(spark, _write_archives(spark, members)).select("filename", "content")
+
+
+@query
+def csv_files(spark, folder):
+    """The documents written as plain CSV files, line breaks inside quotes, and read by splits of 256 KB."""
+    path = _new_folder(spark)
+    docs = table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("n"))
+    docs.write.option("header", "true").option("quoteAll", "true").option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", "false"
+    ).option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return bundle.read_bundle(spark, path, split_bytes=1 << 18).select("content")
+
+
+@query
+def json_list_files(spark, folder):
+    """The documents as items of JSON lists in zip members, which are read item by item, 64 KB at a time."""
+    archive = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(8)), F.lit(".zip"))
+    row = [archive.alias("archive"), F.lit("docs.json").alias("name")]
+    items = table(spark, folder, "documents").select(
+        *row, F.col("doc_id").alias("place"), F.concat(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), F.lit(",")).alias("value")
+    )
+    # the first item's value is the longest of its object, the last one has no key and gives nothing
+    ends = items.select("archive", "name").distinct().select(
+        "archive", "name", F.explode(F.array(F.struct(F.lit(-1).alias("place"), F.lit('[').alias("value")), F.struct(F.lit(2**62).alias("place"), F.lit("{}]").alias("value")))).alias("end")
     )
-    members.repartition("name").mapInArrow(_write_archives(path), "path string").write.format("noop").mode("overwrite").save()
-    return bundle.read_bundle(spark, path).select("filename", "content")
+    path = _write_archives(spark, items.unionByName(ends.select("archive", "name", "end.place", "end.value")))
+    return bundle.read_bundle(spark, path, block_bytes=1 << 16).select("filename", "content")
+
+
+@query
+def bundle_run(spark, folder):
+    """Turns as JSON members, some of them broken: rows and errors of one reading, counted while it ran."""
+    turns = table(spark, folder, "conversations")
+    broken = F.when(F.col("turn") % 3 == 1, F.lit("]")).otherwise(F.lit(""))
+    value = F.concat(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), broken)
+    members = turns.select(_member(F.concat("conv_id", F.lit("-"), "turn", F.lit(".json")), value))
+    run = bundle.write_bundle(spark, _write_archives(spark, members), _new_folder(spark))
+    rows = run.rows.select("filename", F.lit("row").alias("kind"), "content")
+    errors = run.errors.select("filename", F.lit("error").alias("kind"), F.col("error").alias("content"))
+    counts = [F.lit(run.counts[name]).cast("long").alias(name) for name in ("rows", "errors", "characters")]
+    return rows.unionByName(errors).select("*", *counts)
+
+
+@query
+def filter_files_read(spark, folder):
+    """Every item as a filter file of three records, the second one broken in every third file."""
+    items = table(spark, folder, "benchmark")
+    cells = F.array_join(F.transform(F.split("text", r"\."), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ",")
+    second = F.when(F.col("item_id") % 3 == 0, F.lit('broken,"never closed')).otherwise(F.lit("whole,closed"))
+    value = F.concat_ws("\n", F.concat(F.lit("first,"), cells), second, F.concat(F.lit("last,"), F.lit("item "), F.col("item_id").cast("string")))
+    members = items.select(_member(F.concat("item_id", F.lit(".csv")), value))
+    found = filter_files.read_filter_records(bundle.scan_bundle(spark, _write_archives(spark, members)))
+    good = jobs.filters_of_records(found).select("filename", "ord", "category", F.array_join("anchors", "|").alias("anchors"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(filter_files.filter_errors(found).drop("line_no"), allowMissingColumns=True)
+
+
+@query
+def archive_match(spark, folder):
+    """Archives of a key file and a share of the documents each, matched one by one to result lines."""
+    path = _new_folder(spark)
+    archives = [f"part{i}_1.zip" for i in range(2)]
+    docs = table(spark, folder, "documents")
+    which = F.element_at(F.array(*map(F.lit, archives)), (F.pmod("doc_id", F.lit(len(archives))) + 1).cast("int"))
+    line = F.concat(_quoted("source"), F.lit(","), _quoted(T.normalize_text(F.col("text"))), F.lit("\n"))
+    data = docs.select(which.alias("archive"), F.lit("job/data.csv").alias("name"), F.col("doc_id").alias("place"), line.alias("value"))
+    # a category's anchors are one record of the format, whatever their number
+    anchors = _benchmark_anchors(spark, folder).groupBy("ord", "category").agg(F.array_join(F.collect_list(_quoted("anchor")), ",").alias("cells"))
+    keys = anchors.select(F.lit("job/Keywords.csv").alias("name"), F.col("ord").alias("place"), F.concat_ws(",", "category", "cells").alias("value"))
+    keys = keys.withColumn("value", F.concat("value", F.lit("\n")))
+    header = spark.createDataFrame([("job/data.csv", -1, "filename,content\n")], "name string, place long, value string")
+    each = keys.unionByName(header).withColumn("archive", F.explode(F.array(*map(F.lit, archives))))
+    written = _write_archives(spark, data.unionByName(each))
+    for archive in archives:
+        match_archive_to_lines(spark, f"{written}/{archive}", f"{path}/{archive}", ENCODER)
+    return spark.read.text([f"{path}/{archive}" for archive in archives]).select(F.col("value").alias("line"))
 
 
 @query

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import VectorTable
+from ..functions.text import column_index_from_name
 from ..operators.matching import best_match_texts, best_match_vectors, threshold_filter
 from ..operators.vectors import embed_filters
+from ..sources import filter_files, jobs, sinks
 
 # Fixed value: a row is kept when its score is strictly above this.
 SIMILARITY_THRESHOLD = 0.65
@@ -58,3 +60,30 @@ def trim_vectors(
 ) -> DataFrame:
     """The same for rows that carry their vector."""
     return threshold_filter(best_match_vectors(rows, bank, vector), threshold)
+
+
+def match_archive(
+    spark: SparkSession,
+    path: str,
+    encoder,
+    threshold: float = SIMILARITY_THRESHOLD,
+    index: int | None = None,
+    strict: bool = True,
+    tasks: int | None = None,
+) -> DataFrame:
+    """The matching job on one archive that holds a filter CSV and a data CSV.
+
+    Gives the matched rows (filename, content, ord, category, dist, dim, score).  Both members come from
+    one reading of the central directory; the data is streamed.  ``index`` is the text's column, by
+    default the digit that the archive's name ends in, else 0.
+    """
+    inputs = jobs.archive_inputs(spark, path)
+    if index is None:
+        index = spark.range(1).select(F.coalesce(column_index_from_name(F.lit(path)), F.lit(0))).first()[0]
+    filters = jobs.filters_of_records(filter_files.read_filter_records(inputs["filters"])).drop("filename")
+    return trim_corpus(jobs.scan_data_member(inputs["data"], index, strict, tasks), filters, encoder, threshold)
+
+
+def match_archive_to_lines(spark: SparkSession, path: str, into: str, encoder, **options) -> None:
+    """``match_archive`` written as result lines, ``filename : category : "text"``."""
+    sinks.write_lines(match_archive(spark, path, encoder, **options), into)

@@ -1,10 +1,11 @@
 """Mixed bundles: a zip, or a folder of zips and .txt / .csv / .json files.
 
-Plain text files go through Spark's own splittable reader.  For everything else
-the executors first list the members (central directories only, no content) and
-then stream them: text members come in blocks cut at line ends and CSV members row
-by row, so a member of any size passes through a bounded buffer.  A zip member
-itself is read by one task, since deflate cannot be entered in the middle.
+Plain text files go through Spark's own splittable reader and plain CSV files are split at
+record boundaries (``csv_splits``).  For everything else the executors first list the members
+(central directories only, no content) and then stream them: text members come in blocks cut at
+line ends, CSV members row by row and JSON lists item by item, so these pass through a bounded
+buffer whatever their size (a JSON document that is one object is held whole).  A zip member itself
+is read by one task, since deflate cannot be entered in the middle.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bits import let
 from ..functions.text import decode_lossy, is_blank, normalize_text, split_lines, strip_bom
+from . import csv_splits, json_items
 from .extract import json_values, longest_csv_values
 
 BLOCK_BYTES = 4 << 20
@@ -30,18 +35,26 @@ ROWS_PER_BATCH = 4096
 EXTENSIONS = (".txt", ".json", ".csv")
 IGNORED_PREFIX = "__MACOSX"
 
+NOT_READABLE = "neither an archive nor a file with a known extension"
+NO_JSON_VALUE = "no value can be taken from this JSON document"
+
 MEMBER_SCHEMA = "path string, filename string, member_no long, size long"
-PIECE_SCHEMA = "filename string, kind string, block long, row_no long, value string, error string"
+PIECE_SCHEMA = "filename string, kind string, block long, row_no long, value string, head string, error string"
 
 
-def open_path(path: str):
-    """A seekable file for a Spark path (``file:/x``, ``hdfs://``, ``s3a://``...)."""
+def filesystem_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the place in it of a Spark path (``file:/x``, ``hdfs://``, ``s3a://``...)."""
     if re.match(r"^file:/", path):
-        return pafs.LocalFileSystem().open_input_file("/" + path.split(":", 1)[1].lstrip("/"))
+        return pafs.LocalFileSystem(), "/" + path.split(":", 1)[1].lstrip("/")
     if urlsplit(path).scheme:
-        fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-        return fs.open_input_file(inner)
-    return pafs.LocalFileSystem().open_input_file(path)
+        return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return pafs.LocalFileSystem(), path
+
+
+def open_path(path: str):
+    """A seekable file for a Spark path."""
+    files, inner = filesystem_of(path)
+    return files.open_input_file(inner)
 
 
 def _below(root: str) -> str:
@@ -65,23 +78,53 @@ def _kind(filename: Column) -> Column:
     return F.regexp_extract(filename, r"\.(txt|json|csv)$", 1)
 
 
+def _has_extension(path: Column) -> Column:
+    return F.substring_index(path, "/", -1).contains(".")
+
+
 def _wanted(filename: Column) -> Column:
     return ~filename.startswith(IGNORED_PREFIX) & (_kind(filename) != "")
 
 
+_MEMBER_ARROW = pa.schema([("path", pa.string()), ("filename", pa.string()), ("member_no", pa.int64()), ("size", pa.int64())])
+
+
+def archive_members(path: str) -> list[dict]:
+    """The files in an archive, from its central directory; one unreadable row (size -1) if it is no archive."""
+    try:
+        with open_path(path) as raw, zipfile.ZipFile(raw) as archive:
+            return [
+                {"path": path, "filename": info.filename, "member_no": i, "size": info.file_size}
+                for i, info in enumerate(archive.infolist())
+                if not info.is_dir()
+            ]
+    except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter: shorter than a directory's end
+        return [{"path": path, "filename": None, "member_no": -1, "size": -1}]
+
+
 def _list_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("path", pa.string()), ("filename", pa.string()), ("member_no", pa.int64()), ("size", pa.int64())]
-    )
     for batch in batches:
         for path in batch["path"].to_pylist():
-            with open_path(path) as raw, zipfile.ZipFile(raw) as archive:
-                rows = [
-                    {"path": path, "filename": info.filename, "member_no": i, "size": info.file_size}
-                    for i, info in enumerate(archive.infolist())
-                    if not info.is_dir()
-                ]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist(archive_members(path), schema=_MEMBER_ARROW)
+
+
+def _plain_files(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path`` as members, none of them opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = relative_name(F.col("path"), path)
+    return files.select("path", name.alias("filename"), F.lit(-1).cast("long").alias("member_no"), F.col("length").alias("size"))
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """The members of all archives below ``path``; a file that should be an archive and is not has size -1.
+
+    An archive is what ends in .zip, in any case, and what has no extension at all.
+    """
+    files = _plain_files(spark, path).filter(
+        F.lower("path").endswith(".zip") | ~_has_extension(F.col("path")) & ~F.col("filename").startswith(IGNORED_PREFIX)
+    )
+    members = files.select("path").mapInArrow(_list_archives, MEMBER_SCHEMA)
+    return members.withColumn("filename", F.coalesce("filename", relative_name(F.col("path"), path)))
 
 
 def scan_bundle(spark: SparkSession, path: str) -> DataFrame:
@@ -89,17 +132,11 @@ def scan_bundle(spark: SparkSession, path: str) -> DataFrame:
 
     Folders and ``__MACOSX`` entries are left out; only the three extensions give
     rows, and their case matters.  ``path`` is the archive or the file itself;
-    ``member_no`` is the place in the archive, -1 for a plain file.
+    ``member_no`` is the place in the archive, -1 for a plain file.  A file without any extension
+    is read as an archive; ``bundle_errors`` lists those that are none.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    )
-    plain = files.select(
-        "path", relative_name(F.col("path"), path).alias("filename"), F.lit(-1).cast("long").alias("member_no"),
-        F.col("length").alias("size"),
-    )
-    zipped = files.filter(F.lower("path").endswith(".zip")).select("path").mapInArrow(_list_archives, MEMBER_SCHEMA)
-    return plain.unionByName(zipped).filter(_wanted(F.col("filename")))
+    files = _plain_files(spark, path).unionByName(archived_files(spark, path))
+    return files.filter(_wanted(F.col("filename")) & (F.col("size") >= 0))
 
 
 class _Batches:
@@ -108,16 +145,16 @@ class _Batches:
     schema = pa.schema(
         [
             ("filename", pa.string()), ("kind", pa.string()), ("block", pa.int64()),
-            ("row_no", pa.int64()), ("value", pa.string()), ("error", pa.string()),
+            ("row_no", pa.int64()), ("value", pa.string()), ("head", pa.string()), ("error", pa.string()),
         ]
     )
 
     def __init__(self):
         self.rows, self.size = [], 0
 
-    def add(self, filename, kind, block, row_no, value, error=None):
-        self.rows.append((filename, kind, block, row_no, value, error))
-        self.size += len(value or "")
+    def add(self, filename, kind, block, row_no, value, error=None, head=None):
+        self.rows.append((filename, kind, block, row_no, value, head, error))
+        self.size += len(value or "") + len(head or "")
 
     def full(self) -> bool:
         return len(self.rows) >= ROWS_PER_BATCH or self.size >= BLOCK_BYTES
@@ -145,36 +182,86 @@ def _line_blocks(stream) -> Iterator[bytes]:
         yield rest
 
 
-def _read_member(stream, filename: str, out: _Batches) -> Iterator[pa.RecordBatch]:
-    kind = filename.rsplit(".", 1)[1]
-    if kind == "txt":
-        for block, data in enumerate(_line_blocks(stream)):
-            out.add(filename, kind, block, 0, data.decode("utf-8", errors="replace"))
+def _read_json(open_member: Callable, filename: str, out: _Batches, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A short document as it is; a longer list as lists of about ``block_bytes``, each with the list's first item.
+
+    A list is read twice, so that one which turns out to be broken gives no rows, as a short one does.
+    """
+    with open_member() as stream:
+        start = stream.read(block_bytes)
+        rest = stream.read(1)
+        if not rest or not start.lstrip(json_items.SPACE.encode()).startswith(b"["):
+            out.add(filename, "json", 0, 0, (start + rest + stream.read()).decode("utf-8", errors="replace"))
+            return
+    try:
+        with open_member() as stream:
+            first = None
+            for item in json_items.checked_items(json_items.decoded(stream)):
+                first = first or item
+        if not first or not first.startswith("{"):
+            raise ValueError(NO_JSON_VALUE)
+    except ValueError as problem:
+        out.add(filename, "json", 0, -1, None, str(problem))
+        return
+    with open_member() as stream:
+        items = json_items.list_items(json_items.decoded(stream))
+        for block, (head, text) in enumerate(json_items.item_blocks(items, block_bytes)):
+            out.add(filename, "json", block, 0, text, head=head)
             if out.full():
                 yield out.take()
-    elif kind == "csv":
-        lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n")
-        try:
-            for row_no, value in enumerate(longest_csv_values(lines)):
-                out.add(filename, kind, 0, row_no, value)
+
+
+def _read_member(open_member: Callable, filename: str, out: _Batches, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    kind = filename.rsplit(".", 1)[1]
+    if kind == "json":
+        yield from _read_json(open_member, filename, out, block_bytes)
+    elif kind == "txt":
+        with open_member() as stream:
+            for block, data in enumerate(_line_blocks(stream)):
+                out.add(filename, kind, block, 0, data.decode("utf-8", errors="replace"))
                 if out.full():
                     yield out.take()
-        except csv.Error as problem:
-            out.add(filename, kind, 0, -1, None, str(problem))
     else:
-        out.add(filename, kind, 0, 0, stream.read().decode("utf-8", errors="replace"))
+        with open_member() as stream:
+            lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n")
+            try:
+                for row_no, value in enumerate(longest_csv_values(lines)):
+                    out.add(filename, kind, 0, row_no, value)
+                    if out.full():
+                        yield out.take()
+            except csv.Error as problem:
+                out.add(filename, kind, 0, -1, None, str(problem))
     if out.full():
         yield out.take()
 
 
-def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@contextmanager
+def open_buffered(path: str):
+    with open_path(path) as raw, io.BufferedReader(raw) as stream:
+        yield stream
+
+
+@contextmanager
+def member_stream(path: str, member_no: int):
+    """A stream of one member of ``scan_bundle``: of the file itself if ``member_no`` is -1."""
+    if member_no < 0:
+        with open_buffered(path) as stream:
+            yield stream
+        return
+    with open_path(path) as raw, zipfile.ZipFile(raw) as archive, archive.open(archive.infolist()[member_no]) as stream:
+        yield stream
+
+
+def _read_members(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     out = _Batches()
     archive_path, archive, raw = None, None, None
     for batch in batches:
         for row in batch.to_pylist():
+            if row["size"] < 0:
+                out.add(row["filename"], "", 0, -1, None, NOT_READABLE)
+                continue
             if row["member_no"] < 0:
-                with open_path(row["path"]) as stream:
-                    yield from _read_member(io.BufferedReader(stream), row["filename"], out)
+                yield from _read_member(lambda: open_buffered(row["path"]), row["filename"], out, block_bytes)
                 continue
             if row["path"] != archive_path:
                 if archive is not None:
@@ -182,8 +269,8 @@ def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     raw.close()
                 raw = open_path(row["path"])
                 archive_path, archive = row["path"], zipfile.ZipFile(raw)
-            with archive.open(archive.infolist()[row["member_no"]]) as stream:
-                yield from _read_member(stream, row["filename"], out)
+            info = archive.infolist()[row["member_no"]]
+            yield from _read_member(lambda: archive.open(info), row["filename"], out, block_bytes)
     if archive is not None:
         archive.close()
         raw.close()
@@ -191,34 +278,76 @@ def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out.take()
 
 
-def read_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
+def _default_tasks(df: DataFrame, tasks: int | None) -> int:
+    return tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def read_members(members: DataFrame, tasks: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Stream the members of ``scan_bundle`` as pieces.
 
     Only the member list is shuffled, to spread members over tasks; the number of
     tasks is explicit because the list's own size says nothing about the work.
     """
-    spark = members.sparkSession
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    spread = members.repartition(tasks, "path", "member_no").sortWithinPartitions("path", "member_no")
-    return spread.mapInArrow(_read_members, PIECE_SCHEMA)
+    spread = members.repartition(_default_tasks(members, tasks), "path", "member_no").sortWithinPartitions("path", "member_no")
+    return spread.mapInArrow(lambda batches: _read_members(batches, block_bytes), PIECE_SCHEMA)
+
+
+def _read_csv_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Batches()
+    for batch in batches:
+        for row in batch.to_pylist():
+            name, block = row["filename"], row["split_no"]
+            if row["problem"] is not None:
+                out.add(name, "csv", block, -1, None, row["problem"])
+                continue
+            with open_buffered(row["path"]) as stream:
+                try:
+                    for row_no, value in csv_splits.split_values(row, stream):
+                        out.add(name, "csv", block, row_no, value)
+                        if out.full():
+                            yield out.take()
+                except csv.Error as problem:
+                    out.add(name, "csv", block, -1, None, str(problem))
+    if out.rows:
+        yield out.take()
+
 
+def read_csv_files(members: DataFrame, tasks: int | None = None, split_bytes: int = csv_splits.SPLIT_BYTES) -> DataFrame:
+    """Plain CSV files as pieces, each file by as many tasks as it has splits; ``block`` is the split's number."""
+    parts = csv_splits.parse_tasks(members, open_buffered, _default_tasks(members, tasks), split_bytes)
+    return parts.mapInArrow(_read_csv_splits, PIECE_SCHEMA)
 
-def _pieces_to_rows(pieces: DataFrame) -> DataFrame:
+
+def _json_part(text: Column, head: Column) -> Column:
+    """The values of one part of a list; ``head`` is the list's first item, whose key counts, if it is not in the part."""
+    whole = F.concat(F.lit("["), head, F.lit(","), F.substring(text, 2, 2147483647))
+    of_head = F.size(json_values(F.concat(F.lit("["), head, F.lit("]"))))
+    rest = let(json_values(whole), lambda values: F.slice(values, of_head + 1, F.greatest(F.size(values) - of_head, F.lit(0))))
+    return F.when(head.isNull(), json_values(text)).otherwise(rest)
+
+
+def _found(pieces: DataFrame) -> DataFrame:
+    """(filename, block, row_no, content, error): a value that was found, or why a member gives none or no more."""
     text = F.col("value")
     first_block = F.when(F.col("block") == 0, strip_bom(text)).otherwise(text)
     values = (
         F.when(F.col("kind") == "txt", split_lines(first_block))
-        .when(F.col("kind") == "json", json_values(text))
+        .when(F.col("kind") == "json", _json_part(text, F.col("head")))
         .otherwise(F.array(text))
     )
-    found = pieces.filter(F.col("error").isNull()).select(
-        "filename", "kind", "block", "row_no", F.posexplode(values).alias("pos", "value")
-    )
-    return found.filter((F.col("kind") != "txt") | ~is_blank(F.col("value"))).select(
+    # a member's problem is one row without a value
+    none = (F.col("kind") == "json") & F.col("head").isNull() & (F.coalesce(F.size("values"), F.lit(0)) <= 0)
+    problem = F.coalesce("error", F.when(none, F.lit(NO_JSON_VALUE)))
+    named = pieces.select("filename", "kind", "block", "row_no", "head", "error", values.alias("values"))
+    named = named.withColumn("error", problem)
+    kept = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(F.col("values"))
+    found = named.select("filename", "kind", "block", "row_no", "error", F.posexplode(kept).alias("pos", "value"))
+    return found.filter(F.col("error").isNotNull() | (F.col("kind") != "txt") | ~is_blank(F.col("value"))).select(
         "filename",
         "block",
         (F.col("row_no") + F.col("pos")).alias("row_no"),
         normalize_text(F.col("value")).alias("content"),
+        "error",
     )
 
 
@@ -252,22 +381,70 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_bundle(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+def _rows_and_errors(spark: SparkSession, path: str, tasks: int | None, split_bytes: int, block_bytes: int) -> DataFrame:
+    """(filename, block, row_no, part_no, content, error) of everything below ``path``, each byte read once."""
+    files = _plain_files(spark, path).filter(_wanted(F.col("filename")))
+    in_archives = archived_files(spark, path).filter(_wanted(F.col("filename")) | (F.col("size") < 0))
+    streamed = read_members(files.filter(F.col("filename").endswith(".json")).unionByName(in_archives), tasks, block_bytes)
+    split = read_csv_files(files.filter(F.col("filename").endswith(".csv")), tasks, split_bytes)
+    rows = _found(streamed.unionByName(split)).withColumn("part_no", F.lit(0).cast("long"))
+    lines = read_text_folder(spark, path).withColumn("error", F.lit(None).cast("string"))
+    return lines.unionByName(rows)
+
+
+def read_bundle(
+    spark: SparkSession,
+    path: str,
+    tasks: int | None = None,
+    split_bytes: int = csv_splits.SPLIT_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The whole bundle as (filename, block, row_no, part_no, content), normalised.
 
-    (block, row_no, part_no) orders the rows of a file.
+    (block, row_no, part_no) orders the rows of a file.  Plain CSV files are read by splits of
+    ``split_bytes``, JSON lists above ``block_bytes`` item by item.
     """
-    members = scan_bundle(spark, path)
-    streamed = members.filter((F.col("member_no") >= 0) | ~F.col("filename").endswith(".txt"))
-    rows = _pieces_to_rows(read_members(streamed, tasks)).withColumn("part_no", F.lit(0).cast("long"))
-    return read_text_folder(spark, path).unionByName(rows)
+    found = _rows_and_errors(spark, path, tasks, split_bytes, block_bytes)
+    return found.filter(F.col("error").isNull()).drop("error")
 
 
 def bundle_errors(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """(filename, error) of CSV members that broke off, whose rows before that are kept, and of
-    JSON members that give no value."""
-    members = scan_bundle(spark, path).filter(~F.col("filename").endswith(".txt"))
-    pieces = read_members(members, tasks)
-    values = F.when(F.col("kind") == "json", F.coalesce(F.size(json_values(F.col("value"))), F.lit(0)))
-    nothing = F.when(values <= 0, F.lit("no value can be taken from this JSON document"))
-    return pieces.select("filename", F.coalesce("error", nothing).alias("error")).filter(F.col("error").isNotNull())
+    """(filename, error) of CSV files that broke off, whose rows before that are kept, of JSON
+    documents that give no value, and of files without an extension that are no archives.
+
+    This reads the bundle for the errors alone; ``write_bundle`` gives rows and errors of one run.
+    """
+    found = _rows_and_errors(spark, path, tasks, csv_splits.SPLIT_BYTES, BLOCK_BYTES)
+    return found.filter(F.col("error").isNotNull()).select("filename", "error")
+
+
+@dataclass(frozen=True)
+class BundleRun:
+    """What one reading of a bundle gave: its rows, its errors, and how many of each were counted on the way."""
+
+    rows: DataFrame
+    errors: DataFrame
+    counts: dict[str, int]
+
+
+def write_bundle(
+    spark: SparkSession, path: str, into: str, tasks: int | None = None, split_bytes: int = csv_splits.SPLIT_BYTES
+) -> BundleRun:
+    """Read a bundle once and write its rows and its errors side by side below ``into``.
+
+    ``counts`` are taken while the job runs: rows, errors and the characters of the rows.
+    """
+    counts = Observation()
+    found = _rows_and_errors(spark, path, tasks, split_bytes, BLOCK_BYTES)
+    good = F.col("error").isNull()
+    found = found.observe(
+        counts,
+        F.count_if(good).alias("rows"),
+        F.count_if(~good).alias("errors"),
+        F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("characters"),
+    )
+    found.withColumn("part", F.when(good, F.lit("rows")).otherwise(F.lit("errors"))).write.partitionBy("part").parquet(into)
+    written = spark.read.schema(found.schema.add("part", "string")).parquet(into)
+    rows = written.filter("part = 'rows'").drop("part", "error")
+    errors = written.filter("part = 'errors'").select("filename", "error")
+    return BundleRun(rows, errors, {name: int(n) for name, n in counts.get.items()})

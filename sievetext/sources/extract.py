@@ -64,21 +64,6 @@ def _csv_longest(contents: pa.Array) -> pa.Array:
     return pa.array([_csv_values_or_none(c) for c in contents.to_pylist()], type=pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def csv_records(contents: pa.Array) -> pa.Array:
-    """All non-empty records of a small CSV text, ragged rows as they are."""
-
-    def parse(content):
-        csv.field_size_limit(sys.maxsize)
-        # any line break ends a record, also inside the text of a file that mixes them
-        return [record for record in csv.reader(io.StringIO(content, newline="")) if record]
-
-    return pa.array(
-        [None if c is None else parse(c) for c in contents.to_pylist()],
-        type=pa.list_(pa.list_(pa.string())),
-    )
-
-
 def csv_values(text: Column) -> Column:
     """Values of the longest CSV column; null for a file from which none can be chosen."""
     return _csv_longest.asNondeterministic()(text)
@@ -117,12 +102,12 @@ def json_values(text: Column) -> Column:
     every object that has it gives its value.  Anything else gives null.  Nested
     values come as JSON text, nulls are left out.
     """
-    # Wrapped in one more list, text after the document makes it malformed or longer.
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-
     def document(kind: str) -> Column:
+        # First of a list of two, so that text after the document makes that list malformed, longer or shorter.
+        second = "[]" if kind.startswith("array") else "{}"
+        wrapped = F.concat(F.lit("["), text, F.lit(f",{second}]"))
         parsed = F.from_json(wrapped, f"array<{kind}>", JSON_OPTIONS)
-        return let(parsed, lambda roots: F.when(F.size(roots) == 1, F.get(roots, F.lit(0))))
+        return let(parsed, lambda roots: F.when(F.size(roots) == 2, F.get(roots, F.lit(0))))
 
     def object_or_null(item: Column) -> Column:
         return F.when(item.startswith("{"), F.from_json(item, "map<string,string>", JSON_OPTIONS))

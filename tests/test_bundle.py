@@ -1,12 +1,16 @@
+import csv
 import io
 import json
+import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sievetext.sources import bundle as S
-from sievetext.sources.extract import extract_csv_longest, extract_json
+from sievetext.sources import csv_splits, json_items
+from sievetext.sources.extract import extract_csv_longest, extract_json, longest_csv_values
 
 MEMBERS = {
     "a.txt": b"l1\r\n\r\n  l2, x  \nbad\xff\n",
@@ -151,6 +155,11 @@ JSON_CASES = {
     '{"a":"long value","b":"yy","a":"x"}': ["yy"],
     '[{"a":"b"}] trailing': [],
     '{"a":"b"} x': [],
+    '{"a":"b"}]': [],
+    '[{"a":"b"}]]': [],
+    '[{"a":"b"}],': [],
+    '{"a":"b"},': [],
+    '{"a":"b"}],[{}': [],
     '[{"a":"b"}],[{"a":"c"}]': [],
     "{'a':'b'}": [],
     "[]": [],
@@ -226,3 +235,127 @@ def test_errors_and_upper_case_archives(spark, tmp_path):
 def test_a_broken_csv_keeps_its_first_rows(spark):
     files = spark.createDataFrame([("a.csv", "h,k\nx,long\ny,more\nz\r,q\n")], "filename string, content string")
     assert [r.content for r in extract_csv_longest(files).orderBy("row_no").collect()] == ["long", "more"]
+
+
+def read_whole(data: bytes):
+    values = []
+    try:
+        for value in longest_csv_values(io.TextIOWrapper(io.BytesIO(data), encoding="utf-8", errors="replace", newline="\n")):
+            values.append(value)
+    except csv.Error:
+        return values, True
+    return values, False
+
+
+def read_in_splits(data: bytes, size: int):
+    scans = []
+    for n, first in enumerate(range(0, len(data), size)):
+        stream, last = io.BytesIO(data), min(len(data), first + size)
+        ends, boundaries = csv_splits.scan_split(csv_splits._blocks(stream, first, last))
+        field, problem = csv_splits.longest_field_of(csv_splits._Lines(stream, 0)) if n == 0 else (None, None)
+        boundaries = [None if b is None else first + b for b in boundaries]
+        scans.append(("p", "f", n, first, last, ends, boundaries, field, problem))
+    if not scans:
+        return [], False
+    columns = ["path", "filename", "split_no", "first", "last", "ends", "boundaries", "field", "problem"]
+    values = []
+    for row in csv_splits._chained(pd.DataFrame(scans, columns=columns)).to_dict("records"):
+        if not pd.isna(row["problem"]):
+            return [], True
+        try:
+            for _, value in csv_splits.split_values(row, io.BytesIO(data)):
+                values.append(value)
+        except csv.Error:
+            return values, True
+    return values, False
+
+
+def test_csv_splits_equal_the_whole_file(monkeypatch):
+    rng = random.Random(6)
+    marks = ["a", "b", '"', '"', '""', ",", "\n", "\r\n", '"\n', '\n"', "xx", "é", "q"]
+    for _ in range(4000):
+        data = "".join("\r" if rng.random() < 0.01 else rng.choice(marks) for _ in range(rng.randint(0, 40))).encode()
+        data = data.replace(b"q", b"\xff") if rng.random() < 0.1 else data
+        monkeypatch.setattr(csv_splits, "READ_BYTES", rng.choice([1, 3, 100]))
+        size = rng.choice([1, 2, 3, 5, 9, 30])
+        assert read_in_splits(data, size) == read_whole(data), (data, size)
+
+
+def test_a_plain_csv_is_read_by_many_tasks(spark, tmp_path):
+    lines = ["n,body", *(f"{i},plain line number {i}" for i in range(4000))]
+    (tmp_path / "plain.csv").write_text("\n".join(lines))
+    quoted = "n,body\r\n" + "".join(f'{i},"line {i}\nwith ""quotes"", and\n\nbreaks"\r\n' for i in range(4000))
+    (tmp_path / "quoted.csv").write_text(quoted)
+    (tmp_path / "stops.csv").write_text("h,k\n" + "x,long\n" * 3000 + "z\r,q\n" + "y,never\n" * 3000)
+    pieces = S.read_csv_files(S.scan_bundle(spark, str(tmp_path)), tasks=6, split_bytes=5000)
+    parts = pieces.select("filename", "block", F.spark_partition_id().alias("task")).distinct().groupBy("filename")
+    for row in parts.agg(F.count_distinct("block").alias("blocks"), F.count_distinct("task").alias("tasks")).collect():
+        assert row.blocks > 4 and row.tasks > 1
+    one = contents(S.read_bundle(spark, str(tmp_path), split_bytes=1 << 30))
+    assert contents(S.read_bundle(spark, str(tmp_path), split_bytes=5000)) == one
+    assert len(one["plain.csv"]) == len(one["quoted.csv"]) == 4000 and one["stops.csv"] == ["long"] * 3000
+    assert one["quoted.csv"][7] == 'line 7 with "quotes" and breaks'
+
+
+def test_json_items_equal_the_module(monkeypatch):
+    rng = random.Random(8)
+
+    def value(depth=0):
+        if rng.random() < 0.3 or depth > 2:
+            return rng.choice(['a"b', "x,y", "[z]", "{", "\\", "é😀", 1, 2.5, None, True])
+        if rng.random() < 0.5:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice("abc"): value(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    for _ in range(2000):
+        text = json.dumps([value() for _ in range(rng.randint(0, 6))], ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", ",", "]", '"', "}"]) + text[at + 1 :]
+        monkeypatch.setattr(json_items, "READ_BYTES", rng.choice([1, 2, 5, 1000]))
+        try:
+            want = json.loads(text)
+            want = want if isinstance(want, list) else None
+        except ValueError:
+            want = None
+        try:
+            got = [json.loads(item) for item in json_items.checked_items(json_items.decoded(io.BytesIO(text.encode())))]
+        except ValueError:
+            got = None
+        assert got == want, text
+
+
+def test_long_json_lists_in_bounded_parts(spark, tmp_path):
+    objects = [{"k": "v", "text": f"the text of number {i}"} for i in range(3000)]
+    objects[5], objects[1700] = {"k": "only"}, 7
+    (tmp_path / "long.json").write_text(json.dumps(objects))
+    (tmp_path / "tail.json").write_text(json.dumps(objects) + "]")
+    (tmp_path / "item.json").write_text(json.dumps(objects)[:-2] + "}]]")
+    (tmp_path / "words.json").write_text(json.dumps(["word"] * 5000))
+    (tmp_path / "one.json").write_text(json.dumps({"a": "x" * 9000}))
+    got = contents(S.read_bundle(spark, str(tmp_path), block_bytes=4096))
+    assert got == {"long.json": [f"the text of number {i}" for i in range(3000) if i not in (5, 1700)], "one.json": ["x" * 9000]}
+    with (tmp_path / "long.json").open("rb") as stream:
+        blocks = list(json_items.item_blocks(json_items.list_items(json_items.decoded(stream)), 4096))
+    assert max(len(text) for _, text in blocks) <= 4200 and len(blocks) > 20
+    run = S.write_bundle(spark, str(tmp_path), str(tmp_path / "out"))
+    assert {r.filename for r in run.errors.collect()} == {"tail.json", "item.json", "words.json"}
+
+
+def test_one_run_gives_rows_errors_and_counts(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "blank.csv").write_bytes(b"h\n\nx\n")
+    (source / "a.txt").write_text("one\ntwo\n")
+    with zipfile.ZipFile(source / "in.zip", "w") as archive:
+        archive.writestr("bad.json", "{")
+        archive.writestr("b.csv", "h\nvalue\n")
+    (source / "README").write_text("no archive")
+    with zipfile.ZipFile(source / "bundle", "w") as archive:
+        archive.writestr("c.txt", "from an archive without a name")
+    run = S.write_bundle(spark, str(source), str(tmp_path / "out"))
+    assert {r.content for r in run.rows.collect()} == {"one", "two", "value", "from an archive without a name"}
+    errors = {r.filename: r.error for r in run.errors.collect()}
+    assert errors == {"blank.csv": "the first data row is blank", "bad.json": S.NO_JSON_VALUE, "README": S.NOT_READABLE}
+    assert run.counts == {"rows": 4, "errors": 3, "characters": 11 + len("from an archive without a name")}
+    assert {r.filename for r in S.bundle_errors(spark, str(source)).collect()} == set(errors)

@@ -1,10 +1,13 @@
 import gzip
+import zipfile
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from sievetext.sources import jobs, sinks
+from sievetext.functions.encoders import HashEncoder
+from sievetext.plans.trim import match_archive, match_archive_to_lines
+from sievetext.sources import filter_files, jobs, sinks
 from sievetext.sources.bundle import read_bundle
 
 
@@ -26,6 +29,56 @@ def test_filter_file_with_odd_bytes(spark, tmp_path):
     assert rows == [("cat", ["a"]), ("cat2", ["b"]), ("cat3", ["c\ufffdd"])]
 
 
+def test_broken_records_of_filter_files(spark, tmp_path, monkeypatch):
+    path = tmp_path / "keys.csv"
+    path.write_text('a,one\n\nb,"open\nc,two\r\nd,"x\ny"\r"e,open again\nf,three\ng,four,\n')
+    good = [(r.ord, r.category, r.anchors) for r in jobs.scan_filter_csv(spark, str(path)).orderBy("ord").collect()]
+    assert good == [(0, "a", ["one"]), (1, "b", ["open\nc,two\r\nd,x"]), (4, "f", ["three"]), (5, "g", ["four"])]
+    assert [tuple(r) for r in jobs.scan_filter_errors(spark, str(path)).collect()] == [(3, 6, "a quote is not closed")]
+    last = list(filter_files.records(['a,b\n', 'c,"open to the end']))
+    assert last == [(0, ["a", "b"]), (1, ["c", "open to the end"])]
+    monkeypatch.setattr(filter_files, "RECORD_CHARS", 20)
+    many = list(filter_files.records(['a,"b\n', *["x,y\n"] * 9, 'c,d\n']))
+    assert many == [(0, None), *((i, ["x", "y"]) for i in range(1, 10)), (10, ["c", "d"])]
+    assert list(filter_files.records([])) == []
+
+
+def zipped(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, text in members.items():
+            out.writestr(name, text)
+    return str(path)
+
+
+def test_match_job_on_one_archive(spark, tmp_path):
+    keys = "weather,rain and snow today,cold wind\nfood,bread and cheese\nempty, ,\n"
+    data = 'id,text\na,"rain and\nsnow today"\nb,bread and cheese\nc,nothing of that kind at all here\nd,\n'
+    path = zipped(tmp_path / "upload_1.zip", {"job/Keywords.csv": keys, "job/data.csv": data, "__MACOSX/job/._keys.csv": "x"})
+    rows = {(r.filename, r.category) for r in match_archive(spark, path, HashEncoder(128), threshold=0.7, tasks=3).collect()}
+    assert rows == {("a", "weather"), ("b", "food")}
+    match_archive_to_lines(spark, path, str(tmp_path / "out"), HashEncoder(128), threshold=0.7)
+    lines = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert lines == {'a : weather : "rain and snow today"', 'b : food : "bread and cheese"'}
+    with pytest.raises(Exception, match="no column 2"):
+        match_archive(spark, path, HashEncoder(128), index=2).collect()
+    assert match_archive(spark, path, HashEncoder(128), index=2, strict=False).count() == 0
+
+
+def test_inputs_of_archives(spark, tmp_path):
+    both = {"in/keys.csv": "a,b\n", "in/rows.csv": "h\nx\n"}
+    found = jobs.archive_inputs(spark, zipped(tmp_path / "a.zip", both))
+    assert found["filters"].first().filename == "in/keys.csv" and found["data"].first().member_no == 1
+    with pytest.raises(ValueError, match="no data member"):
+        jobs.archive_inputs(spark, zipped(tmp_path / "b.zip", {"keys.csv": "x"}))
+    with pytest.raises(ValueError, match="2 filters members"):
+        jobs.archive_inputs(spark, zipped(tmp_path / "c.zip", {**both, "other/KEY.CSV": "x"}))
+    # the folder that all share does not count, another one does
+    shared = jobs.archive_inputs(spark, zipped(tmp_path / "d.zip", {f"__MACOSX/{k}": v for k, v in both.items()}))
+    assert set(shared) == {"filters", "data"}
+    with pytest.raises(ValueError, match="no filters member"):
+        jobs.archive_inputs(spark, zipped(tmp_path / "e.zip", {"__MACOSX/keys.csv": "x", "rows.csv": "x"}))
+
+
 def test_data_file(spark, tmp_path):
     path = tmp_path / "data_1.csv"
     path.write_text('filename,content\na,"say ""hi"", you"\nb,\nc,x,extra,cells\n"d",""\n,no name\n')
