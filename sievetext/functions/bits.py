@@ -13,6 +13,7 @@ from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,37 +167,41 @@ def vector_bits():
     return bits.asNondeterministic()
 
 
-def match_text(encoder, bank: FilterBank):
-    """text -> nearest filter: encode, binarize and match one Arrow batch at a time."""
+def match_text(encoder, bank: Broadcast):
+    """text -> nearest filter: encode, binarize and match one Arrow batch at a time.
+
+    The bank is a broadcast variable: it comes to an executor once and is unpickled once a worker.
+    """
 
     @F.arrow_udf(MATCH_TYPE)
     def match(texts: pa.Array) -> pa.Array:
         raw = encoder.raw(texts)
-        return bank.match(pack_words(above_own_mean(raw)), raw.shape[1])
+        return bank.value.match(pack_words(above_own_mean(raw)), raw.shape[1])
 
     return match.asNondeterministic()
 
 
-def match_vector(bank: FilterBank):
+def match_vector(bank: Broadcast):
     """vector -> nearest filter."""
 
     @F.arrow_udf(MATCH_TYPE)
     def match(vectors: pa.Array) -> pa.Array:
         matrix = matrix_of(vectors)
-        return bank.match(pack_words(above_own_mean(matrix)), matrix.shape[1])
+        return bank.value.match(pack_words(above_own_mean(matrix)), matrix.shape[1])
 
     return match.asNondeterministic()
 
 
-def match_bits(bank: FilterBank):
+def match_bits(bank: Broadcast):
     """packed bits -> nearest filter."""
 
     @F.arrow_udf(MATCH_TYPE)
     def match(words: pa.Array) -> pa.Array:
         matrix = matrix_of(words).astype("<i8").view("<u8")
-        if len(matrix) and matrix.shape[1] != bank.words.shape[1]:
-            raise ValueError(f"rows have {matrix.shape[1]} words, filters {bank.words.shape[1]}")
-        return bank.match(matrix, bank.dim)
+        filters = bank.value
+        if len(matrix) and matrix.shape[1] != filters.words.shape[1]:
+            raise ValueError(f"rows have {matrix.shape[1]} words, filters {filters.words.shape[1]}")
+        return filters.match(matrix, filters.dim)
 
     return match.asNondeterministic()
 

@@ -13,13 +13,17 @@ import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bits import embed_text
+
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
 DIGEST_BITS = 128
 TOKENS_PER_BLOCK = 1 << 17
@@ -110,16 +114,25 @@ class ModelEncoder:
 
     ``factory`` is called once per Python worker and returns a function from a
     list of texts to an ``(n, dim)`` array; it gets ``batch_size`` texts at a time.
+    With ``parameters``, a broadcast variable, it is called with their value: they come to an executor
+    once and not with every task (``ModelEncoder.sharing`` makes one).
     """
 
-    factory: Callable[[], Callable[[list[str]], np.ndarray]]
+    factory: Callable[..., Callable[[list[str]], np.ndarray]]
     dim: int = 384
     batch_size: int = 1024
+    parameters: Broadcast | None = None
     #: Names this encoder in workers, where the factory itself arrives as a new object with every task.
     token: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
 
+    @classmethod
+    def sharing(cls, spark: SparkSession, factory: Callable, parameters, dim: int = 384, batch_size: int = 1024) -> ModelEncoder:
+        """An encoder whose model is ``factory(parameters)``, the parameters broadcast."""
+        return cls(factory, dim, batch_size, spark.sparkContext.broadcast(parameters))
+
     def raw(self, texts: pa.Array) -> np.ndarray:
-        model = _worker_model(self.token, self.factory)
+        factory = self.factory if self.parameters is None else partial(self.factory, self.parameters.value)
+        model = _worker_model(self.token, factory)
         texts = pc.fill_null(texts, "")
         parts = [
             np.asarray(model(texts.slice(i, self.batch_size).to_pylist()), dtype=np.float64)
@@ -155,3 +168,8 @@ class VectorTable:
             .withColumn(into, F.coalesce(F.when(F.col("__n") > 1, twice.cast(kind)).otherwise(F.col("__vector")), missing.cast(kind)))
             .drop("__key", "__vector", "__n")
         )
+
+
+def register_encoder(spark: SparkSession, name: str, encoder) -> None:
+    """Make an encoder a SQL function of that name: text to unit vector."""
+    spark.udf.register(name, embed_text(encoder))

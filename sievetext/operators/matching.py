@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def load_bank(filters: DataFrame) -> tuple[B.FilterBank, DataFrame]:
     return B.FilterBank(dims.pop(), ords[order], np.ascontiguousarray(words[order])), named
 
 
-def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[B.FilterBank], Column]) -> tuple[DataFrame, int]:
+def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[Broadcast], Column]) -> tuple[DataFrame, int]:
     """Rows plus ``best`` = (ord, category, dist) of the nearest filter, and the dimension.
 
     ``match`` goes straight from the row to the nearest filter of a bank.  An empty filter
@@ -59,7 +60,8 @@ def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[B.Filte
         empty = F.lit(None).cast("struct<ord:bigint,category:string,dist:int>")
         return rows.withColumn("best", empty).filter(F.lit(False)), 0
     # The planner broadcasts the names only when they are small.
-    found = rows.withColumn("__best", match(bank)).join(names, F.col("__best.ord") == F.col("__ord"))
+    held = rows.sparkSession.sparkContext.broadcast(bank)  # at most MOST_FILTERS
+    found = rows.withColumn("__best", match(held)).join(names, F.col("__best.ord") == F.col("__ord"))
     best = F.struct(F.col("__best.ord").alias("ord"), F.col("__category").alias("category"), F.col("__best.dist").alias("dist"))
     return found.select(*rows.columns, best.alias("best")), bank.dim
 

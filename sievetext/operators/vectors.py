@@ -49,8 +49,8 @@ def _folded(rows: DataFrame, keys: Sequence[str], vector: str, weight: str | Non
 
     columns = [F.col(f"`{key}`") for key in keys]
     partial = named.mapInArrow(first, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    salted = partial.repartition(*columns, "salt").sortWithinPartitions(*columns).drop("salt").mapInArrow(again, schema)
-    if not keys:
+    salted = partial.repartition(*columns, "salt").sortWithinPartitions(*columns, "salt").drop("salt").mapInArrow(again, schema)
+    if not keys:  # one array a part is left
         return salted.coalesce(1).mapInArrow(again, schema)
     return salted.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(again, schema)
 

@@ -349,6 +349,22 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT item_id || '.csv', 1, CASE WHEN item_id % 3 <> 0 THEN 'whole' END,
                CASE WHEN item_id % 3 <> 0 THEN 'closed' END, CASE WHEN item_id % 3 = 0 THEN 'a quote is not closed' END FROM cells
         UNION ALL SELECT item_id || '.csv', 2, 'last', 'item ' || item_id, NULL FROM cells""",
+    "match_table_by_category": f"""
+        SELECT ' ' || lang || ' ' AS category, round(1 - (doc_id % 64) / 64.0::DOUBLE, 6) AS score, {_clean("text")} AS data,
+        source AS filename, (doc_id % 64)::INT AS dist, ' ' || lang || ' ' AS folder FROM documents""",
+    "bundle_format": f"""
+        WITH turns AS (SELECT conv_id || '-' || turn || CASE turn % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.json' ELSE '.csv' END AS filename,
+                              turn % 3 = 0 AS is_txt, text FROM conversations WHERE text IS NOT NULL),
+        lines AS (SELECT filename, unnest(string_split(text, chr(10))) AS line FROM turns WHERE is_txt),
+        found AS (SELECT filename, {_normalized("line")} AS content FROM lines WHERE {_strip("line", WHITESPACE)} <> ''
+                  UNION ALL SELECT filename, {_normalized("text")} FROM turns WHERE NOT is_txt)
+        SELECT how, filename, content FROM found, (VALUES ('batch'), ('stream')) h(how)""",
+    "model_vectors": """
+        WITH counts AS (SELECT doc_id, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''),
+                               lambda c: length(text) - length(replace(text, c, ''))) AS v FROM documents),
+        sized AS (SELECT doc_id, v, list_sum(v)::BIGINT AS s, sqrt(list_sum(list_transform(v, lambda x: x * x))::DOUBLE) AS n FROM counts)
+        SELECT doc_id, list_aggregate(list_transform(v, lambda x: CASE WHEN x * 26 > s THEN '1' ELSE '0' END), 'string_agg', '') AS bit_string,
+        CASE WHEN n = 0 THEN 0 ELSE round(v[1] / n, 6) END AS of_a, CASE WHEN n = 0 THEN 0 ELSE round(v[5] / n, 6) END AS of_e FROM sized""",
 }
 
 ORACLES["archive_match"] = ORACLES["trimmed_lines"]

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import text as T
-from ..functions.encoders import HashEncoder, VectorTable
+from ..functions.encoders import HashEncoder, ModelEncoder, VectorTable, register_encoder
 from ..operators import intents, matching, vectors
 from ..session import shared_dir
 from ..sources import bundle, extract, filter_files, jobs, sinks
+from ..sources.datasource import FORMAT, bundle_rows, register_bundle_source
 from ..streaming.trim import trim_stream, write_stream
 from .trim import SIMILARITY_THRESHOLD, match_archive_to_lines, trim_against, trim_vectors
 
@@ -281,6 +282,24 @@ def json_list_files(spark, folder):
     return bundle.read_bundle(spark, path, block_bytes=1 << 16).select("filename", "content")
 
 
+@query
+def bundle_format(spark, folder):
+    """Turns as members of zip files: read by the data source's format, and as a stream of arriving archives."""
+    register_bundle_source(spark)
+    turns = table(spark, folder, "conversations").filter("text is not null")
+    kind = F.element_at(F.array(F.lit("txt"), F.lit("json"), F.lit("csv")), (F.col("turn") % 3 + 1).cast("int"))
+    value = F.when(kind == "txt", F.col("text")).when(kind == "json", F.to_json(F.struct("text"))).otherwise(F.concat(F.lit("a,b\n,"), _quoted("text")))
+    named = F.concat("conv_id", F.lit("-"), "turn", F.lit("."), kind)
+    path = _write_archives(spark, turns.select(_member(named, value)))
+    batch = bundle_rows(spark.read.format(FORMAT).load(path))
+    run = _new_folder(spark)
+    arriving = bundle_rows(spark.readStream.format(FORMAT).option("settle", 0).load(path))
+    write_stream(arriving, f"{run}/rows", f"{run}/state").awaitTermination()
+    stream = spark.read.schema(arriving.schema).parquet(f"{run}/rows")
+    both = batch.withColumn("how", F.lit("batch")).unionByName(stream.withColumn("how", F.lit("stream")))
+    return both.select("how", "filename", "content")
+
+
 @query
 def bundle_run(spark, folder):
     """Turns as JSON members, some of them broken: rows and errors of one reading, counted while it ran."""
@@ -363,6 +382,15 @@ def match_table(spark, folder):
     return both.select("fmt", "category", F.round("score", 6).alias("score"), F.coalesce("data", F.lit("")).alias("data"), "filename", "dist")
 
 
+@query
+def match_table_by_category(spark, folder):
+    """Documents written as a result table with a folder for each category, and read back."""
+    path = _new_folder(spark)
+    sinks.write_matches(_document_matches(spark, folder), path, by_category=True)
+    stored = spark.read.schema(f"category string, score double, data string, filename string, dist int, {sinks.FOLDER} string").parquet(path)
+    return stored.select("category", F.round("score", 6).alias("score"), "data", "filename", "dist", F.col(sinks.FOLDER).alias("folder"))
+
+
 @query
 def line_files(spark, folder):
     """Documents written as compressed result lines and read back."""
@@ -633,6 +661,25 @@ def hash_tokens(spark, folder):
     return tokens.distinct().select("token", B.bit_string(bits, ENCODER.dim).alias("signs"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_model(letters: str):
+    """A caller's model of the smallest kind: how often each letter occurs."""
+    return lambda texts: [[text.count(letter) for letter in letters] for text in texts]
+
+
+@query
+def model_vectors(spark, folder):
+    """Documents through a caller's model: as a SQL function, and as bits."""
+    encoder = ModelEncoder.sharing(spark, _letter_model, LETTERS, len(LETTERS))
+    register_encoder(spark, "letter_vector", encoder)
+    docs = table(spark, folder, "documents")
+    bits = B.bit_string(B.text_bits(encoder)("text"), encoder.dim)
+    rows = docs.select("doc_id", F.call_function("letter_vector", F.col("text")).alias("unit"), bits.alias("bit_string"))
+    return rows.select("doc_id", "bit_string", F.round(F.get("unit", F.lit(0)), 6).alias("of_a"), F.round(F.get("unit", F.lit(4)), 6).alias("of_e"))
+
+
 @query
 def embed_benchmark(spark, folder):
     rows = vectors.embed(table(spark, folder, "benchmark"), ENCODER, "text", "embedding")

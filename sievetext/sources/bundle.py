@@ -86,7 +86,7 @@ def _wanted(filename: Column) -> Column:
     return ~filename.startswith(IGNORED_PREFIX) & (_kind(filename) != "")
 
 
-_MEMBER_ARROW = pa.schema([("path", pa.string()), ("filename", pa.string()), ("member_no", pa.int64()), ("size", pa.int64())])
+MEMBER_ARROW = pa.schema([("path", pa.string()), ("filename", pa.string()), ("member_no", pa.int64()), ("size", pa.int64())])
 
 
 def archive_members(path: str) -> list[dict]:
@@ -105,7 +105,7 @@ def archive_members(path: str) -> list[dict]:
 def _list_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch["path"].to_pylist():
-            yield pa.RecordBatch.from_pylist(archive_members(path), schema=_MEMBER_ARROW)
+            yield pa.RecordBatch.from_pylist(archive_members(path), schema=MEMBER_ARROW)
 
 
 def _plain_files(spark: SparkSession, path: str) -> DataFrame:
@@ -252,7 +252,7 @@ def member_stream(path: str, member_no: int):
         yield stream
 
 
-def _read_members(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+def read_member_batches(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     out = _Batches()
     archive_path, archive, raw = None, None, None
     for batch in batches:
@@ -289,7 +289,7 @@ def read_members(members: DataFrame, tasks: int | None = None, block_bytes: int
     tasks is explicit because the list's own size says nothing about the work.
     """
     spread = members.repartition(_default_tasks(members, tasks), "path", "member_no").sortWithinPartitions("path", "member_no")
-    return spread.mapInArrow(lambda batches: _read_members(batches, block_bytes), PIECE_SCHEMA)
+    return spread.mapInArrow(lambda batches: read_member_batches(batches, block_bytes), PIECE_SCHEMA)
 
 
 def _read_csv_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,7 @@ def _json_part(text: Column, head: Column) -> Column:
     return F.when(head.isNull(), json_values(text)).otherwise(rest)
 
 
-def _found(pieces: DataFrame) -> DataFrame:
+def found_in(pieces: DataFrame) -> DataFrame:
     """(filename, block, row_no, content, error): a value that was found, or why a member gives none or no more."""
     text = F.col("value")
     first_block = F.when(F.col("block") == 0, strip_bom(text)).otherwise(text)
@@ -387,7 +387,7 @@ def _rows_and_errors(spark: SparkSession, path: str, tasks: int | None, split_by
     in_archives = archived_files(spark, path).filter(_wanted(F.col("filename")) | (F.col("size") < 0))
     streamed = read_members(files.filter(F.col("filename").endswith(".json")).unionByName(in_archives), tasks, block_bytes)
     split = read_csv_files(files.filter(F.col("filename").endswith(".csv")), tasks, split_bytes)
-    rows = _found(streamed.unionByName(split)).withColumn("part_no", F.lit(0).cast("long"))
+    rows = found_in(streamed.unionByName(split)).withColumn("part_no", F.lit(0).cast("long"))
     lines = read_text_folder(spark, path).withColumn("error", F.lit(None).cast("string"))
     return lines.unionByName(rows)
 

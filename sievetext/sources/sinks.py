@@ -18,20 +18,30 @@ def write_lines(matches: DataFrame, path: str, text: str = "content", compressio
     result_lines(matches, text).write.text(path, compression=compression)
 
 
-def write_matches(matches: DataFrame, path: str, text: str = "content", fmt: str = "parquet") -> None:
+#: The folder column of a table written by category; the file has the category itself, also where it is empty.
+FOLDER = "of_category"
+
+
+def write_matches(matches: DataFrame, path: str, text: str = "content", fmt: str = "parquet", by_category: bool = False) -> None:
     """The result table (category, score, data, filename, dist), as many files as tasks.
 
-    Values are written as they are, also with blanks at their ends.
+    Values are written as they are, also with blanks at their ends.  With ``by_category`` there is a
+    folder for each category (``of_category=...``): rows are dealt out by category first, so that a small
+    category is one file however many tasks found its rows, and a large one is as many files as it
+    has parts of the advisory partition size, which adaptive execution splits it into.
     """
     table = matches.select("category", "score", clean_output_text(F.col(text)).alias("data"), "filename", "dist")
+    folders = []
+    if by_category:
+        table, folders = table.hint("rebalance", "category").withColumn(FOLDER, F.col("category")), [FOLDER]
     if fmt == "csv":
-        _as_csv(table).csv(path)
+        _as_csv(table, *folders).csv(path)
     else:
-        table.write.format(fmt).save(path)
+        table.write.partitionBy(*folders).format(fmt).save(path)
 
 
-def _as_csv(table: DataFrame):
-    writer = table.write.option("header", "true").option("escape", '"').option("emptyValue", "")
+def _as_csv(table: DataFrame, *folders: str):
+    writer = table.write.partitionBy(*folders).option("header", "true").option("escape", '"').option("emptyValue", "")
     return writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
 
 

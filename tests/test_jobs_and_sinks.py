@@ -177,3 +177,26 @@ def test_write_filters(spark, tmp_path):
         back = spark.read.schema(filters.schema).format(fmt).load(str(tmp_path / fmt))
         assert back.first().anchors == ["x", "y"]
     assert filters.select(F.size("anchors").alias("n")).first().n == 2
+
+
+def test_matches_by_category_in_few_files(spark, tmp_path):
+    names = "if(id < 60000, 'hot', concat('small ', id % 1000))"
+    rows = spark.range(0, 64000, 1, 16).selectExpr(
+        f"{names} as category", "1.0D as score", "repeat(cast(id as string), 40) as content", "'f' as filename", "cast(id as int) as dist"
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300000")
+    try:
+        sinks.write_matches(rows, str(tmp_path / "out"), by_category=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {}
+    for file in (tmp_path / "out").rglob("*.parquet"):
+        files.setdefault(file.parent.name, []).append(file)
+    assert len(files) == 1001
+    assert len(files.pop(f"{sinks.FOLDER}=hot")) > 3 and max(map(len, files.values())) <= 2
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 64000 and back.where("category = 'small 7'").count() == 4
+    odd = spark.createDataFrame([(c, 1.0, "t", "f", 1) for c in ("", None, " a/b=c ")], "category string, score double, content string, filename string, dist int")
+    for fmt in ("parquet", "csv"):
+        sinks.write_matches(odd, str(tmp_path / fmt), fmt=fmt, by_category=True)
+    assert {r.category for r in spark.read.parquet(str(tmp_path / "parquet")).collect()} == {"", None, " a/b=c "}
