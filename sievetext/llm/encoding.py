@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces kept per generation and worker.
-KEPT = 300_000
+KEPT = 450_000
 #: Characters worked on at once.
 SLICE = 1 << 20
 #: Letters from here up to there are plain, but those whose lower case depends on their neighbours or is longer.
@@ -212,7 +212,10 @@ class TextEncoder:
         return self.others, _PIECES.findall(text)
 
     def _find_plain(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", BYTE_SIGNS[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
         return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
 
     def _find(self, pieces: list[str]) -> list[bytes]:
