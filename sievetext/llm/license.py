@@ -48,8 +48,10 @@ HEADERS = {
 }
 #: Licences whose whole text stands in ``licences``; those that are short are put at the head of files, too.
 WHOLE, SHORT = ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0"), ("BSD-3-Clause", "MIT")
-#: A line of a comment.
-COMMENT = r"^\s*(?://|/?\*|#|--|;|%|<!--|\(\*|\"\"\")"
+#: What begins a line of a comment.
+COMMENT = r"(?://|/?\*|#|--|;|%|<!--|\(\*|\"\"\")"
+#: From the first character on that is no white space: a block comment, the comment lines, or the lines up to a blank one.
+HEADER = rf"^(?:/\*(?s:.*?)\*/|(?:[^\S\n]*{COMMENT}[^\n]*(?:\n|\z))++|(?:[^\S\n]*\S[^\n]*(?:\n|\z))++)"
 
 THRESHOLD = 0.8
 #: A term: letters, digits and dots between digits; case does not count.
@@ -100,15 +102,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def header(text: Column) -> Column:
-    """A file's leading comment lines, or its first paragraph if it begins otherwise; '' if it is blank."""
-    lines = F.split(F.regexp_replace(text, r"^\s+", ""), r"\r?\n")
-    taken = F.when(F.element_at(lines, 1).rlike(COMMENT), r"comment").otherwise("paragraph")
-    ends = lambda line: ~F.when(taken == "comment", line.rlike(COMMENT)).otherwise(line.rlike(r"\S"))
-    # a block comment goes on in lines that have no mark of their own
-    block = F.regexp_extract(F.array_join(lines, "\n"), r"^/\*(?s:.*?)\*/", 0)
-    end = F.array_position(F.transform(lines, ends), True)
-    leading = F.array_join(F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(lines), "\n")
-    return F.when(block != "", block).otherwise(leading)
+    """A file's leading comment lines, or its first paragraph if it begins otherwise; '' if it is blank.
+
+    One expression from the start of the text on, which does not go back over a line it has taken.
+    """
+    return F.regexp_extract(F.regexp_replace(text, r"^\s+", ""), HEADER, 0)
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
