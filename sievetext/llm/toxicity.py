@@ -12,6 +12,8 @@ rows; scoring runs on executors, one pass over all texts without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import zlib
 from array import array
@@ -29,12 +31,15 @@ from .encoding import Memory, groups
 WINDOW, STEP = 64, 32
 WORDS, GRAMS = 1 << 13, 1 << 14
 EMBED, HIDDEN = 8, 8
-#: Labelled rows per class, and windows of each, at most in training.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1200, 2400, 24
-ROUNDS, BATCH, RATE = 5, 128, 0.01
+#: Labelled rows per class at most in training; all windows of their texts count.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
+#: Rounds of training, and batches of a round at least, however few the windows are.
+ROUNDS, ROUND_STEPS, BATCH, RATE = 5, 60, 128, 0.01
 THRESHOLD = 0.3
 #: Windows scored at once.
 CHUNK = 2048
+#: Texts whose scores a worker remembers.
+KNOWN_TEXTS = 200_000
 
 _WORD = re.compile(r"\w+")
 EMPTY = ""
@@ -115,8 +120,46 @@ class Net:
         return inputs @ self.p["wx"] + self.p["bx"]
 
     def logits(self, gates: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Logits of windows: ``places`` (windows, steps) into ``gates``, of which ``lengths`` count."""
-        return self._forward(gates, places, lengths, None)[0]
+        """Logits of windows: ``places`` (windows, steps) into ``gates``, of which ``lengths`` count.
+
+        ``_forward`` without its tape, a unit a row, so that each operation runs over all windows at once.
+        """
+        n, steps = places.shape
+        h3 = 3 * HIDDEN
+        states = np.empty((steps, 2 * HIDDEN, n), np.float32)
+        full = lengths.min() == steps
+        mask = np.arange(steps)[:, None] < lengths[None, :]
+        for side, u in ((0, self.p["uf"]), (1, self.p["ub"])):
+            own = np.ascontiguousarray(gates[:, side * h3 : (side + 1) * h3].T)
+            back = np.ascontiguousarray(u.T)
+            h = np.zeros((HIDDEN, n), np.float32)
+            hu, gx = np.empty((h3, n), np.float32), np.empty((h3, n), np.float32)
+            for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
+                np.take(own, places[:, t], axis=1, out=gx, mode="clip")
+                np.matmul(back, h, out=hu)
+                rz, new = hu[: 2 * HIDDEN], hu[2 * HIDDEN :]
+                rz += gx[: 2 * HIDDEN]
+                rz *= 0.5
+                np.tanh(rz, out=rz)
+                rz += 1
+                rz *= 0.5
+                new *= rz[:HIDDEN]
+                new += gx[2 * HIDDEN :]
+                np.tanh(new, out=new)
+                after = states[t, side * HIDDEN : (side + 1) * HIDDEN]
+                np.subtract(h, new, out=after)
+                after *= rz[HIDDEN:]
+                after += new
+                if not full:
+                    np.copyto(after, h, where=~mask[t])
+                h = after
+        weight = self.p["attend"] @ states
+        if not full:
+            weight[~mask] = -1e9
+        weight = np.exp(weight - weight.max(axis=0))
+        weight /= weight.sum(axis=0)
+        pooled = np.einsum("tn,tkn->kn", weight, states)
+        return self.p["out"] @ pooled + self.p["bias"][0]
 
     def _forward(self, gates, places, lengths, tape):
         n, steps = places.shape
@@ -238,7 +281,8 @@ def fit(texts: Iterable[tuple[int, list[str]]], seed: int = 7) -> Net | None:
         taken = worst[rank < (6 if round_ == 0 else 2)]
         if round_ >= 2:  # of a toxic text the worst window alone is sure to be toxic
             taken = worst[rank < np.where(label[worst] > 0, 1, 2)]
-        rng.shuffle(taken)
+        passes = max(1, -(-ROUND_STEPS * BATCH // len(taken)))
+        taken = np.concatenate([rng.permutation(taken) for _ in range(passes)])
         for at in range(0, len(taken), BATCH):
             own = taken[at : at + BATCH]
             used, local = np.unique(places[own], return_inverse=True)
@@ -257,54 +301,67 @@ def _all_logits(net: Net, gates: np.ndarray, places: np.ndarray, lengths: np.nda
 
 
 class Scorer:
-    """Scores texts by a trained net; words' gate inputs are kept in bounded memory."""
+    """Scores texts by a trained net; words' gate inputs and scores of texts are kept in bounded memory."""
 
     def __init__(self, net: Net):
         self.net = net
         self.memory = Memory(lambda words: list(net.gates(net.inputs(Codes.of(words)))), "toxicity", 60_000)
+        self.known: dict[bytes, float] = {}
 
     def scores(self, texts: list[str]) -> Iterator[float]:
+        """The score of each text; equal texts are read once, as long as they are remembered."""
         for group in groups(texts):
-            lists = [split_words(t) for t in group]
-            flat = [w for words in lists for w in words]
-            names = list(set(flat))
-            self.memory.learn([names])
-            gates = np.stack(self.memory.look(names))
-            place = {w: i for i, w in enumerate(names)}
-            codes = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-            sizes = [len(x) for x in lists]
-            firsts = np.concatenate(([0], np.cumsum(sizes)))
-            starts = [np.array(window_starts(n)) for n in sizes]
-            owner = np.repeat(np.arange(len(group)), [len(s) for s in starts])
-            worst = np.full(len(group), -np.inf, np.float32)
-            start = np.concatenate(starts)
-            lengths = np.minimum(WINDOW, np.array(sizes)[owner] - start)
-            begin = firsts[owner] + start
-            for at in range(0, len(owner), 16 * CHUNK):
-                part = slice(at, at + 16 * CHUNK)
-                places = np.minimum(begin[part, None] + np.arange(WINDOW), len(codes) - 1)
-                found = _all_logits(self.net, gates, codes[places], lengths[part])
-                np.maximum.at(worst, owner[part], found)
-            yield from _sigmoid(worst.astype(np.float64)).tolist()
-
-
-def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for text in batch.column("text").to_pylist():
-            words = split_words(text)
-            starts = window_starts(len(words))
-            chosen = sorted({starts[len(starts) * i // SAMPLE_WINDOWS] for i in range(SAMPLE_WINDOWS)})
-            found.append([" ".join(words[s : s + WINDOW]) for s in chosen])
-        arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "windows"])
+            if len(self.known) > KNOWN_TEXTS:
+                self.known.clear()
+            names = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in group]
+            new = {name: text for name, text in zip(names, group) if name not in self.known}
+            if new:
+                self.known.update(zip(new, self._worst(list(new.values()))))
+            yield from map(self.known.__getitem__, names)
+
+    def _worst(self, group: list[str]) -> list[float]:
+        lists = [split_words(t) for t in group]
+        flat = [w for words in lists for w in words]
+        names = list(set(flat))
+        self.memory.learn([names])
+        gates = np.stack(self.memory.look(names))
+        place = {w: i for i, w in enumerate(names)}
+        codes = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        sizes = [len(x) for x in lists]
+        firsts = np.concatenate(([0], np.cumsum(sizes)))
+        starts = [np.array(window_starts(n)) for n in sizes]
+        owner = np.repeat(np.arange(len(group)), [len(s) for s in starts])
+        worst = np.full(len(group), -np.inf, np.float32)
+        start = np.concatenate(starts)
+        lengths = np.minimum(WINDOW, np.array(sizes)[owner] - start)
+        begin = firsts[owner] + start
+        for at in range(0, len(owner), 16 * CHUNK):
+            part = slice(at, at + 16 * CHUNK)
+            places = np.minimum(begin[part, None] + np.arange(WINDOW), len(codes) - 1)
+            found = _all_logits(self.net, gates, codes[places], lengths[part])
+            np.maximum.at(worst, owner[part], found)
+        return _sigmoid(worst.astype(np.float64)).tolist()
+
+
+def _windows(text: str) -> list[str]:
+    words = split_words(text)
+    return [" ".join(words[s : s + WINDOW]) for s in window_starts(len(words))]
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the fitted parameters, or none."""
+    rows = (row for batch in batches for row in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()))
+    net = fit((label, _windows(text)) for label, text in rows)
+    if net is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     """Fit on labelled documents that are not held out (crc32(doc_id) mod 4 is 2).
 
-    At most SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, the first by hash, and of a longer text
-    SAMPLE_WINDOWS evenly spread windows.  Rows without a label, id or text teach nothing.
+    At most SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, the first by hash, with all windows of their
+    texts.  Rows without a label, id or text teach nothing.  One task fits the net on that sample; the
+    driver gets its parameters, under a megabyte.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(crc_bucket("doc_id", 4) != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -315,9 +372,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(chosen), "doc_id")  # no more ids than the sample's bound
     first = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = first.select("doc_id", "toxic", "text").mapInArrow(_sample_windows, "doc_id long, toxic int, windows array<string>")
-    table = found.toArrow().sort_by("doc_id")  # no larger than the sample's bound
-    return fit((label.as_py(), own.as_py()) for label, own in zip(table["toxic"], table["windows"], strict=True))
+    sample = first.repartition(1).sortWithinPartitions("doc_id").select("toxic", "text")  # no larger than the sample's bound
+    fitted = sample.mapInArrow(_fit_sample, "net binary").first()
+    return pickle.loads(fitted["net"]) if fitted else None
 
 
 def _score(net, text: str, score: str):
