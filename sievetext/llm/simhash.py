@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, spare, stored, text_of
+from .common import components, row_key, spare, stored, text_of
 
 BITS = 64
 #: Shingles whose bits are counted at once, so that a text of any length needs little memory.
@@ -144,12 +144,27 @@ def _prints(width: int):
     return run
 
 
+def _keyed_prints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_signed(fingerprint(text, width)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(found, pa.int64())], names=["id", "key", "fp"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp) of every row, in one pass over the texts and without a shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(_prints(width), "doc_id long, fp long")
 
 
+def fingerprint_classes(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, root) of distinct fingerprints ``fp`` (a stored table): the smallest fingerprint reachable."""
+    roots = components(fingerprint_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``.
 
@@ -161,8 +176,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     """
     prints = stored(fingerprints(docs, width), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(fingerprint_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(fingerprint_classes(distinct, radius), "fp")
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -172,10 +186,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
 def keep_first(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest doc_id.
 
-    Of several rows with that id one stays; rows with a null id stay, as they can't be told apart.
+    Rows with one id and different texts are documents of their own, of which a group keeps one by its
+    key; of equal rows one stays.  Rows with a null id stay, as they can't be told apart.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), radius, width)
-    name = spare(docs, "_kept")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    key, best = spare(docs, "_key"), spare(docs, "_best")
+    named = docs.where("doc_id is not null").withColumn(key, row_key())
+    rows = named.select(F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"), text_of().alias("text"))
+    prints = stored(rows.mapInArrow(_keyed_prints(width), "id long, key long, fp long"), "prints")
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    grouped = prints.join(fingerprint_classes(distinct, radius), "fp").groupBy("root")
+    kept = grouped.agg(F.min(F.struct("id", "key")).alias("m")).select(F.col("m.key").alias(best))
+    stays = named.join(kept, F.col(key) == F.col(best), "left_semi").dropDuplicates([key]).drop(key)
+    return stays.unionByName(docs.where("doc_id is null"))
