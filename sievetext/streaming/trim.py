@@ -21,8 +21,7 @@ def trim_stream(
     """A streaming DataFrame of the matched rows against a static table of filters.
 
     With an encoder the stream carries text, which is normalised first; without one
-    it carries vectors.  The filters must fit one block (``matching.BANK_FILTERS``),
-    as a running stream cannot be stored between waves.
+    it carries vectors.  The filters are read once, when the stream is defined.
     """
     if encoder is None:
         return trim_vectors(stream, bank, threshold, vector)
