@@ -1,6 +1,6 @@
 """sievetext: keep the small part of a large text collection that matters."""
 
-from .functions.encoders import HashEncoder, ModelEncoder, VectorTable
+from .functions.encoders import HashEncoder, ModelEncoder, VectorTable, register_encoder
 from .operators.intents import (
     build_filter_table,
     expand_fields,
@@ -11,20 +11,22 @@ from .operators.intents import (
 )
 from .operators.matching import best_match, match_summary, reduction, score_all, top_k_per_category
 from .operators.vectors import centroid_filters, centroid_sum, embed, embed_filters, masked_mean_pool
-from .plans.trim import trim_against, trim_corpus, trim_vectors
-from .sources.bundle import read_bundle, scan_bundle
-from .sources.jobs import find_inputs, scan_data_csv, scan_filter_csv
+from .plans.trim import match_archive, match_archive_to_lines, trim_against, trim_corpus, trim_vectors
+from .sources.bundle import bundle_errors, read_bundle, scan_bundle, write_bundle
+from .sources.datasource import bundle_rows, register_bundle_source
+from .sources.jobs import archive_inputs, find_inputs, scan_data_csv, scan_filter_csv, scan_filter_errors
 from .sources.sinks import write_filters, write_lines, write_matches, write_normalized
 from .streaming.trim import trim_stream
 
 __all__ = [
-    "HashEncoder", "ModelEncoder", "VectorTable",
+    "HashEncoder", "ModelEncoder", "VectorTable", "register_encoder",
     "build_filter_table", "expand_fields", "expand_queries", "route_requests", "split_description",
     "validate_requests",
     "best_match", "match_summary", "reduction", "score_all", "top_k_per_category",
     "centroid_filters", "centroid_sum", "embed", "embed_filters", "masked_mean_pool",
-    "trim_against", "trim_corpus", "trim_vectors",
-    "read_bundle", "scan_bundle", "find_inputs", "scan_data_csv", "scan_filter_csv",
+    "match_archive", "match_archive_to_lines", "trim_against", "trim_corpus", "trim_vectors",
+    "bundle_errors", "bundle_rows", "read_bundle", "register_bundle_source", "scan_bundle", "write_bundle",
+    "archive_inputs", "find_inputs", "scan_data_csv", "scan_filter_csv", "scan_filter_errors",
     "write_filters", "write_lines", "write_matches", "write_normalized",
     "trim_stream",
 ]
