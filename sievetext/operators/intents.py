@@ -111,7 +111,8 @@ def expand_queries(
     copies of it.  ``templates`` (sentences with ``{query}``, as a list or as a
     table (template_no, template)) are filled in per query.  ``answers`` (ord,
     category, variations) holds generated sentences; what an answer leaves out gets
-    the documented defaults, and a query without an answer falls back.
+    the documented defaults, and a query without an answer falls back; a second answer to a query
+    raises.
     """
     query = F.col("query")
     base = queries.withColumn("category", fallback_category(query))
@@ -123,10 +124,12 @@ def expand_queries(
         )
     if answers is None:
         return base.drop("query")
-    given = answers.select(
-        F.col("ord").alias("__ord"),
-        defaulted(F.col("category"), DEFAULT_CATEGORY).alias("__category"),
-        F.col("variations").alias("__variations"),
+    given = answers.groupBy(F.col("ord").alias("__ord")).agg(
+        F.min(F.struct(defaulted(F.col("category"), DEFAULT_CATEGORY).alias("c"), F.col("variations").alias("v"))).alias("__a"), F.count("*").alias("__n")
+    )
+    twice = F.raise_error(F.concat(F.lit("more than one answer for ord "), F.col("__ord").cast("string"))).cast("string")
+    given = given.select(
+        "__ord", F.when(F.col("__n") > 1, twice).otherwise(F.col("__a.c")).alias("__category"), F.col("__a.v").alias("__variations")
     )
     joined = base.join(given, F.col("ord") == F.col("__ord"), "left")
     answered = F.col("__ord").isNotNull()

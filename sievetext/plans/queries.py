@@ -331,8 +331,9 @@ def filter_files_read(spark, folder):
 def archive_match(spark, folder):
     """Archives of a key file and a share of the documents each, matched one by one to result lines."""
     path = _new_folder(spark)
-    archives = [f"part{i}_1.zip" for i in range(2)]
     docs = table(spark, folder, "documents")
+    # an archive's data is one member, read by one task: more documents are more archives
+    archives = [f"part{i}_1.zip" for i in range(2 + docs.count() // 50_000)]
     which = F.element_at(F.array(*map(F.lit, archives)), (F.pmod("doc_id", F.lit(len(archives))) + 1).cast("int"))
     line = F.concat(_quoted("source"), F.lit(","), _quoted(T.normalize_text(F.col("text"))), F.lit("\n"))
     data = docs.select(which.alias("archive"), F.lit("job/data.csv").alias("name"), F.col("doc_id").alias("place"), line.alias("value"))

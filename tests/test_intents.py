@@ -116,3 +116,11 @@ def test_route_requests(spark):
 def test_defaulted_fields(spark):
     row = I.defaulted_fields(requests(spark, (0, False, None, Row(None, "", "x", None, "y"), "f"))).first()
     assert tuple(row.fields) == ("N/A", "", "x", "N/A", "y")
+
+
+def test_a_second_answer_raises(spark):
+    queries = spark.createDataFrame([(1, "one"), (2, "two")], "ord long, query string")
+    answers = spark.createDataFrame([(1, "a", ["x"]), (1, "b", ["y"])], "ord long, category string, variations array<string>")
+    with pytest.raises(Exception, match="more than one answer for ord 1"):
+        I.expand_queries(queries, answers=answers).collect()
+    assert I.expand_queries(queries, answers=answers.limit(0)).count() == 2
