@@ -1,14 +1,17 @@
 """Exact top-k search by BM25: sharded inverted indexes with block-max WAND dynamic pruning.
 
 Each shard holds the postings of its documents, in blocks of ``BLOCK`` documents, and for every
-(term, block) the largest impact in it.  A query first adds up those maxima: no document of a
-block can score more than its sum.  Blocks are opened from the largest sum down and scored
-exactly, until the next sum is below the k-th score found.  Documents lie in an order that
-brings texts of a kind together, which makes the sums tight.
+(term, block) the largest impact in it.  The cursors of a query's terms go through a shard in
+document order.  The block that the maxima rate highest is scored first, so that there is a k-th
+score to beat.  From then on the next pivot is the next document whose lists' block maxima together
+reach that score: blocks whose maxima do not are skipped unopened, in an opened block the documents
+below it are passed over unscored, and pivots are scored exactly, which raises the score to beat.
+Pivots of up to ``WINDOW`` blocks are found at once, as numpy does.  Documents lie in an order that
+brings texts of a kind together, which makes the maxima tight.
 
 Term weights come from counts over all documents, so scores of shards compare and the merge is
-exact.  Index and queries are files in the shared folder; a task takes one shard and one
-block of queries, and no text or posting is shuffled.
+exact.  Index and queries are files in the shared folder; a task takes one shard and a
+fixed share of the query files, and no text or posting is shuffled.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.bundle import filesystem_of
 from .common import fresh_folder, stored, text_of
 from .encoding import groups
 
@@ -32,6 +36,10 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_PAIRS = 1 << 13, 2_500_000
 BLOCK = 64
 QUERY_BLOCK = 1024
+#: Blocks whose pivots are found at once.
+WINDOW = 8
+#: Tasks that a shard's queries are dealt out to.
+SHARES = 4
 #: Scores count to this many decimals, so that equal texts tie exactly.
 DECIMALS = 6
 
@@ -83,12 +91,12 @@ def build(ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], me
     }
 
 
-def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(doc ids, scores, blocks opened) of a shard's k best documents; ties go to the smaller id."""
+def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(doc ids, scores, blocks opened, pivots scored) of a shard's k best documents; ties go to the smaller id."""
     own = index["terms"]
     ids, scores = np.zeros(0, np.int64), np.zeros(0)
     if not len(own):
-        return ids, scores, 0
+        return ids, scores, 0, 0
     at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
     hit = own[at] == terms
     at, weights = at[hit], weights[hit]
@@ -96,38 +104,50 @@ def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray,
     counts = ptr[at + 1] - ptr[at]
     entries = spans(ptr[at], counts)
     weight = np.repeat(weights, counts)
+    most = weight * index["entry_max"][entries]
     block = index["entry_block"][entries]
     n_docs = len(index["ids"])
-    bound = np.bincount(block, weight * index["entry_max"][entries], -(-n_docs // BLOCK))
-    order = np.argsort(-bound, kind="stable")
-    opened, step = 0, 4
-    while opened < len(order) and bound[order[opened]] > 0:
-        if len(scores) == k and bound[order[opened]] * (1 + 1e-9) + 10.0**-DECIMALS < scores[-1]:
-            break
-        chosen = np.zeros(len(order), bool)
-        chosen[order[opened : opened + step]] = True
-        opened, step = opened + step, min(64, step * 2)
-        taken = chosen[block]
+    # a little above the sums, for rounding; nothing is left out on a tie
+    bound = np.bincount(block, most, -(-n_docs // BLOCK)) * (1 + 1e-9)
+    unread = bound > 0
+    chosen = np.zeros(len(bound), bool)
+    opened, pivots, place, least = 0, 0, 0, 0.0
+    ahead = np.array([bound.argmax()]) if unread.any() else np.zeros(0, np.int64)
+    while len(ahead):
+        chosen[:] = False
+        chosen[ahead] = True
+        unread[ahead] = False
+        opened += len(ahead)
+        taken = np.flatnonzero(chosen[block])
         e = entries[taken]
         start = index["entry_post"][e].astype(np.int64)
         size = index["entry_post"][e + 1] - start
-        posts = spans(start, size)
-        docs, tf = index["docs"][posts], index["tf"][posts].astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + index["norms"][docs])
-        total = np.bincount(docs, np.repeat(weight[taken], size) * impact, n_docs)
+        posts, owner = spans(start, size), np.repeat(taken, size)
+        docs = index["docs"][posts]
+        if least > 0:
+            reached = np.bincount(docs, most[owner], n_docs) * (1 + 1e-9) >= least
+            beats = reached[docs]
+            posts, owner, docs = posts[beats], owner[beats], docs[beats]
+        tf = index["tf"][posts].astype(np.float64)
+        total = np.bincount(docs, weight[owner] * tf * (K1 + 1) / (tf + index["norms"][docs]), n_docs)
         found = np.flatnonzero(total)
+        pivots += len(found)
         if len(found) > k:
-            least = np.partition(total[found], len(found) - k)[len(found) - k]
-            found = found[total[found] >= least - 2 * 10.0**-DECIMALS]
+            kth = np.partition(total[found], len(found) - k)[len(found) - k]
+            found = found[total[found] >= kth - 2 * 10.0**-DECIMALS]
         ids = np.concatenate([ids, index["ids"][found]])
         scores = np.concatenate([scores, np.round(total[found], DECIMALS)])
         best = np.lexsort((ids, -scores))[:k]
         ids, scores = ids[best], scores[best]
-    return ids, scores, min(opened, len(order))
+        if len(scores) == k:
+            least = scores[-1] - 10.0**-DECIMALS
+        ahead = place + np.flatnonzero(unread[place:] & (bound[place:] >= least))[:WINDOW]
+        place = ahead[-1] + 1 if len(ahead) else place
+    return ids, scores, opened, pivots
 
 
 def _save(folder: str, kind: str, arrays: dict[str, np.ndarray]) -> str:
-    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    files, root = filesystem_of(folder)
     name = f"{kind}-{uuid.uuid4().hex}.npz"  # of this attempt alone; only returned names are used
     held = io.BytesIO()
     np.savez(held, **arrays)
@@ -137,7 +157,7 @@ def _save(folder: str, kind: str, arrays: dict[str, np.ndarray]) -> str:
 
 
 def _load(folder: str, name: str) -> dict[str, np.ndarray]:
-    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    files, root = filesystem_of(folder)
     with files.open_input_stream(f"{root}/{name}") as file:
         with np.load(io.BytesIO(file.read())) as arrays:
             return {k: arrays[k] for k in arrays}
@@ -215,22 +235,25 @@ def _write_queries(folder: str):
     return run
 
 
-def _search(folder: str, k: int):
+def _search(folder: str, blocks: Broadcast, k: int):
+    """The k best of a shard for the queries of every SHARES-th file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, index = None, None
         for batch in batches:
-            for shard, block in zip(batch.column("shard").to_pylist(), batch.column("queries").to_pylist(), strict=True):
+            for shard, share in zip(batch.column("shard").to_pylist(), batch.column("share").to_pylist(), strict=True):
                 if shard != name:
                     index = None
                     name, index = shard, _load(folder, shard)
-                queries = _load(folder, block)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for i, query_id in enumerate(queries["ids"].tolist()):
-                    part = slice(queries["ptr"][i], queries["ptr"][i + 1])
-                    ids, scores, _ = top_k(index, queries["terms"][part], queries["weights"][part], k)
-                    out.append((np.full(len(ids), query_id, np.int64), ids, scores))
-                arrays = [pa.array(np.concatenate([x[j] for x in out])) for j in range(3)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "doc_id", "score"])
+                for block in blocks.value[share::SHARES]:
+                    queries = _load(folder, block)
+                    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    for i, query_id in enumerate(queries["ids"].tolist()):
+                        part = slice(queries["ptr"][i], queries["ptr"][i + 1])
+                        ids, scores, *_ = top_k(index, queries["terms"][part], queries["weights"][part], k)
+                        out.append((np.full(len(ids), query_id, np.int64), ids, scores))
+                    arrays = [pa.array(np.concatenate([x[j] for x in out])) for j in range(3)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -238,13 +261,13 @@ def _search(folder: str, k: int):
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents of ``docs`` (doc_id, text) of highest BM25 for each query.
 
-    ``queries``: (query_id, text) with distinct ids; a term counts as often as the query has it.  Ties go to
-    the smaller doc_id.  Documents without a common term are no results, so a null or empty query has
+    ``queries``: (query_id, text); rows of one id are one query of all their words, and a term counts as
+    often as the query has it.  Ties go to the smaller doc_id.  Documents without a common term are no results, so a null or empty query has
     none; rows with a null id are left out on both sides; repeated rows are documents of their own.
     """
     spark = docs.sparkSession
     folder = fresh_folder(spark, "search")
-    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    files, root = filesystem_of(folder)
     files.create_dir(root, recursive=True)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     counts = stored(docs.mapInArrow(_document_counts, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("docs").alias("docs")), "document-counts")
@@ -255,14 +278,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     built = docs.coalesce(shards).mapInArrow(_write_shards(folder, mean_length), "shard string, docs long")
     names = [r["shard"] for r in stored(built, "shards").orderBy("shard").collect()]  # a row per shard
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), text_of().alias("text"))
-    asked = asked.mapInArrow(_query_terms, "query_id long, term long, qtf long").join(counts.select("term", "df"), "term")
+    asked = asked.mapInArrow(_query_terms, "query_id long, term long, qtf long").groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
+    asked = asked.join(counts.select("term", "df"), "term")
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", F.struct("term", (idf * F.col("qtf")).alias("weight")).alias("t"))
-    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # the terms of one text
+    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # at most the vocabulary
     blocks = asked.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
     blocks = [r["queries"] for r in stored(blocks.mapInArrow(_write_queries(folder), "queries string"), "query-blocks").orderBy("queries").collect()]
-    tasks = spark.createDataFrame([(s, q) for s in names for q in blocks], "shard string, queries string")
-    tasks = tasks.repartitionByRange(max(1, len(names) * len(blocks)), "shard", "queries")
-    found = stored(tasks.mapInArrow(_search(folder, k), "query_id long, doc_id long, score double"), "found")
+    tasks = spark.createDataFrame([(s, i) for s in names for i in range(SHARES)], "shard string, share int")
+    tasks = tasks.repartitionByRange(max(1, len(names) * SHARES), "shard", "share")
+    found = tasks.mapInArrow(_search(folder, spark.sparkContext.broadcast(blocks), k), "query_id long, doc_id long, score double")
+    found = stored(found, "found")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

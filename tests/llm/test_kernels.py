@@ -232,7 +232,7 @@ def test_top_k_of_a_shard_equals_scoring_all():
     index = search.build(np.arange(1500), terms, counts, mean)
     for q in (3, 40, 77):
         weights = rng.random(len(terms[q]))
-        ids, scores, opened = search.top_k(index, terms[q], weights, 10)
+        ids, scores, opened, pivots = search.top_k(index, terms[q], weights, 10)
         want = []
         for d in range(1500):
             w = dict(zip(terms[q].tolist(), weights, strict=True))
@@ -242,4 +242,4 @@ def test_top_k_of_a_shard_equals_scoring_all():
             want.append((-round(s, 6), d))
         want = sorted(want)[:10]
         assert ids.tolist() == [d for _, d in want] and scores.tolist() == pytest.approx([-s for s, _ in want])
-        assert opened <= 24
+        assert opened <= 24 and pivots < 1500

@@ -327,6 +327,14 @@ def test_search_ties_and_empty_queries(docs):
     assert got == [(2, 1, 1), (2, 2, 2), (2, 3, 2)]
 
 
+def test_search_takes_rows_of_one_query_id_together(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b", "c d", "d e f", "f"])], "doc_id long, text string")
+    parts = spark.createDataFrame([(7, "a c"), (7, "c f"), (8, "zzz"), (None, "a")], "query_id long, text string")
+    whole = spark.createDataFrame([(7, "a c c f")], "query_id long, text string")
+    got, want = (sorted(map(tuple, search.search(docs, q).collect())) for q in (parts, whole))
+    assert got == want and len(want) == 5
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, small, name):
     same, text = compare(spark, duck(small), small, name)
