@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pivots import PivotTable
+
 WORD_BITS = 64
 FIXED_ONE = 4294967296.0  # 2**32: sums of fixed-point entries do not depend on their order
 ROWS_TIMES_FILTERS = 1 << 20
@@ -108,9 +110,19 @@ class FilterBank:
     dim: int
     ords: np.ndarray
     words: np.ndarray
+    #: For very many filters: the same ones in blocks behind pivots.
+    table: PivotTable | None = None
+    #: Rows without a filter this near may be left unmatched.
+    limit: int | None = None
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position and distance of the nearest filter; the first one wins ties."""
+        """Position and distance of the nearest filter; the first one wins ties.  -1: none within the limit."""
+        if self.table is not None:
+            return self.table.nearest(rows, self.limit)[:2]
+        return self.scan(rows)
+
+    def scan(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparing every row with every filter."""
         where = np.zeros(len(rows), dtype=np.int64)
         dist = np.full(len(rows), np.iinfo(np.int32).max, dtype=np.int32)
         for first in range(0, len(self.ords), FILTERS_PER_BLOCK):
@@ -133,7 +145,7 @@ class FilterBank:
         if len(rows) and dim != self.dim:
             raise ValueError(f"rows have dimension {dim}, filters {self.dim}")
         where, dist = self.nearest(rows)
-        return pa.StructArray.from_arrays([pa.array(self.ords[where]), pa.array(dist, type=pa.int32())], ["ord", "dist"])
+        return pa.StructArray.from_arrays([pa.array(self.ords[where], mask=where < 0), pa.array(dist, type=pa.int32())], ["ord", "dist"])
 
 
 # ---------------------------------------------------------------- Arrow functions

@@ -1,14 +1,16 @@
 """Nearest filter, threshold, and reports on the matches.
 
-There is one way for every number of filters.  The filter table is checked and read once, its
-packed words go to every task, and a row takes the minimum over blocks of filters where it
-lies; the corpus side is never shuffled or stored for it.  Category names come by an equi join
+The filter table is checked and read once, its packed words go to every task, and a row takes the
+minimum over blocks of filters where it lies; the corpus side is never shuffled or stored for it.
+From PIVOTED_FROM filters on, blocks of like filters are passed over by the triangle inequality
+(``functions/pivots.py``); the matches are the same.  Category names come by an equi join
 on ``ord`` afterwards, so their length does not matter to the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..functions.pivots import PivotTable
 
 #: Filters of 384 bits are 56 bytes each in a task, so this many are 235 MB; more are refused.
 MOST_FILTERS = 1 << 22
+#: From so many on, building the table of pivots pays.
+PIVOTED_FROM = 1 << 14
 
 
 def load_bank(filters: DataFrame) -> tuple[B.FilterBank, DataFrame]:
@@ -46,19 +51,26 @@ def load_bank(filters: DataFrame) -> tuple[B.FilterBank, DataFrame]:
         raise ValueError(f"filters of mixed dimension: {sorted(dims, key=str)}")
     words = B.matrix_of(table["bits"].combine_chunks()).astype("<i8").view("<u8")
     order = np.argsort(ords, kind="stable")
-    return B.FilterBank(dims.pop(), ords[order], np.ascontiguousarray(words[order])), named
+    words = np.ascontiguousarray(words[order])
+    dim = dims.pop()
+    table = PivotTable.of(words, dim) if len(words) >= PIVOTED_FROM else None
+    return B.FilterBank(dim, ords[order], words, table), named
 
 
-def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[Broadcast], Column]) -> tuple[DataFrame, int]:
+def nearest_filter(
+    rows: DataFrame, filters: DataFrame, match: Callable[[Broadcast], Column], threshold: float | None = None
+) -> tuple[DataFrame, int]:
     """Rows plus ``best`` = (ord, category, dist) of the nearest filter, and the dimension.
 
     ``match`` goes straight from the row to the nearest filter of a bank.  An empty filter
-    table matches nothing.
+    table matches nothing.  Rows that no filter scores above the threshold may be missing.
     """
     bank, names = load_bank(filters)
     if names is None:
         empty = F.lit(None).cast("struct<ord:bigint,category:string,dist:int>")
         return rows.withColumn("best", empty).filter(F.lit(False)), 0
+    if threshold is not None:
+        bank = replace(bank, limit=B.max_distance(threshold, bank.dim))
     # The planner broadcasts the names only when they are small.
     held = rows.sparkSession.sparkContext.broadcast(bank)  # at most MOST_FILTERS
     found = rows.withColumn("__best", match(held)).join(names, F.col("__best.ord") == F.col("__ord"))
@@ -66,23 +78,28 @@ def nearest_filter(rows: DataFrame, filters: DataFrame, match: Callable[[Broadca
     return found.select(*rows.columns, best.alias("best")), bank.dim
 
 
-def best_match(rows: DataFrame, filters: DataFrame, bits: str = "bits") -> DataFrame:
+def best_match(rows: DataFrame, filters: DataFrame, bits: str = "bits", threshold: float | None = None) -> DataFrame:
     """Nearest filter per row of packed bits; the first filter wins ties.
 
     Adds ord, category, dist and score.  Packed words carry no dimension, so only their number
-    is checked against the filters'.
+    is checked against the filters'.  With a threshold only rows that score above it are kept.
     """
-    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_bits(bank)(F.col(bits))))
+    return _matched(rows, filters, lambda bank: B.match_bits(bank)(F.col(bits)), threshold)
 
 
-def best_match_vectors(rows: DataFrame, filters: DataFrame, vector: str = "embedding") -> DataFrame:
+def best_match_vectors(rows: DataFrame, filters: DataFrame, vector: str = "embedding", threshold: float | None = None) -> DataFrame:
     """Nearest filter per row of vectors: binarize and match in one Arrow step."""
-    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_vector(bank)(F.col(vector))))
+    return _matched(rows, filters, lambda bank: B.match_vector(bank)(F.col(vector)), threshold)
 
 
-def best_match_texts(rows: DataFrame, filters: DataFrame, encoder, text: str = "content") -> DataFrame:
+def best_match_texts(rows: DataFrame, filters: DataFrame, encoder, text: str = "content", threshold: float | None = None) -> DataFrame:
     """Nearest filter per row of text: encode, binarize and match in one Arrow step."""
-    return with_score(*nearest_filter(rows, filters, lambda bank: B.match_text(encoder, bank)(F.col(text))))
+    return _matched(rows, filters, lambda bank: B.match_text(encoder, bank)(F.col(text)), threshold)
+
+
+def _matched(rows: DataFrame, filters: DataFrame, match: Callable[[Broadcast], Column], threshold: float | None) -> DataFrame:
+    found = with_score(*nearest_filter(rows, filters, match, threshold))
+    return found if threshold is None else threshold_filter(found, threshold)
 
 
 def with_score(matched: DataFrame, dim: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoders import VectorTable
 from ..functions.text import column_index_from_name
-from ..operators.matching import best_match_texts, best_match_vectors, threshold_filter
+from ..operators.matching import best_match_texts, best_match_vectors
 from ..operators.vectors import embed_filters
 from ..sources import filter_files, jobs, sinks
 
@@ -49,17 +49,17 @@ def trim_against(
     """``trim_corpus`` for filters that are embedded already (ord, category, dim, bits)."""
     if isinstance(encoder, VectorTable):
         rows = encoder.attach(docs, key or text, "__embedding")
-        matched = best_match_vectors(rows, bank, "__embedding").drop("__embedding")
+        matched = best_match_vectors(rows, bank, "__embedding", threshold).drop("__embedding")
     else:
-        matched = best_match_texts(docs, bank, encoder, text)
-    return threshold_filter(matched, threshold)
+        matched = best_match_texts(docs, bank, encoder, text, threshold)
+    return matched
 
 
 def trim_vectors(
     rows: DataFrame, bank: DataFrame, threshold: float = SIMILARITY_THRESHOLD, vector: str = "embedding"
 ) -> DataFrame:
     """The same for rows that carry their vector."""
-    return threshold_filter(best_match_vectors(rows, bank, vector), threshold)
+    return best_match_vectors(rows, bank, vector, threshold)
 
 
 def match_archive(
