@@ -7,7 +7,10 @@ alone (the least shingle hash of every ``SPAN`` in a row), so any MIN_WORDS word
 a common block; a block has one band, its whole content.
 
 Blocks in one band are the same words, so they meet the band's first one (by doc_id, then place) in
-an equi join, never each other; blocks in a row that meet the same other text are one run.  Equal
+an equi join, never each other; blocks in a row that meet the same other text are one run.  What
+stands around a block need not be the first one's: windows of MIN_WORDS words around a run that its
+counterpart does not have are bands of their own, and as these are all the words there is to share,
+their first one links all (``_loose_windows``).  Equal
 lines meet their first one likewise, and only that one gets bands.  Lines in one band need not be
 alike: those unlike the band's first are dealt anew by their rarest shingles, of which two like
 lines share one for certain, and words that many lines have no longer bring them together
@@ -60,84 +63,113 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.full(n, base, np.uint64))
 
 
+def _folded(values: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Each of the first ``n`` runs of ``count`` values as one number."""
+    total = np.zeros(n, np.uint64)
+    for i, power in enumerate(_powers(_ODD, count)):
+        total += values[i : i + n] * power
+    return _mix(total)
+
+
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """64-bit hashes of all runs of SHINGLE words, from the words' hashes."""
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    return _mix(sliding_window_view(words, SHINGLE) @ _powers(_ODD, SHINGLE))
+    return _folded(words, max(0, len(words) - SHINGLE + 1), SHINGLE)
+
+
+def _of_span(values: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every SPAN values in a row."""
+    width = 1
+    while 2 * width <= SPAN:
+        values, width = pick(values[:-width], values[width:]), 2 * width
+    return pick(values[: len(values) - (SPAN - width)], values[SPAN - width :])
 
 
 def block_places(shingles: np.ndarray, n_words: int) -> np.ndarray:
-    """Where blocks begin: the least shingle hash of each SPAN places that have room for a block."""
-    room = shingles[: n_words - BLOCK + 1]
-    if n_words < MIN_WORDS:
+    """Where blocks begin: the least shingle hashes of each SPAN places that have room for a block."""
+    return places_of_texts(shingles, np.array([0, n_words]))
+
+
+def places_of_texts(shingles: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The same of texts in a row, whose words begin at ``firsts`` (the last is their end).
+
+    Every MIN_WORDS words in a row have the same places, whatever stands around them.
+    """
+    n = len(shingles)
+    if n < SPAN:
         return np.zeros(0, np.int64)
-    least = sliding_window_view(room, SPAN).argmin(axis=1) + np.arange(len(room) - SPAN + 1)
-    places = np.unique(least)
-    values = room[places]
-    if len(np.unique(values)) < len(values):  # text that repeats itself: thin equal ones out
-        kept, last = [], {}
-        for place, value in zip(places.tolist(), values.tolist(), strict=True):
-            if place - last.get(value, -SPAN) >= SPAN // 2:
-                kept.append(place)
-                last[value] = place
-        places = np.array(kept, np.int64)
-    return places
+    ends = np.repeat(firsts[1:], np.diff(firsts))[:n]
+    least = _of_span(shingles, np.minimum)
+    least[np.arange(len(least)) + MIN_WORDS > ends[: len(least)]] = 0  # of words of two texts
+    around = np.zeros(n + SPAN - 1, np.uint64)
+    around[SPAN - 1 : SPAN - 1 + len(least)] = least
+    starts = np.repeat(firsts[:-1], np.diff(firsts))[:n]
+    fits = (np.arange(n) + BLOCK <= ends) & (ends - starts >= MIN_WORDS)
+    return np.flatnonzero((_of_span(around, np.maximum) == shingles) & fits)
 
 
 def line_bands(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """(lines, BANDS) band hashes of the lines whose shingles lie at starts to stops."""
     salts = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _ODD)
-    bounds = np.stack([starts, stops], axis=1).ravel()
-    padded = np.append(shingles, np.uint64(0))
-    lows = np.stack([np.minimum.reduceat(_mix(padded ^ salt), bounds)[::2] for salt in salts], axis=1)
+    sizes = stops - starts
+    bounds = np.cumsum(sizes) - sizes
+    own = shingles[np.repeat(starts - bounds, sizes) + np.arange(sizes.sum())]
+    lows = np.stack([np.minimum.reduceat(_mix(own ^ salt), bounds) for salt in salts], axis=1)
     pairs = lows.reshape(len(starts), BANDS, ROWS)
     return _mix(pairs @ _powers(_ODD, ROWS) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def _text_units(lines: list[list[bytes]], words: np.ndarray) -> tuple[tuple, list[tuple]]:
-    """((hash, first word) of a text's blocks, [(hash, first word, words, bands) of each long line])."""
-    n = len(words)
-    shingles = shingle_hashes(words)
-    places = block_places(shingles, n)
-    count = BLOCK - SHINGLE + 1
-    blocks = _mix(shingles[places[:, None] + np.arange(count)] @ _powers(_ODD, count))
-    sizes = np.array([len(line) for line in lines])
-    stops = np.cumsum(sizes)
-    long = np.flatnonzero(sizes >= MIN_WORDS)
-    if not len(long):
-        return (blocks, places), []
-    starts = stops[long] - sizes[long]
-    bands = line_bands(shingles, starts, stops[long] - SHINGLE + 1).view(np.int64)
-    names = [xxhash.xxh64_intdigest(b" ".join(lines[i])) for i in long]
-    return (blocks, places), list(zip(names, starts.tolist(), sizes[long].tolist(), bands, strict=True))
+def _chains(owner: np.ndarray, names: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which blocks stay, words of each): equal blocks of one text under SPAN / 2 apart are one longer block."""
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((places, names, owner))
+    o, n, p = owner[order], names[order], places[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(o) != 0) | (n[1:] != n[:-1]) | (np.diff(p) >= SPAN // 2)
+    starts = np.flatnonzero(fresh)
+    lasts = np.append(starts[1:], len(order)) - 1
+    by_place = np.argsort(order[starts])
+    return order[starts][by_place], (p[lasts] - p[starts])[by_place] + BLOCK
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory = Memory(lambda words: [xxhash.xxh64_intdigest(w) for w in words], "paragraphs")
+    memory = Memory(lambda words: [xxhash.xxh64_digest(w) for w in words], "paragraphs")
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("key")
         place = 0
         for group in groups(batch.column("text").to_pylist()):
             split = [[line.split() for line in t.encode("utf-8", "surrogatepass").split(b"\n")] for t in group]
-            lists = [[word for line in lines for word in line] for lines in split]
-            memory.learn(lists)
-            owner, names, starts, sizes, bands = [], [], [], [], []
-            for i, (lines, words) in enumerate(zip(split, lists, strict=True)):
-                if len(words) < MIN_WORDS:
-                    continue
-                (blocks, places), long = _text_units(lines, np.array(memory.look(words), np.uint64))
-                owner.append(np.full(len(places) + len(long), place + i))
-                names += [blocks, np.array([x[0] for x in long], np.uint64)]
-                starts += [places, np.array([x[1] for x in long], np.int64)]
-                sizes += [np.full(len(places), BLOCK), np.array([x[2] for x in long], np.int64)]
-                bands += [None] * len(places) + [x[3] for x in long]
+            flat = [line for lines in split for line in lines]
+            words = [word for line in flat for word in line]
+            if not words:
+                place += len(group)
+                continue
+            memory.learn([words])
+            hashes = np.frombuffer(b"".join(memory.look(words)), ">u8").astype(np.uint64)
+            sizes = np.array([len(line) for line in flat], np.int64)
+            line_text = np.repeat(np.arange(len(group)), [len(lines) for lines in split])
+            lengths = np.bincount(line_text, sizes, len(group)).astype(np.int64)
+            firsts = np.concatenate(([0], np.cumsum(lengths)))
+            shingles = shingle_hashes(hashes)
+            places = places_of_texts(shingles, firsts)
+            owner = np.searchsorted(firsts, places, "right") - 1
+            blocks = np.zeros(len(places), np.uint64)
+            for i, power in enumerate(_powers(_ODD, BLOCK - SHINGLE + 1)):
+                blocks += shingles[places + i] * power
+            blocks = _mix(blocks)
+            stay, n = _chains(owner, blocks, places)
+            long = np.flatnonzero(sizes >= MIN_WORDS)
+            starts = (np.cumsum(sizes) - sizes)[long]
+            bands = line_bands(shingles, starts, starts + sizes[long] - SHINGLE + 1) if len(long) else np.zeros((0, BANDS), np.uint64)
+            names = np.array([xxhash.xxh64_intdigest(b" ".join(flat[i])) for i in long], np.uint64)
+            owner = np.concatenate([owner[stay], line_text[long]])
+            starts = np.concatenate([places[stay], starts]) - firsts[owner]
+            rows = pa.array(owner + place)
             place += len(group)
-            if owner:
-                rows = pa.array(np.concatenate(owner))
-                arrays = [pa.array(np.concatenate(names).view(np.int64)), ids.take(rows), keys.take(rows)]
-                arrays += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes)]
-                arrays.append(pa.array(bands, pa.list_(pa.int64())))
+            if len(owner):
+                arrays = [pa.array(np.concatenate([blocks[stay], names]).view(np.int64)), ids.take(rows), keys.take(rows)]
+                arrays += [pa.array(x.astype(np.int32)) for x in (starts, np.concatenate([n, sizes[long]]))]
+                arrays.append(pa.array([None] * len(stay) + list(bands.view(np.int64)), pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["band", "doc_id", "key", "start", "n", "bands"])
 
 
@@ -148,7 +180,7 @@ UNITS = "band long, doc_id long, key long, start int, n int, bands array<long>"
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked stretches of words of each text, joined by single spaces."""
     for batch in batches:
-        keys, starts, stops, texts = [], [], [], []
+        keys, starts, stops, lines, texts = [], [], [], [], []
         columns = (batch.column(c).to_pylist() for c in ("key", "text", "asked"))
         for key, text, asked in zip(*columns, strict=True):
             words = text.encode("utf-8", "surrogatepass").split()
@@ -156,9 +188,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(key)
                 starts.append(part["s"])
                 stops.append(part["e"])
+                lines.append(part["line"])
                 texts.append(b" ".join(words[part["s"] : part["e"]]))
-        arrays = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "s", "e", "words"])
+        arrays = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(lines, pa.bool_()), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "s", "e", "line", "words"])
 
 
 def jaccard(a: list[bytes], b: list[bytes]) -> float:
@@ -188,28 +221,69 @@ def equal_stretches(own: list[bytes], other: list[bytes], shift: int) -> list[tu
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= BLOCK]
 
 
+def loose_windows(words: list[bytes], at: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, list[int]]]:
+    """(start, hashes) of windows of MIN_WORDS words in a row that no stretch of ``covered`` holds.
+
+    Of the windows in ``words`` only those count whose least shingle begins a block inside at to end.
+    """
+    if len(words) < MIN_WORDS:
+        return []
+    count = len(words) - MIN_WORDS + 1
+    starts = np.arange(count)
+    open_ = np.ones(count, bool)
+    for a, b in covered:
+        open_[(starts >= a) & (starts + MIN_WORDS <= b)] = False
+    if not open_.any():
+        return []
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in words]), ">u8").astype(np.uint64)
+    shingles = shingle_hashes(hashes)[: count + SPAN - 1]
+    inside = np.arange(len(shingles))
+    inside = np.where((inside >= at) & (inside + BLOCK <= end), shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
+    open_ &= _of_span(inside, np.minimum) == _of_span(shingles, np.minimum)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+    names = _folded(hashes, count, MIN_WORDS).view(np.int64)
+    return [(a, names[a:b].tolist()) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
+#: ``met`` and ``o_met``: where run and counterpart began before.  Rows with ``windows`` are no matches but
+#: windows of a run, from ``start`` on, that its counterpart does not have.
+VERIFIED = "key long, doc_id long, o_key long, o_doc_id long, start int, stop int, met int, o_met int, windows array<long>"
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (``line`` false): all that stands of each; lines: the whole line or nothing."""
-    names = ("start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line")
+    """Runs (``line`` false): all that stands of each; lines: the whole line or nothing.
+
+    ``loose`` 1: windows that are not in the counterpart as well; 2: all windows.
+    """
+    names = ("start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line", "loose")
     for batch in batches:
-        kept, starts, stops = [], [], []
+        kept, starts, stops, windows = [], [], [], []
         for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
-            start, stop, o_start, o_stop, s, o_s, words, o_words, line = row
+            start, stop, o_start, o_stop, s, o_s, words, o_words, line, loose = row
             own, other = words.split(b" "), o_words.split(b" ")
             at, end, o_at, o_end = start - s, stop - s, o_start - o_s, o_stop - o_s
             if end - at == o_end - o_at and (whole := grown(own, at, end, other, o_at))[1] > whole[0]:
-                found = [whole]
+                found = equal = [whole]
             else:
                 found = [(at, end)] if jaccard(own[at:end], other[o_at:o_end]) >= SIMILARITY else []
-                found += [] if line else equal_stretches(own, other, o_at - at)
+                equal = [] if line else equal_stretches(own, other, o_at - at)
+                found = found + equal
             kept += [i] * len(found)
             starts += [s + a for a, _ in found]
             stops += [s + b for _, b in found]
+            windows += [None] * len(found)
+            if loose:
+                more = loose_windows(own, at, end, equal if loose == 1 else [])
+                kept += [i] * len(more)
+                starts += [s + a for a, _ in more]
+                stops += [s + a + MIN_WORDS for a, _ in more]
+                windows += [x for _, x in more]
         rows = pa.array(kept, pa.int64())
         arrays = [batch.column(c).take(rows) for c in ("key", "doc_id", "o_key", "o_doc_id")]
         arrays += [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
         arrays += [batch.column(c).take(rows) for c in ("start", "o_start")]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "met", "o_met"])
+        arrays.append(pa.array(windows, pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "met", "o_met", "windows"])
 
 
 def _around(start: str, stop: str, prefix: str = "") -> dict[str, Column]:
@@ -218,23 +292,32 @@ def _around(start: str, stop: str, prefix: str = "") -> dict[str, Column]:
 
 
 def _verify(runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The runs that stand, grown; met and o_met: where run and counterpart began before."""
+    """The runs that stand, grown, and their loose windows (see VERIFIED)."""
     runs = runs.withColumns(_around("start", "stop") | _around("o_start", "o_stop", "o_"))
+    texts = texts.select("key", "s", "e", "words")
     others = texts.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "s", "e", "words")])
     pairs = runs.join(texts, ["key", "s", "e"]).join(others, ["o_key", "o_s", "o_e"])
-    names = ["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line"]
-    return pairs.select(*names).mapInArrow(_verified, "key long, doc_id long, o_key long, o_doc_id long, start int, stop int, met int, o_met int")
+    names = ["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line", "loose"]
+    return pairs.select(*names).mapInArrow(_verified, VERIFIED)
 
 
-def _next_left(left: DataFrame, firsts: DataFrame, gone: DataFrame) -> DataFrame:
-    """Lines of ``left`` that are neither firsts nor gone, in bands where two documents still have some."""
-    done = firsts.select("band", "key", "start").union(gone.select("band", "key", "start")).distinct()
-    return _shared_bands(left.join(done, ["band", "key", "start"], "left_anti"))
+def _texts_of(rows: DataFrame, runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """The words (key, s, e, line, words) around runs and their counterparts, and around lines (``line`` true)."""
+    asked = runs.select("key", *[c.alias(n) for n, c in _around("start", "stop").items()], F.lit(False).alias("line"))
+    asked = asked.union(runs.select("o_key", *[c.alias(n) for n, c in _around("o_start", "o_stop").items()], F.lit(False)))
+    if lines is not None:
+        asked = asked.union(lines.select("key", *[c.alias(n) for n, c in _around("start", "(start + n)").items()], F.lit(True)))
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("s", "e", "line")).alias("asked"))  # stretches of one text
+    texts = rows.select("key", "text").join(asked, "key").mapInArrow(_slices, "key long, s int, e int, line boolean, words binary")
+    return stored(texts.dropDuplicates(["key", "s", "e", "line"]), "slices")
 
 
-def _shared_bands(lines: DataFrame) -> DataFrame:
-    held = lines.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    return lines.join(held.select("band"), "band", "left_semi")
+def _shared_bands(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows of bands that two texts have, and two values of each of the columns ``more``."""
+    both = ("key", *more)
+    bounds = [f(c).alias(f"{name}_{c}") for c in both for name, f in (("low", F.min), ("high", F.max))]
+    held = rows.groupBy("band").agg(*bounds).where(" and ".join(f"low_{c} <> high_{c}" for c in both))
+    return rows.join(held.select("band"), "band", "left_semi")
 
 
 def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +352,7 @@ def rare_bands(lines: DataFrame, texts: DataFrame) -> DataFrame:
     one) of each holds a shingle of the other.  The order is by how many of these lines have a shingle, so
     what many lines share stands last; bands that lie in one document only are left out.
     """
-    held = lines.distinct().withColumns(_around("start", "(start + n)"))
+    held = lines.select("doc_id", "key", "start", "n").distinct().withColumns(_around("start", "(start + n)"))
     sets = held.join(texts, ["key", "s", "e"]).mapInArrow(_line_shingles, "doc_id long, key long, start int, n int, shingles array<long>, sketch array<long>")
     sets = stored(sets, "line-shingles")
     sets = sets.withColumn("size", F.size("shingles"))
@@ -284,32 +367,40 @@ def rare_bands(lines: DataFrame, texts: DataFrame) -> DataFrame:
 def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs of lines of one band (band, doc_id, key, start, n), the later one as key.
 
-    In a round all lines of a band meet the least of each of its salts, however unlike they are.
-    These firsts have met all then and leave the band, and so do lines that an earlier one is like.
+    Lines are of one class if found pairs lead each of them to the same earliest line (``head``), by earlier lines only.  In a round all
+    lines of a band meet those of one class, the one with the fewest lines of each of its salts, however unlike they are.
+    These have met all others then and leave the band; what is left in a band are classes that have not met, and
+    a band of one class is done.  So of two like lines of a band the pair is found, or both are of one class
+    and the later one has another pair with an earlier line.
     After the first round the others are dealt anew by ``rare_bands``, which loses no like pair, and
-    go on with more salts; pairs that the sketch tells apart are left out of the join's result.  Two lines of a band are left unmet only if an earlier line
-    is like one of them.  The rounds end when no band has two documents' lines left; their number grows as the
-    logarithm of the most lines of one rare shingle that are unlike each other.
+    go on with more salts; pairs that the sketch tells apart are left out of the join's result.  The number of rounds grows as the
+    logarithm of the most classes of one rare shingle.
     """
-    place, may_be = F.struct("doc_id", "key", "start", "n"), F.lit(True)
-    left, salts, found = lines, 1, []
+    names = ["doc_id", "key", "start", "n", "head"]
+    first_id = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")  # null ids come first
+    left, salts, found, may_be = lines.withColumn("head", F.struct(first_id, "key", "start")), 1, [], F.lit(True)
     while not left.isEmpty():
         if len(found) == 1:
-            left, salts = stored(rare_bands(left.drop("band"), texts), "lines-rare"), 1
-            place, may_be = F.struct("doc_id", "key", "start", "n", "size", "sketch"), may_be_like("p", "f")
-        salt = F.pmod(F.xxhash64("key", "start", F.lit(salts)), F.lit(salts))
-        firsts = left.groupBy("band", salt.alias("salt")).agg(F.min(place).alias("f")).select("band", "f", "f.key", "f.start")
-        firsts = stored(firsts, "line-firsts")
-        met = left.select("band", place.alias("p")).join(firsts.select("band", "f"), "band").where(F.expr("p.key <> f.key") & may_be)
-        met = met.select("band", F.greatest("p", "f").alias("p"), F.least("p", "f").alias("o"))
-        met = met.select("band", "p.doc_id", "p.key", "p.start", "p.n", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n")])
+            heads = left.select("key", "start", "head").distinct()
+            left, salts = stored(rare_bands(left, texts).join(heads, ["key", "start"]), "lines-rare"), 1
+            names, may_be = [*names, "size", "sketch"], may_be_like("p", "f")
+        place = F.struct(*names)
+        salt = F.pmod(F.xxhash64("head.key", "head.start", F.lit(salts)), F.lit(salts))
+        classes = left.groupBy("band", "head").agg(F.count("*").alias("lines"))
+        classes = classes.groupBy("band", salt.alias("salt")).agg(F.min(F.struct("lines", "head")).alias("c")).select("band", "c.head")
+        firsts = stored(left.join(classes, ["band", "head"]).select("band", place.alias("f")), "line-firsts")
+        met = left.select("band", place.alias("p")).join(firsts, "band").where(F.expr("p.key <> f.key and p.head <> f.head") & may_be)
+        met = met.select(F.greatest("p", "f").alias("p"), F.least("p", "f").alias("o"))
+        met = met.select("p.doc_id", "p.key", "p.start", "p.n", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n", "head")])
         met = stored(met.distinct(), "line-met")
-        ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("o_n")}
-        stands = stored(_verify(met.drop("band").distinct().withColumns(ends | {"line": F.lit(True)}), texts), "line-pairs")
+        ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("o_n"), "line": F.lit(True), "loose": F.lit(0)}
+        stands = stored(_verify(met.withColumns(ends), texts), "line-pairs")
         found.append(stands)
         like = stands.select("key", F.col("met").alias("start"), "o_key", F.col("o_met").alias("o_start"))
-        gone = met.join(like, ["key", "start", "o_key", "o_start"], "left_semi")
-        left = stored(_next_left(left, firsts, gone), "lines-left")
+        earlier = met.join(like, ["key", "start", "o_key", "o_start"], "left_semi").groupBy("key", "start").agg(F.min("o_head").alias("o_head"))
+        left = left.join(firsts.select("band", "f.key", "f.start"), ["band", "key", "start"], "left_anti").join(earlier, ["key", "start"], "left")
+        left = left.withColumn("head", F.least("head", "o_head")).drop("o_head")
+        left = stored(_shared_bands(left, "head"), "lines-left")
         salts *= MORE_FIRSTS
     whole = found[0] if found else _verify(_no_runs(lines), texts)
     for stands in found[1:]:
@@ -318,49 +409,71 @@ def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _no_runs(lines: DataFrame) -> DataFrame:
-    empty = lines.limit(0).withColumns({"stop": F.col("start"), "line": F.lit(True)})
-    return empty.select("line", "key", "doc_id", "start", "stop", *[F.col(c).alias(f"o_{c}") for c in ("key", "doc_id", "start", "stop")])
+    empty = lines.limit(0).withColumns({"stop": F.col("start"), "line": F.lit(True), "loose": F.lit(0)})
+    return empty.select("line", "loose", "key", "doc_id", "start", "stop", *[F.col(c).alias(f"o_{c}") for c in ("key", "doc_id", "start", "stop")])
 
 
-def _after_first(rows: DataFrame, place: Column) -> DataFrame:
-    """The rows of each band with the place of its first one (o_doc_id, o_key, o_start), where that is in another text."""
-    first = rows.groupBy("band").agg(F.min(place).alias("o"))
-    first = first.select("band", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start")])
-    return rows.join(first, "band").where("key <> o_key").drop("band").distinct()
+def _after_first(rows: DataFrame, words: int) -> DataFrame:
+    """The rows of each band with the place of its first one (o_doc_id, o_key, o_start, o_n) and whether they are ``loose``.
 
+    Rows of a band have ``words`` words in common.  Where it has more than two places, two of them may have more in
+    common than either has with the first: 1.  Where some hold those words over and over (``n`` is above ``words``),
+    they may have it elsewhere than side by side, and the first one with them: 2.
+    """
+    place = F.struct("doc_id", "key", "start", "n")
+    first = rows.groupBy("band").agg(F.min(place).alias("o"), F.count("*").alias("places"), F.max("n").alias("most"))
+    loose = F.when(F.col("most") > words, 2).when(F.col("places") > 2, 1).otherwise(0)
+    first = first.select("band", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n")], loose.alias("loose"))
+    return rows.join(first, "band").where("key <> o_key or loose = 2 or start <> o_start").drop("band")
 
-def matches(docs: DataFrame) -> DataFrame:
-    """Verified stretches (key, doc_id, start, stop) whose words stand in an earlier document (o_key, o_doc_id)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    units = stored(rows.mapInArrow(_units, UNITS), "units")
-    place = F.struct("doc_id", "key", "start")
-    blocks = stored(_shared_bands(units.where("bands is null").drop("bands", "n")), "blocks")
-    met = _after_first(blocks, place)
-    met = met.withColumns({"stop": F.col("start") + BLOCK, "o_stop": F.col("o_start") + BLOCK, "shift": F.col("start") - F.col("o_start")})
-    # blocks in a row that meet the same text with the same shift are one run
+
+def _runs(met: DataFrame) -> DataFrame:
+    """Rows in a row that meet the same text with the same shift, as one."""
+    met = met.withColumns({"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("o_n"), "shift": F.col("start") - F.col("o_start")})
     same = Window.partitionBy("key", "o_key", "shift").orderBy("start")
     reach = F.max("stop").over(same.rowsBetween(Window.unboundedPreceding, -1))
     fresh = reach.isNull() | (F.col("start") > reach + (SPAN - BLOCK))
     numbered = met.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(same))
-    lowest = {c: F.min(c).alias(c) for c in ("start", "o_start")}
-    highest = {c: F.max(c).alias(c) for c in ("stop", "o_stop")}
-    runs = numbered.groupBy("key", "doc_id", "o_key", "o_doc_id", "shift", "run").agg(*lowest.values(), *highest.values())
+    lowest = [F.min(c).alias(c) for c in ("start", "o_start")]
+    highest = [F.max(c).alias(c) for c in ("stop", "o_stop", "loose")]
+    runs = numbered.groupBy("key", "doc_id", "o_key", "o_doc_id", "shift", "run").agg(*lowest, *highest)
+    return runs.drop("run", "shift")
+
+
+def _loose_windows(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Matches of the windows that runs have and their counterparts have not: equal windows meet their first one."""
+    names = ("doc_id", "key", "start")
+    single = found.where("windows is not null").select(*names, F.posexplode("windows").alias("nth", "band"))
+    single = single.select("band", "doc_id", "key", (F.col("start") + F.col("nth")).alias("start")).distinct()
+    shared = stored(_shared_bands(single), "windows")
+    # equal windows of one text close to each other are one longer one
+    close = Window.partitionBy("band", "key").orderBy("start")
+    fresh = F.coalesce(F.col("start") - F.lag("start").over(close) >= SPAN // 2, F.lit(True))
+    chained = shared.withColumn("fresh", fresh.cast("int")).withColumn("nth", F.sum("fresh").over(close))
+    chained = chained.groupBy("band", "doc_id", "key", "nth").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + MIN_WORDS).alias("n"))
+    runs = _runs(_after_first(chained.drop("nth"), MIN_WORDS).where("key <> o_key"))
+    runs = stored(runs.withColumns({"line": F.lit(False), "loose": F.lit(0)}), "window-runs")
+    return _verify(runs, _texts_of(rows, runs))
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """Verified stretches (key, doc_id, start, stop) whose words stand in an earlier document (o_key, o_doc_id)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
+    units = stored(rows.mapInArrow(_units, UNITS), "units")
+    blocks = stored(_shared_bands(units.where("bands is null").drop("bands")), "blocks")
+    runs = _runs(_after_first(blocks, BLOCK))
     long = units.where("bands is not null")
-    same_lines = _after_first(_shared_bands(long.drop("bands")), place)
-    ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("n")}
-    runs = runs.drop("run", "shift").unionByName(same_lines.withColumns(ends).drop("n"))
-    runs = stored(runs.withColumn("line", F.lit(False)), "runs")
+    same_lines = _after_first(_shared_bands(long.drop("bands")), MIN_WORDS).where("key <> o_key").distinct()
+    ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("n"), "loose": F.lit(0)}
+    runs = runs.unionByName(same_lines.withColumns(ends).drop("n", "o_n"))
+    runs = stored(runs.where("key <> o_key or loose > 0").withColumn("line", F.lit(False)), "runs")
     single = long.groupBy("band").agg(F.min(F.struct("doc_id", "key", "start", "n", "bands")).alias("l"))
     lines = single.select(F.explode("l.bands").alias("band"), "l.doc_id", "l.key", "l.start", "l.n")
     lines = stored(_shared_bands(lines), "lines")
-    asked = runs.select("key", *[c.alias(n) for n, c in _around("start", "stop").items()])
-    asked = asked.union(runs.select("o_key", *[c.alias(n) for n, c in _around("o_start", "o_stop").items()]))
-    ends = lines.select("key", "start", (F.col("start") + F.col("n")).alias("stop"))
-    asked = asked.union(ends.select("key", *[c.alias(n) for n, c in _around("start", "stop").items()])).distinct()
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("asked"))  # stretches of one text
-    texts = rows.select("key", "text").join(asked, "key").mapInArrow(_slices, "key long, s int, e int, words binary")
-    texts = stored(texts.dropDuplicates(["key", "s", "e"]), "slices")
-    return _verify(runs, texts).union(line_pairs(lines, texts)).drop("met", "o_met")
+    texts = _texts_of(rows, runs, lines)
+    found = stored(_verify(runs, texts.where("not line")), "run-matches")
+    whole = found.where("windows is null and key <> o_key").union(_loose_windows(found, rows)).union(line_pairs(lines, texts.where("line")))
+    return whole.drop("met", "o_met", "windows")
 
 
 def passages(found: DataFrame) -> DataFrame:
