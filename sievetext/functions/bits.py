@@ -8,11 +8,13 @@ filters from them; their results are deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ WORD_BITS = 64
 FIXED_ONE = 4294967296.0  # 2**32: sums of fixed-point entries do not depend on their order
 ROWS_TIMES_FILTERS = 1 << 20
 FILTERS_PER_BLOCK = 1 << 12
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1 << 10, 1 << 22
 
 VECTOR_TYPE = T.ArrayType(T.DoubleType())
 BITS_TYPE = T.ArrayType(T.LongType())
@@ -149,6 +152,29 @@ class FilterBank:
 
 
 # ---------------------------------------------------------------- Arrow functions
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of TEXTS_AT_ONCE rows and BYTES_AT_ONCE bytes at most, or a single longer text.
+
+    An encoder's matrices are many times as large as the texts, and a batch has up to 10,000 of those.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        room = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES_AT_ONCE, side="right"))
+        stop = min(max(room, start + 1), start + TEXTS_AT_ONCE, len(texts))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def packed_bits(encoder, texts: pa.Array) -> tuple[np.ndarray, int]:
+    """Packed bits of texts, and the dimension of their vectors (0 without texts)."""
+    found = [(pack_words(above_own_mean(raw)), raw.shape[1]) for raw in map(encoder.raw, parts_of(texts))]
+    dims = {dim for _, dim in found}
+    if len(dims) > 1:
+        raise ValueError(f"an encoder's vectors have dimensions {sorted(dims)}")
+    return (np.concatenate([words for words, _ in found]), dims.pop()) if found else (np.zeros((0, 0), "<u8"), 0)
+
+
 def embed_text(encoder):
     """text -> unit vector."""
 
@@ -164,7 +190,7 @@ def text_bits(encoder):
 
     @F.arrow_udf(BITS_TYPE)
     def bits(texts: pa.Array) -> pa.Array:
-        return list_array(pack_words(above_own_mean(encoder.raw(texts))).view("<i8"))
+        return list_array(packed_bits(encoder, texts)[0].view("<i8"))
 
     return bits.asNondeterministic()
 
@@ -187,8 +213,7 @@ def match_text(encoder, bank: Broadcast):
 
     @F.arrow_udf(MATCH_TYPE)
     def match(texts: pa.Array) -> pa.Array:
-        raw = encoder.raw(texts)
-        return bank.value.match(pack_words(above_own_mean(raw)), raw.shape[1])
+        return bank.value.match(*packed_bits(encoder, texts))
 
     return match.asNondeterministic()
 

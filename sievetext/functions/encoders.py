@@ -26,7 +26,7 @@ from .bits import embed_text
 
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
 DIGEST_BITS = 128
-TOKENS_PER_BLOCK = 1 << 17
+TOKENS_PER_BLOCK = 1 << 16
 CACHED_TOKENS = 1 << 18
 
 # Per Python worker: token -> packed sign bits, one dictionary per digest count.
@@ -36,7 +36,7 @@ _digests: dict[int, dict[str, bytes]] = {}
 def _sign_bits(tokens: Sequence[str], digests_per_token: int) -> np.ndarray:
     """One row of 0/1 per token: the bits of md5(token#0), md5(token#1), ..."""
     known = _digests.setdefault(digests_per_token, {})
-    if len(known) > CACHED_TOKENS:
+    if len(known) + len(tokens) > CACHED_TOKENS:
         known.clear()
     suffixes = [b"#%d" % k for k in range(digests_per_token)]
     rows = []

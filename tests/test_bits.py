@@ -2,6 +2,7 @@ import math
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,24 @@ def test_vectors_of_mixed_dimension_fail(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],)], "v array<double>").coalesce(1)
     with pytest.raises(Exception, match="mixed dimension"):
         df.select(B.vector_bits()("v")).collect()
+
+
+class _Counting:
+    dim = 64
+
+    def __init__(self):
+        self.seen = []
+
+    def raw(self, texts):
+        self.seen.append((len(texts), sum(len(t or "") for t in texts.to_pylist())))
+        return np.array([[(len(t or "") * (i + 3)) % 11 for i in range(64)] for t in texts.to_pylist()], np.int64).reshape(-1, 64)
+
+
+def test_a_batch_is_encoded_in_parts_of_bounded_size():
+    texts = ["x" * (i % 50) for i in range(3000)] + [None, "y" * (B.BYTES_AT_ONCE + 5), "z", "w" * (B.BYTES_AT_ONCE - 1), "v" * 9]
+    encoder = _Counting()
+    words, dim = B.packed_bits(encoder, pa.array(texts))
+    assert dim == 64 and (words == B.pack_words(B.above_own_mean(_Counting().raw(pa.array(texts))))).all()
+    assert sum(n for n, _ in encoder.seen) == len(texts)
+    assert all(n <= B.TEXTS_AT_ONCE and (size <= B.BYTES_AT_ONCE or n == 1) for n, size in encoder.seen)
+    assert len(B.packed_bits(encoder, pa.array([], pa.string()))[0]) == 0
