@@ -367,7 +367,8 @@ def rare_bands(lines: DataFrame, texts: DataFrame) -> DataFrame:
 def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs of lines of one band (band, doc_id, key, start, n), the later one as key.
 
-    Lines are of one class if found pairs lead each of them to the same earliest line (``head``), by earlier lines only.  In a round all
+    Lines of one class are connected by found pairs, and all but its first one (``head``) have a pair with an earlier line.
+    A pair of two classes makes them one; only a head that no earlier line is like stays a class by itself.  In a round all
     lines of a band meet those of one class, the one with the fewest lines of each of its salts, however unlike they are.
     These have met all others then and leave the band; what is left in a band are classes that have not met, and
     a band of one class is done.  So of two like lines of a band the pair is found, or both are of one class
@@ -391,15 +392,20 @@ def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
         firsts = stored(left.join(classes, ["band", "head"]).select("band", place.alias("f")), "line-firsts")
         met = left.select("band", place.alias("p")).join(firsts, "band").where(F.expr("p.key <> f.key and p.head <> f.head") & may_be)
         met = met.select(F.greatest("p", "f").alias("p"), F.least("p", "f").alias("o"))
-        met = met.select("p.doc_id", "p.key", "p.start", "p.n", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n", "head")])
+        met = met.select("p.doc_id", "p.key", "p.start", "p.n", "p.head", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n", "head")])
         met = stored(met.distinct(), "line-met")
         ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("o_n"), "line": F.lit(True), "loose": F.lit(0)}
         stands = stored(_verify(met.withColumns(ends), texts), "line-pairs")
         found.append(stands)
         like = stands.select("key", F.col("met").alias("start"), "o_key", F.col("o_met").alias("o_start"))
-        earlier = met.join(like, ["key", "start", "o_key", "o_start"], "left_semi").groupBy("key", "start").agg(F.min("o_head").alias("o_head"))
+        like = met.join(like, ["key", "start", "o_key", "o_start"], "left_semi")
+        earlier = like.groupBy("key", "start").agg(F.min("o_head").alias("o_head"))
         left = left.join(firsts.select("band", "f.key", "f.start"), ["band", "key", "start"], "left_anti").join(earlier, ["key", "start"], "left")
         left = left.withColumn("head", F.least("head", "o_head")).drop("o_head")
+        joined = like.select(F.greatest("head", "o_head").alias("head"), F.least("head", "o_head").alias("low"))
+        left = left.join(joined.groupBy("head").agg(F.min("low").alias("low")), "head", "left")
+        follows = F.expr("head.key <> key or head.start <> start")
+        left = left.withColumn("head", F.when(follows, F.least("head", "low")).otherwise(F.col("head"))).drop("low")
         left = stored(_shared_bands(left, "head"), "lines-left")
         salts *= MORE_FIRSTS
     whole = found[0] if found else _verify(_no_runs(lines), texts)
