@@ -9,9 +9,13 @@ below it are passed over unscored, and pivots are scored exactly, which raises t
 Pivots of up to ``WINDOW`` blocks are found at once, as numpy does.  Documents lie in an order that
 brings texts of a kind together, which makes the maxima tight.
 
-Term weights come from counts over all documents, so scores of shards compare and the merge is
-exact.  Index and queries are files in the shared folder; a task takes one shard and a
-fixed share of the query files, and no text or posting is shuffled.
+The ``HEADS`` longest lists of a shard stand in nearly every block and their maxima tell little, so
+these have blocks of one document: their bounds for all queries at hand are one product of matrices.
+
+Term weights come from counts over all documents, so scores of shards compare.  Index and queries
+are files in the shared folder.  A task takes one file of queries through all shards, one shard in
+memory at a time, and brings the score to beat along: what a shard has found limits all later ones,
+and a query's k best are all that leaves the task.  No text or posting is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bundle import filesystem_of
@@ -35,11 +39,14 @@ K1, B = 1.2, 0.75
 #: A shard is closed at so many documents or (document, term) pairs; building one takes about 100 bytes a pair.
 SHARD_DOCS, SHARD_PAIRS = 1 << 13, 2_500_000
 BLOCK = 64
-QUERY_BLOCK = 1024
+#: Queries of a file at most; few queries are dealt out to so many files for each core.
+QUERY_BLOCK, CORE_FILES = 4096, 2
+#: Queries whose bounds are found at once.
+BOUNDS = 128
 #: Blocks whose pivots are found at once.
-WINDOW = 8
-#: Tasks that a shard's queries are dealt out to.
-SHARES = 4
+WINDOW = 32
+#: A shard's longest lists, whose bounds are by document.
+HEADS = 512
 #: Scores count to this many decimals, so that equal texts tie exactly.
 DECIMALS = 6
 
@@ -91,28 +98,80 @@ def build(ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], me
     }
 
 
-def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(doc ids, scores, blocks opened, pivots scored) of a shard's k best documents; ties go to the smaller id."""
-    own = index["terms"]
-    ids, scores = np.zeros(0, np.int64), np.zeros(0)
-    if not len(own):
+def with_heads(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The index with its longest lists by document: each term's row (-1: none), counts, and impacts rounded up."""
+    if "head" in index:
+        return index
+    post = index["entry_post"][index["entry_ptr"]].astype(np.int64)
+    sizes = np.diff(post)
+    longest = np.argsort(-sizes, kind="stable")[:HEADS]
+    head = np.full(len(sizes), -1, np.int32)
+    head[longest] = np.arange(len(longest))
+    counts = np.zeros((len(longest), len(index["ids"])), index["tf"].dtype)
+    bounds = np.zeros(counts.shape, np.float32)
+    for row, term in enumerate(longest):
+        part = slice(post[term], post[term + 1])
+        docs, tf = index["docs"][part], index["tf"][part].astype(np.float64)
+        counts[row, docs] = index["tf"][part]
+        bounds[row, docs] = np.nextafter((tf * (K1 + 1) / (tf + index["norms"][docs])).astype(np.float32), np.float32(np.inf))
+    more = {"head": head, "head_tf": counts, "head_bounds": bounds, "entry_ptr": index["entry_ptr"].astype(np.int64)}
+    return index | more | {"entry_post": index["entry_post"].astype(np.int64)}
+
+
+def _places(index: dict[str, np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the terms stand in the index, and which of them do."""
+    at = np.minimum(np.searchsorted(index["terms"], terms), len(index["terms"]) - 1)
+    hit = index["terms"][at] == terms
+    return at[hit], hit
+
+
+def head_bounds(index: dict[str, np.ndarray], queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(queries, documents): at least what the longest lists add to each score of queries (terms, weights)."""
+    weights = np.zeros((len(queries), len(index["head_bounds"])), np.float32)
+    for i, (terms, own) in enumerate(queries):
+        at, hit = _places(index, terms)
+        rows = index["head"][at]
+        weights[i, rows[rows >= 0]] = own[hit][rows >= 0]
+    return weights @ index["head_bounds"] * np.float32(1 + 1e-4)  # above what single precision loses over HEADS sums
+
+
+def top_k(
+    index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray, k: int,
+    held: tuple[np.ndarray, np.ndarray] | None = None, above: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(doc ids, scores, blocks opened, pivots scored) of the k best documents; ties go to the smaller id.
+
+    They are the best of a shard and of what is ``held`` from others (ids, scores).  ``above``: the
+    query's row of ``head_bounds``.
+    """
+    ids, scores = held or (np.zeros(0, np.int64), np.zeros(0))
+    if not len(index["terms"]):
         return ids, scores, 0, 0
-    at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-    hit = own[at] == terms
-    at, weights = at[hit], weights[hit]
-    ptr = index["entry_ptr"].astype(np.int64)
-    counts = ptr[at + 1] - ptr[at]
-    entries = spans(ptr[at], counts)
-    weight = np.repeat(weights, counts)
-    most = weight * index["entry_max"][entries]
+    index = with_heads(index)
+    above = head_bounds(index, [(terms, weights)])[0] if above is None else above
+    at, hit = _places(index, terms)
+    weights = weights[hit]
+    row = index["head"][at]
+    rest = np.flatnonzero(row < 0)  # terms of lists in blocks
+    ptr = index["entry_ptr"]
+    counts = ptr[at[rest] + 1] - ptr[at[rest]]
+    entries, of = spans(ptr[at[rest]], counts), np.repeat(rest, counts)
     block = index["entry_block"][entries]
     n_docs = len(index["ids"])
+    n_blocks = -(-n_docs // BLOCK)
     # a little above the sums, for rounding; nothing is left out on a tie
-    bound = np.bincount(block, most, -(-n_docs // BLOCK)) * (1 + 1e-9)
+    bound = np.bincount(block, weights[of] * index["entry_max"][entries], n_blocks) * (1 + 1e-9)
+    bound += np.maximum.reduceat(above, np.arange(0, n_docs, BLOCK))
     unread = bound > 0
-    chosen = np.zeros(len(bound), bool)
-    opened, pivots, place, least = 0, 0, 0, 0.0
-    ahead = np.array([bound.argmax()]) if unread.any() else np.zeros(0, np.int64)
+    chosen = np.zeros(n_blocks, bool)
+    heads = np.flatnonzero(row >= 0)
+    opened, pivots, place = 0, 0, 0
+    least = scores[-1] - 10.0**-DECIMALS if len(scores) == k else 0.0
+    ahead = np.flatnonzero(unread & (bound >= least))[:WINDOW] if least > 0 else np.flatnonzero(unread)[:1]
+    if least > 0:
+        place = ahead[-1] + 1 if len(ahead) else 0
+    elif len(ahead):
+        ahead = np.array([bound.argmax()])
     while len(ahead):
         chosen[:] = False
         chosen[ahead] = True
@@ -120,23 +179,27 @@ def top_k(index: dict[str, np.ndarray], terms: np.ndarray, weights: np.ndarray,
         opened += len(ahead)
         taken = np.flatnonzero(chosen[block])
         e = entries[taken]
-        start = index["entry_post"][e].astype(np.int64)
+        start = index["entry_post"][e]
         size = index["entry_post"][e + 1] - start
-        posts, owner = spans(start, size), np.repeat(taken, size)
+        posts, owner = spans(start, size), np.repeat(of[taken], size)
         docs = index["docs"][posts]
-        if least > 0:
-            reached = np.bincount(docs, most[owner], n_docs) * (1 + 1e-9) >= least
-            beats = reached[docs]
-            posts, owner, docs = posts[beats], owner[beats], docs[beats]
         tf = index["tf"][posts].astype(np.float64)
-        total = np.bincount(docs, weight[owner] * tf * (K1 + 1) / (tf + index["norms"][docs]), n_docs)
-        found = np.flatnonzero(total)
+        part = weights[owner] * tf * (K1 + 1) / (tf + index["norms"][docs])
+        most = np.bincount(docs, part, n_docs) * (1 + 1e-9) + above
+        found = np.flatnonzero((most >= least) & (most > 0) & np.repeat(chosen, BLOCK)[:n_docs])
         pivots += len(found)
-        if len(found) > k:
-            kth = np.partition(total[found], len(found) - k)[len(found) - k]
-            found = found[total[found] >= kth - 2 * 10.0**-DECIMALS]
+        # sums over the terms in their order, so that equal texts of all shards tie
+        by_term = np.zeros((len(at), len(found)))
+        tf = index["head_tf"][row[heads][:, None], found].astype(np.float64)
+        by_term[heads] = weights[heads, None] * tf * (K1 + 1) / (tf + index["norms"][found])
+        nth = np.full(n_docs, -1)
+        nth[found] = np.arange(len(found))
+        pivot = np.flatnonzero(nth[docs] >= 0)
+        by_term[owner[pivot], nth[docs[pivot]]] = part[pivot]
+        total = np.bincount(np.tile(np.arange(len(found)), len(at)), by_term.ravel(), len(found))
+        found, total = found[total > 0], total[total > 0]
         ids = np.concatenate([ids, index["ids"][found]])
-        scores = np.concatenate([scores, np.round(total[found], DECIMALS)])
+        scores = np.concatenate([scores, np.round(total, DECIMALS)])
         best = np.lexsort((ids, -scores))[:k]
         ids, scores = ids[best], scores[best]
         if len(scores) == k:
@@ -235,29 +298,34 @@ def _write_queries(folder: str):
     return run
 
 
-def _search(folder: str, blocks: Broadcast, k: int):
-    """The k best of a shard for the queries of every SHARES-th file."""
+def _search(folder: str, shards: Broadcast, k: int):
+    """The k best of all shards for the queries of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, index = None, None
         for batch in batches:
-            for shard, share in zip(batch.column("shard").to_pylist(), batch.column("share").to_pylist(), strict=True):
-                if shard != name:
-                    index = None
-                    name, index = shard, _load(folder, shard)
-                for block in blocks.value[share::SHARES]:
-                    queries = _load(folder, block)
-                    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    for i, query_id in enumerate(queries["ids"].tolist()):
-                        part = slice(queries["ptr"][i], queries["ptr"][i + 1])
-                        ids, scores, *_ = top_k(index, queries["terms"][part], queries["weights"][part], k)
-                        out.append((np.full(len(ids), query_id, np.int64), ids, scores))
-                    arrays = [pa.array(np.concatenate([x[j] for x in out])) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "doc_id", "score"])
+            for block in batch.column("queries").to_pylist():
+                asked = _load(folder, block)
+                edges = asked["ptr"].tolist()
+                queries = [(asked["terms"][a:b], asked["weights"][a:b]) for a, b in zip(edges, edges[1:])]
+                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+                for name in shards.value:
+                    index = with_heads(_load(folder, name))
+                    for at in range(0, len(queries), BOUNDS):
+                        part = queries[at : at + BOUNDS]
+                        for i, above in enumerate(head_bounds(index, part), at):
+                            ids, scores, *_ = top_k(index, *queries[i], k, best[i], above)
+                            best[i] = ids, scores
+                sizes = [len(ids) for ids, _ in best]
+                arrays = [np.repeat(asked["ids"], sizes), np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32)]
+                arrays += [np.concatenate([x[j] for x in best]) for j in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["query_id", "rank", "doc_id", "score"])
 
     return run
 
 
+FOUND = "query_id long, rank int, doc_id long, score double"
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents of ``docs`` (doc_id, text) of highest BM25 for each query.
 
@@ -283,11 +351,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", F.struct("term", (idf * F.col("qtf")).alias("weight")).alias("t"))
     asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # at most the vocabulary
-    blocks = asked.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    blocks = [r["queries"] for r in stored(blocks.mapInArrow(_write_queries(folder), "queries string"), "query-blocks").orderBy("queries").collect()]
-    tasks = spark.createDataFrame([(s, i) for s in names for i in range(SHARES)], "shard string, share int")
-    tasks = tasks.repartitionByRange(max(1, len(names) * SHARES), "shard", "share")
-    found = tasks.mapInArrow(_search(folder, spark.sparkContext.broadcast(blocks), k), "query_id long, doc_id long, score double")
-    found = stored(found, "found")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    blocks = stored(asked.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "queries")
+    share = blocks.count() / (CORE_FILES * spark.sparkContext.defaultParallelism)
+    parts = -(-blocks.count() // max(1, min(QUERY_BLOCK // 2, int(share)))) or 1
+    files_of = blocks.repartition(parts).mapInArrow(_write_queries(folder), "queries string")
+    found = stored(files_of, "query-blocks").repartition(parts).mapInArrow(_search(folder, spark.sparkContext.broadcast(names), k), FOUND)
+    return stored(found, "found")
