@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, row_key, spare, stored, text_of
+from .common import components, lean, row_key, spare, stored, text_of
 from .encoding import Memory, groups
 
 MIN_WORDS = 50
@@ -298,7 +298,7 @@ def _verify(runs: DataFrame, texts: DataFrame) -> DataFrame:
     others = texts.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "s", "e", "words")])
     pairs = runs.join(texts, ["key", "s", "e"]).join(others, ["o_key", "o_s", "o_e"])
     names = ["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line", "loose"]
-    return pairs.select(*names).mapInArrow(_verified, VERIFIED)
+    return pairs.select(*names).mapInArrow(lean(_verified), VERIFIED)
 
 
 def _texts_of(rows: DataFrame, runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -308,7 +308,7 @@ def _texts_of(rows: DataFrame, runs: DataFrame, lines: DataFrame | None = None)
     if lines is not None:
         asked = asked.union(lines.select("key", *[c.alias(n) for n, c in _around("start", "(start + n)").items()], F.lit(True)))
     asked = asked.groupBy("key").agg(F.collect_set(F.struct("s", "e", "line")).alias("asked"))  # stretches of one text
-    texts = rows.select("key", "text").join(asked, "key").mapInArrow(_slices, "key long, s int, e int, line boolean, words binary")
+    texts = rows.select("key", "text").join(asked, "key").mapInArrow(lean(_slices), "key long, s int, e int, line boolean, words binary")
     return stored(texts.dropDuplicates(["key", "s", "e", "line"]), "slices")
 
 
@@ -353,7 +353,7 @@ def rare_bands(lines: DataFrame, texts: DataFrame) -> DataFrame:
     what many lines share stands last; bands that lie in one document only are left out.
     """
     held = lines.select("doc_id", "key", "start", "n").distinct().withColumns(_around("start", "(start + n)"))
-    sets = held.join(texts, ["key", "s", "e"]).mapInArrow(_line_shingles, "doc_id long, key long, start int, n int, shingles array<long>, sketch array<long>")
+    sets = held.join(texts, ["key", "s", "e"]).mapInArrow(lean(_line_shingles), "doc_id long, key long, start int, n int, shingles array<long>, sketch array<long>")
     sets = stored(sets, "line-shingles")
     sets = sets.withColumn("size", F.size("shingles"))
     single = sets.select("doc_id", "key", "start", "n", "size", "sketch", F.explode("shingles").alias("band"))
@@ -465,7 +465,7 @@ def _loose_windows(found: DataFrame, rows: DataFrame) -> DataFrame:
 def matches(docs: DataFrame) -> DataFrame:
     """Verified stretches (key, doc_id, start, stop) whose words stand in an earlier document (o_key, o_doc_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    units = stored(rows.mapInArrow(_units, UNITS), "units")
+    units = stored(rows.mapInArrow(lean(_units), UNITS), "units")
     blocks = stored(_shared_bands(units.where("bands is null").drop("bands")), "blocks")
     runs = _runs(_after_first(blocks, BLOCK))
     long = units.where("bands is not null")
@@ -541,5 +541,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     found = taken.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias(spans)).withColumnRenamed("key", key)
     rows = docs.withColumn(row, row_key())
     rows = rows.join(found, F.col(row) == F.col(key), "left").drop(row, key)
-    cut = rows.mapInArrow(_cut(spans), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    cut = rows.mapInArrow(lean(_cut(spans)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
