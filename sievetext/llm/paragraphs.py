@@ -450,8 +450,8 @@ def _loose_windows(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Matches of the windows that runs have and their counterparts have not: equal windows meet their first one."""
     names = ("doc_id", "key", "start")
     single = found.where("windows is not null").select(*names, F.posexplode("windows").alias("nth", "band"))
-    single = single.select("band", "doc_id", "key", (F.col("start") + F.col("nth")).alias("start")).distinct()
-    shared = stored(_shared_bands(single), "windows")
+    single = single.select("band", "doc_id", "key", (F.col("start") + F.col("nth")).alias("start"))
+    shared = stored(_shared_bands(single).distinct(), "windows")  # most windows are of one text, so the shared ones are few
     # equal windows of one text close to each other are one longer one
     close = Window.partitionBy("band", "key").orderBy("start")
     fresh = F.coalesce(F.col("start") - F.lag("start").over(close) >= SPAN // 2, F.lit(True))
