@@ -16,7 +16,6 @@ import hashlib
 import pickle
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, spare, text_of
+from .common import crc_bucket, lean, spare, text_of
 from .encoding import Memory, groups
 
 WINDOW, STEP = 64, 32
@@ -41,6 +40,11 @@ CHUNK = 2048
 #: Texts whose scores a worker remembers.
 KNOWN_TEXTS = 200_000
 
+#: What crc32 makes of a state whose last byte is so and so.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
 _WORD = re.compile(r"\w+")
 EMPTY = ""
 
@@ -60,14 +64,30 @@ class Codes:
 
     @staticmethod
     def of(words: list[str]) -> Codes:
-        crc, own, grams, counts = zlib.crc32, [], array("i"), []
-        for word in words:
-            data = f"<{word}>".encode("utf-8", "surrogatepass")
-            found = [crc(data[i : i + n]) % GRAMS for n in (3, 4, 5) for i in range(max(1, len(data) - n + 1))]
-            grams.extend(found)
-            own.append(crc(data) % WORDS)
-            counts.append(len(found))
-        return Codes(np.array(own, np.int32), np.frombuffer(grams, np.int32), np.array(counts, np.int32))
+        """crc32 of each word and, the n-grams of all words at once, of each n-gram; a shorter word is its only n-gram."""
+        data = [f"<{word}>".encode("utf-8", "surrogatepass") for word in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data) + bytes(5), np.uint8)
+        firsts = np.cumsum(sizes) - sizes
+        n_bytes = len(flat) - 5
+        state = np.full(n_bytes, 0xFFFFFFFF, np.uint32)
+        codes, before = [], None
+        for n in range(1, 6):
+            own = flat[n - 1 : n - 1 + n_bytes]
+            state = _CRC[(state ^ own) & 255] ^ state >> np.uint32(8)
+            found = (~state & np.uint32(GRAMS - 1)).astype(np.int32)
+            if before is not None:
+                short = firsts[sizes < n]
+                found[short] = before[short]
+            before = found
+            if n > 2:
+                codes.append(found)
+        counts = np.maximum(1, sizes[:, None] - np.arange(3, 6) + 1)
+        starts = (firsts[:, None] + np.arange(3) * n_bytes).ravel()
+        ends = np.cumsum(counts)
+        at = np.repeat(starts - (ends - counts.ravel()), counts.ravel()) + np.arange(ends[-1] if len(ends) else 0)
+        own = np.fromiter(map(zlib.crc32, data), np.uint32, len(data)) % np.uint32(WORDS)
+        return Codes(own.astype(np.int32), np.concatenate(codes)[at], counts.sum(axis=1).astype(np.int32))
 
     def take(self, places: np.ndarray) -> Codes:
         ends = np.cumsum(self.counts)
@@ -373,7 +393,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     rows = texts.join(F.broadcast(chosen), "doc_id")  # no more ids than the sample's bound
     first = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = first.repartition(1).sortWithinPartitions("doc_id").select("toxic", "text")  # no larger than the sample's bound
-    fitted = sample.mapInArrow(_fit_sample, "net binary").first()
+    fitted = sample.mapInArrow(lean(_fit_sample), "net binary").first()
     return pickle.loads(fitted["net"]) if fitted else None
 
 
@@ -400,7 +420,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = train(docs, labels)
     net = docs.sparkSession.sparkContext.broadcast(net) if net is not None else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
-    found = rows.mapInArrow(_score(net, "_text", "_score"), "doc_id long, _score double")
+    found = rows.mapInArrow(lean(_score(net, "_text", "_score")), "doc_id long, _score double")
     predicted = (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
     return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), F.col("_score").alias("score"), predicted)
 
@@ -411,5 +431,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = docs.sparkSession.sparkContext.broadcast(net) if net is not None else None
     text, score_ = spare(docs, "_text"), spare(docs, "_score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {score_} double"
-    rows = docs.withColumn(text, text_of()).mapInArrow(_score(net, text, score_), schema)
+    rows = docs.withColumn(text, text_of()).mapInArrow(lean(_score(net, text, score_)), schema)
     return rows.where(F.col(score_) < THRESHOLD).drop(score_)
