@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 from .encoding import Memory, groups, tokenizer_path
 
 #: Rank of a pair that is not merged; the multiplier and size of the table of ranks.
@@ -65,10 +65,10 @@ class BytePairs:
         self.fragments = Memory(self._find_fragments, f"pairs {path}")
         self.memory = Memory(self._find, f"pairs {path}")
 
-    def merge(self, fragments: list[tuple[bytes, bool]]) -> list[np.ndarray]:
-        """ids of fragments; each comes with whether it is the last of its word.
+    def merge(self, fragments: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of fragments in a row, where each one's begin and the last one's end).
 
-        All fragments take a step together: each merges its leftmost pair of lowest rank, until none can.
+        A fragment comes with whether it is the last of its word.  All fragments take a step together: each merges its leftmost pair of lowest rank, until none can.
         """
         lengths = np.array([len(x) for x, _ in fragments], np.int64)
         codes = np.frombuffer(b"".join(x for x, _ in fragments), np.uint8)
@@ -97,7 +97,7 @@ class BytePairs:
         owner = np.concatenate([x for x, _ in done] or [np.zeros(0, np.int64)])
         ids = np.concatenate([x for _, x in done] or [np.zeros(0, np.int64)])
         order = np.argsort(owner, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(owner, minlength=len(fragments)))[:-1])
+        return ids[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(fragments)))))
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -146,44 +146,61 @@ class BytePairs:
         words: list[bytes] = []
         sizes: list[int] = []
         for chunk in chunks:
-            if not chunk.isascii():
+            if chunk.isascii():
+                chunk = chunk.lower()
+            else:
                 chunk = unicodedata.normalize("NFC", chunk)
-            chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-            found = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
-            words += [w.encode("utf-8", "surrogatepass") for w in found]
-            sizes.append(len(found))
+                chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+            if chunk.isalpha():
+                words.append(chunk.encode("utf-8", "surrogatepass"))
+                sizes.append(1)
+            else:
+                found = _WORDS.findall(chunk)
+                words += [w.encode("utf-8", "surrogatepass") for w in found]
+                sizes.append(len(found))
         if not words:
             return [(b"", b"", 0)] * len(chunks)
-        cuts = [[*[(p, False) for p in parts[:-1]], (parts[-1], True)] for parts in self.cut(words)]
-        self.fragments.learn(cuts)
-        known = [self.fragments.look(parts) for parts in cuts]
-        found, at = [], 0
+        cuts = self.cut(words)
+        parts = []
+        for own in cuts:
+            if len(own) > 1:
+                parts += [(part, False) for part in own[:-1]]
+            parts.append((own[-1], True))
+        self.fragments.learn([parts])
+        known = self.fragments.look(parts)
+        found, at, word = [], 0, 0
         for size in sizes:
-            parts = known[at] if size == 1 else [x for own in known[at : at + size] for x in own]
-            at += size
-            found.append(parts[0] if len(parts) == 1 else (b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), sum([x[2] for x in parts])))
+            n = len(cuts[word]) if size == 1 else sum(map(len, cuts[word : word + size]))
+            word += size
+            found.append(known[at] if n == 1 else _joined(known[at : at + n]))
+            at += n
         return found
 
     def _find_fragments(self, fragments: list[tuple[bytes, bool]]) -> list[tuple[bytes, bytes, int]]:
-        names = self.names
-        return [(x.astype("<u4").tobytes(), b"".join([names[i] for i in x.tolist()]), len(x)) for x in self.merge(fragments)]
+        ids, edges = self.merge(fragments)
+        data, names, edges = ids.astype("<u4").tobytes(), list(map(self.names.__getitem__, ids.tolist())), edges.tolist()
+        return [(data[4 * a : 4 * b], names[a] if b - a == 1 else b"".join(names[a:b]), b - a) for a, b in zip(edges, edges[1:])]
 
     def pieces(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes, int]]]:
         """For each text, (ids, their strings each followed by a space, count) of its parts in order."""
         for group in groups(texts):
-            lists = [list(self._chunks(text)) for text in group]
-            self.memory.learn([[x for x in chunks if x not in self.added] for chunks in lists])
-            for chunks in lists:
-                yield [self._added(x) if x in self.added else self.memory.young[x] for x in chunks]
-
-    def _chunks(self, text: str) -> Iterator[str]:
-        for run in self.split.split(text) if self.split else [text]:
-            if run in self.added:
-                yield run
+            marked = [any(map(text.__contains__, self.added)) for text in group]
+            lists = [self._chunks(text, has) for text, has in zip(group, marked)]
+            self.memory.learn([[x for x in chunks if x not in self.added] if has else chunks for chunks, has in zip(lists, marked)])
+            for chunks, has in zip(lists, marked):
+                yield [self._added(x) if x in self.added else self.memory.young[x] for x in chunks] if has else self.memory.look(chunks)
+
+    def _chunks(self, text: str, marked: bool) -> list[str]:
+        """Runs without white space, and added tokens by themselves if the text has any (``marked``)."""
+        found: list[str] = []
+        for run in self.split.split(text) if marked else [text]:
+            if marked and run in self.added:
+                found.append(run)
             elif _CONTROL.search(run):
-                yield from (w for w in _GAP.split(run) if w)
+                found += [w for w in _GAP.split(run) if w]
             else:
-                yield from run.split()
+                found += run.split()
+        return found
 
     def _added(self, name: str) -> tuple[bytes, bytes, int]:
         return np.array([self.added[name]], "<u4").tobytes(), name.encode() + b" ", 1
@@ -196,6 +213,12 @@ class BytePairs:
         return b"".join(self.names[i] for i in ids)[:-1].decode("utf-8", "surrogatepass")
 
 
+def _joined(parts: list[tuple[bytes, bytes, int]]) -> tuple[bytes, bytes, int]:
+    """Parts in a row as one."""
+    ids, names, counts = zip(*parts) if parts else ((), (), ())
+    return b"".join(ids), b"".join(names), sum(counts)
+
+
 def byte_pairs(path: str) -> BytePairs:
     """The encoder of a file, loaded once per worker."""
     if path not in _LOADED:
@@ -209,9 +232,10 @@ def _digests(path: str | None):
         for batch in batches:
             counts, ids, texts = [], [], []
             for found in pairs.pieces(batch.column("text").to_pylist()):
-                counts.append(sum(x[2] for x in found))
-                ids.append(hashlib.sha256(b"".join(x[0] for x in found)).hexdigest())
-                texts.append(hashlib.sha256(b"".join(x[1] for x in found)[:-1]).hexdigest())
+                own, names, n = _joined(found)
+                counts.append(n)
+                ids.append(hashlib.sha256(own).hexdigest())
+                texts.append(hashlib.sha256(names[:-1]).hexdigest())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -236,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Rows stay as they are, repeated or with a null id; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(_encoded(path)), "doc_id long, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -245,4 +269,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     One pass without a shuffle.  Nulls, empty texts and repeated rows as in ``encode``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(_digests(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
