@@ -199,6 +199,8 @@ class TextEncoder:
         return "<|" in text or not self._is_plain(text) and bool(_ODD.search(text))
 
     def _is_plain(self, text: str) -> bool:
+        if text.isascii():
+            return not _ODD.search(text)
         unknown = set(text).difference(self.plain)
         if not unknown:
             return True

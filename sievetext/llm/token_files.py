@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, stored, text_of
+from .common import fresh_folder, lean, stored, text_of
 from .encoding import encoder, tokenizer_path
 
 MAGIC = b"SIDS"
@@ -103,6 +103,7 @@ def _write_shard(folder: str, path: str | None, end_id: int):
         files, root = _open(folder)
         shard, name = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.bin"
         at, last, nth, out = 0, object(), 0, None
+        end = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             if out is None:
                 out = files.open_output_stream(f"{root}/{name}")
@@ -112,7 +113,7 @@ def _write_shard(folder: str, path: str | None, end_id: int):
             for key, ids in zip(keys, encode.ids(batch.column("text").to_pylist()), strict=True):
                 nth = nth + 1 if key == last else 0
                 last = key
-                out.write(np.append(ids, encode.kind.type(end_id)).astype(encode.kind).tobytes())
+                out.write(ids.tobytes() + end)
                 rows.append((key, nth, shard, name, at, len(ids) + 1))
                 at += len(ids) + 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
@@ -217,7 +218,7 @@ class TokenFiles:
 
     def digests(self, places: DataFrame) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32, read from the payload at what ``lookup`` gave."""
-        return self._read(places).mapInArrow(_digests(self.folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self._read(places).mapInArrow(lean(_digests(self.folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     @staticmethod
     def _read(places: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, folder: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "doc_id long, nth long, shard int, file string, at long, n long"
-    entries = stored(ranged.mapInArrow(_write_shard(folder, path, end_id), schema), "entries")
+    entries = stored(ranged.mapInArrow(lean(_write_shard(folder, path, end_id)), schema), "entries")
     totals = entries.groupBy("shard", "file").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).orderBy("shard").collect()
     before, shards, count = 0, [], 0  # one row per file
     for row in totals:
