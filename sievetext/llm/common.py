@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -22,10 +23,28 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Texts go to Python so much at a time: 10,000 rows, Spark's own limit, may be any size, which both sides hold more than once.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while; those that are set already stay as they are."""
+    unset = [k for k in values if spark.conf.get(k, None) is None]
+    for k in unset:
+        spark.conf.set(k, values[k])
+    try:
+        yield
+    finally:
+        for k in unset:
+            spark.conf.unset(k)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: its lineage ends there, lost executors cost nothing."""
     folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    with settings(df.sparkSession, BATCHES):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, stored, text_of
+from .common import crc_bucket, lean, stored, text_of
 from .encoding import groups
 
 DEPTH = 5
@@ -34,6 +34,8 @@ COMMON_GRAMS, COMMON_WORDS = 1 << 20, 1 << 16
 GRAM, WORD = 0, 1
 #: Last context bytes that a task's grams share in groups, and about how many grams it weighs at once.
 TOP, PART_GRAMS = 3, 1 << 17
+#: Counted units of a kind at which a task adds up what it holds, and passes it on if half as many are left.
+PENDING = 1 << 21
 _HALF = np.log(0.5)
 
 
@@ -153,32 +155,44 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, unit, count in training texts) of each part of a task; 0 for units of held-out texts alone."""
+    pending: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+
+    def add(kind: int, units: list[np.ndarray], weight: int) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(units), return_counts=True)
+        if len(found):
+            pending[kind].append((found, n * weight))
+        if sum(len(x) for x, _ in pending[kind]) >= PENDING:
+            pending[kind] = [_added(pending[kind])]
+            if len(pending[kind][0][0]) >= PENDING // 2:
+                yield _counted(kind, pending[kind].pop())
+
     for batch in batches:
-        rows = zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True)
-        parts: dict[bool, list[bytes]] = {False: [], True: []}
-        for text, held in rows:
-            parts[held].append(text.encode("utf-8", "surrogatepass"))
-        grams, gram_counts, words, word_counts = [], [], [], []
-        for held, texts in parts.items():
-            if not texts:
-                continue
+        held = np.array(batch.column("held_out").to_pylist(), bool)
+        for is_held in (False, True):
+            texts = batch.column("text").take(pa.array(np.flatnonzero(held == is_held))).to_pylist()
             for own in groups(texts):
-                found, n = np.unique(np.concatenate([text_grams(t) for t in own]), return_counts=True)
-                grams.append(found)
-                gram_counts.append(n * (not held))
-                if not held:
-                    found, n = np.unique(np.concatenate([word_hashes(lower_words(t)) for t in own]), return_counts=True)
-                    words.append(found)
-                    word_counts.append(n)
-        for kind, units, counts in ((GRAM, grams, gram_counts), (WORD, words, word_counts)):
-            if units:
-                yield _counted(kind, np.concatenate(units), np.concatenate(counts))
-
-
-def _counted(kind: int, units: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    distinct, place = np.unique(units, return_inverse=True)
-    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-    arrays = [pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)]
+                own = [t.encode("utf-8", "surrogatepass") for t in own]
+                yield from add(GRAM, [text_grams(t) for t in own], not is_held)
+                if not is_held:
+                    yield from add(WORD, [word_hashes(lower_words(t)) for t in own], 1)
+    for kind, parts in pending.items():
+        if parts:
+            yield _counted(kind, _added(parts))
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct units of these parts and their counts; the parts are let go."""
+    units, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(units, kind="stable")  # runs in order are merged
+    units = units[order]
+    first = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+    return units[first], np.add.reduceat(counts[order], first)
+
+
+def _counted(kind: int, counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    units, counts = counted
+    arrays = [pa.array(np.full(len(units), kind, np.int32)), pa.array(units.view(np.int64)), pa.array(counts.astype(np.int64))]
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "unit", "c"])
 
 
@@ -367,7 +381,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = (crc_bucket("doc_id", 10) == 0).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), held)
-    counts = rows.mapInArrow(_count, "kind int, unit long, c long").groupBy("kind", "unit").agg(F.sum("c").alias("c"))
+    counts = rows.mapInArrow(lean(_count), "kind int, unit long, c long").groupBy("kind", "unit").agg(F.sum("c").alias("c"))
     counts = stored(counts, "unit-counts")
     grams = counts.where(F.col("kind") == GRAM).select("unit", "c")
     valued = stored(gram_values(grams), "gram-scores")
@@ -383,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
         common.append(Table(top["unit"].to_numpy().view(np.uint64), top["value"].to_numpy()))
     shared = spark.sparkContext.broadcast(tuple(common))
     keyed = stored(rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), "text"), "texts")
-    parts = stored(keyed.select("rid", "text").mapInArrow(_score_texts(shared), PARTS), "score-parts")
+    parts = stored(keyed.select("rid", "text").mapInArrow(lean(_score_texts(shared)), PARTS), "score-parts")
     values = valued.select(F.lit(GRAM).alias("kind"), "unit", "value", F.lit(0).cast("long").alias("hit"))
     values = values.union(valued_words.select(F.lit(WORD).alias("kind"), "unit", "value", F.lit(1).cast("long").alias("hit")))
     unseen = float(np.log10(0.1 / below))
