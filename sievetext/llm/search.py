@@ -20,7 +20,6 @@ and a query's k best are all that leaves the task.  No text or posting is shuffl
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -88,13 +87,13 @@ def build(ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], me
     place, doc, impact, tf = place[by_term], doc[by_term], impact[by_term], tf[by_term]
     block = doc // BLOCK
     first = np.flatnonzero(np.concatenate(([True], (np.diff(place) > 0) | (np.diff(block) > 0)))) if len(doc) else np.zeros(0, np.int64)
-    most = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+    impact = np.nextafter(impact.astype(np.float32), np.float32(np.inf))  # rounded up
     return {
         "ids": ids[order], "terms": distinct, "norms": norm[order], "docs": doc.astype(np.uint16),
         "tf": tf.astype(np.uint16 if tf.max(initial=0) < 1 << 16 else np.uint32),
         "entry_ptr": np.searchsorted(place[first], np.arange(len(distinct) + 1)).astype(np.uint32),
         "entry_block": block[first].astype(np.uint16), "entry_post": np.append(first, len(doc)).astype(np.uint32),
-        "entry_max": np.nextafter(most.astype(np.float32), np.float32(np.inf)),  # rounded up
+        "entry_max": np.maximum.reduceat(impact, first) if len(first) else impact, "impacts": impact,
     }
 
 
@@ -109,29 +108,32 @@ def with_heads(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     head[longest] = np.arange(len(longest))
     counts = np.zeros((len(longest), len(index["ids"])), index["tf"].dtype)
     bounds = np.zeros(counts.shape, np.float32)
-    for row, term in enumerate(longest):
-        part = slice(post[term], post[term + 1])
-        docs, tf = index["docs"][part], index["tf"][part].astype(np.float64)
-        counts[row, docs] = index["tf"][part]
-        bounds[row, docs] = np.nextafter((tf * (K1 + 1) / (tf + index["norms"][docs])).astype(np.float32), np.float32(np.inf))
+    posts, row = spans(post[longest], sizes[longest]), np.repeat(np.arange(len(longest)), sizes[longest])
+    place = row * counts.shape[1] + index["docs"][posts]
+    counts.ravel()[place] = index["tf"][posts]
+    bounds.ravel()[place] = index["impacts"][posts]
     more = {"head": head, "head_tf": counts, "head_bounds": bounds, "entry_ptr": index["entry_ptr"].astype(np.int64)}
     return index | more | {"entry_post": index["entry_post"].astype(np.int64)}
 
 
-def _places(index: dict[str, np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the terms stand in the index, and which of them do."""
-    at = np.minimum(np.searchsorted(index["terms"], terms), len(index["terms"]) - 1)
-    hit = index["terms"][at] == terms
-    return at[hit], hit
+def placed(index: dict[str, np.ndarray], queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each query (terms, weights): where its terms stand in the index, and the weights of those that do."""
+    terms, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in queries]]), return_inverse=True)
+    at = np.full(len(terms), -1)
+    if len(index["terms"]):
+        where = np.minimum(np.searchsorted(index["terms"], terms), len(index["terms"]) - 1)
+        at = np.where(index["terms"][where] == terms, where, -1)
+    ends = np.cumsum([len(t) for t, _ in queries])
+    found = [(at[place[end - len(own) : end]], own) for end, (_, own) in zip(ends.tolist(), queries, strict=True)]
+    return [(x[x >= 0], own[x >= 0]) for x, own in found]
 
 
 def head_bounds(index: dict[str, np.ndarray], queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """(queries, documents): at least what the longest lists add to each score of queries (terms, weights)."""
+    """(queries, documents): at least what the longest lists add to each score of queries as ``placed``."""
     weights = np.zeros((len(queries), len(index["head_bounds"])), np.float32)
-    for i, (terms, own) in enumerate(queries):
-        at, hit = _places(index, terms)
+    for i, (at, own) in enumerate(queries):
         rows = index["head"][at]
-        weights[i, rows[rows >= 0]] = own[hit][rows >= 0]
+        weights[i, rows[rows >= 0]] = own[rows >= 0]
     return weights @ index["head_bounds"] * np.float32(1 + 1e-4)  # above what single precision loses over HEADS sums
 
 
@@ -144,13 +146,19 @@ def top_k(
     They are the best of a shard and of what is ``held`` from others (ids, scores).  ``above``: the
     query's row of ``head_bounds``.
     """
+    index = with_heads(index)
+    own = placed(index, [(terms, weights)])
+    return best_of(index, *own[0], k, held, head_bounds(index, own)[0] if above is None else above)
+
+
+def best_of(
+    index: dict[str, np.ndarray], at: np.ndarray, weights: np.ndarray, k: int,
+    held: tuple[np.ndarray, np.ndarray] | None, above: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """``top_k`` of a query as ``placed`` in an index ``with_heads``."""
     ids, scores = held or (np.zeros(0, np.int64), np.zeros(0))
-    if not len(index["terms"]):
+    if not len(at):
         return ids, scores, 0, 0
-    index = with_heads(index)
-    above = head_bounds(index, [(terms, weights)])[0] if above is None else above
-    at, hit = _places(index, terms)
-    weights = weights[hit]
     row = index["head"][at]
     rest = np.flatnonzero(row < 0)  # terms of lists in blocks
     ptr = index["entry_ptr"]
@@ -160,11 +168,13 @@ def top_k(
     n_docs = len(index["ids"])
     n_blocks = -(-n_docs // BLOCK)
     # a little above the sums, for rounding; nothing is left out on a tie
-    bound = np.bincount(block, weights[of] * index["entry_max"][entries], n_blocks) * (1 + 1e-9)
-    bound += np.maximum.reduceat(above, np.arange(0, n_docs, BLOCK))
+    maxima = np.bincount(block, weights[of] * index["entry_max"][entries], n_blocks) * (1 + 1e-9)
+    reach = above + np.repeat(maxima, BLOCK)[:n_docs]
+    bound = np.maximum.reduceat(reach, np.arange(0, n_docs, BLOCK))
     unread = bound > 0
     chosen = np.zeros(n_blocks, bool)
     heads = np.flatnonzero(row >= 0)
+    scored = np.zeros(n_docs, bool)
     opened, pivots, place = 0, 0, 0
     least = scores[-1] - 10.0**-DECIMALS if len(scores) == k else 0.0
     ahead = np.flatnonzero(unread & (bound >= least))[:WINDOW] if least > 0 else np.flatnonzero(unread)[:1]
@@ -178,32 +188,33 @@ def top_k(
         unread[ahead] = False
         opened += len(ahead)
         taken = np.flatnonzero(chosen[block])
-        e = entries[taken]
-        start = index["entry_post"][e]
-        size = index["entry_post"][e + 1] - start
-        posts, owner = spans(start, size), np.repeat(of[taken], size)
+        start = index["entry_post"][entries[taken]]
+        size = index["entry_post"][entries[taken] + 1] - start
+        owner = np.repeat(np.arange(len(taken)), size)
+        posts = (start - (np.cumsum(size) - size))[owner] + np.arange(len(owner))
         docs = index["docs"][posts]
-        tf = index["tf"][posts].astype(np.float64)
-        part = weights[owner] * tf * (K1 + 1) / (tf + index["norms"][docs])
-        most = np.bincount(docs, part, n_docs) * (1 + 1e-9) + above
+        most = np.bincount(docs, weights[of[taken]][owner] * index["impacts"][posts], n_docs) * (1 + 1e-9) + above
         found = np.flatnonzero((most >= least) & (most > 0) & np.repeat(chosen, BLOCK)[:n_docs])
         pivots += len(found)
         # sums over the terms in their order, so that equal texts of all shards tie
         by_term = np.zeros((len(at), len(found)))
         tf = index["head_tf"][row[heads][:, None], found].astype(np.float64)
         by_term[heads] = weights[heads, None] * tf * (K1 + 1) / (tf + index["norms"][found])
-        nth = np.full(n_docs, -1)
-        nth[found] = np.arange(len(found))
-        pivot = np.flatnonzero(nth[docs] >= 0)
-        by_term[owner[pivot], nth[docs[pivot]]] = part[pivot]
+        scored[found] = True
+        pivot = np.flatnonzero(scored[docs])  # the postings of pivots
+        scored[found] = False
+        doc, term = docs[pivot], of[taken[owner[pivot]]]
+        tf = index["tf"][posts[pivot]].astype(np.float64)
+        by_term[term, np.searchsorted(found, doc)] = weights[term] * tf * (K1 + 1) / (tf + index["norms"][doc])
         total = np.bincount(np.tile(np.arange(len(found)), len(at)), by_term.ravel(), len(found))
         found, total = found[total > 0], total[total > 0]
-        ids = np.concatenate([ids, index["ids"][found]])
-        scores = np.concatenate([scores, np.round(total, DECIMALS)])
-        best = np.lexsort((ids, -scores))[:k]
-        ids, scores = ids[best], scores[best]
-        if len(scores) == k:
-            least = scores[-1] - 10.0**-DECIMALS
+        if len(found):
+            ids = np.concatenate([ids, index["ids"][found]])
+            scores = np.concatenate([scores, np.round(total, DECIMALS)])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            if len(scores) == k:
+                least = scores[-1] - 10.0**-DECIMALS
         ahead = place + np.flatnonzero(unread[place:] & (bound[place:] >= least))[:WINDOW]
         place = ahead[-1] + 1 if len(ahead) else place
     return ids, scores, opened, pivots
@@ -211,19 +222,20 @@ def top_k(
 
 def _save(folder: str, kind: str, arrays: dict[str, np.ndarray]) -> str:
     files, root = filesystem_of(folder)
-    name = f"{kind}-{uuid.uuid4().hex}.npz"  # of this attempt alone; only returned names are used
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    with files.open_output_stream(f"{root}/{name}") as out:
-        out.write(held.getbuffer())
+    name = f"{kind}-{uuid.uuid4().hex}.arrow"  # of this attempt alone; only returned names are used
+    held = pa.array([a.tobytes() for a in arrays.values()], pa.large_binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(list(arrays)), pa.array([a.dtype.str for a in arrays.values()]), held], names=["name", "kind", "bytes"])
+    with files.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
     return name
 
 
 def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, as they lie in what was read."""
     files, root = filesystem_of(folder)
-    with files.open_input_stream(f"{root}/{name}") as file:
-        with np.load(io.BytesIO(file.read())) as arrays:
-            return {k: arrays[k] for k in arrays}
+    with files.open_input_stream(f"{root}/{name}") as file, pa.ipc.open_stream(file) as stream:
+        names, kinds, held = stream.read_next_batch().columns
+    return {n: np.frombuffer(x.as_buffer(), k) for n, k, x in zip(names.to_pylist(), kinds.to_pylist(), held, strict=True)}
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +323,9 @@ def _search(folder: str, shards: Broadcast, k: int):
                 for name in shards.value:
                     index = with_heads(_load(folder, name))
                     for at in range(0, len(queries), BOUNDS):
-                        part = queries[at : at + BOUNDS]
-                        for i, above in enumerate(head_bounds(index, part), at):
-                            ids, scores, *_ = top_k(index, *queries[i], k, best[i], above)
+                        part = placed(index, queries[at : at + BOUNDS])
+                        for i, (own, above) in enumerate(zip(part, head_bounds(index, part), strict=True), at):
+                            ids, scores, *_ = best_of(index, *own, k, best[i], above)
                             best[i] = ids, scores
                 sizes = [len(ids) for ids, _ in best]
                 arrays = [np.repeat(asked["ids"], sizes), np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32)]
