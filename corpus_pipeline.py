@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievetext.llm.common import stored
+from sievetext.llm.common import BATCHES, stored
 from sievetext.llm.packing import pack
 from sievetext.llm.paragraphs import drop_repeats
 from sievetext.llm.quality import keep_good
@@ -19,33 +19,41 @@ from sievetext.llm.toxicity import drop_toxic
 from sievetext.session import ship_package
 
 
+def _ready(spark: SparkSession) -> None:
+    """The package on the executors, and texts sent to Python in small batches where the session says nothing else."""
+    ship_package(spark)
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network scores at its threshold or above go."""
-    ship_package(spark)
+    _ready(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    ship_package(spark)
+    _ready(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays, that of the smallest doc_id."""
-    ship_package(spark)
+    _ready(spark)
     return keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; their documents stay."""
-    ship_package(spark)
+    _ready(spark)
     return drop_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
-    ship_package(spark)
+    _ready(spark)
     return pack(docs)
 
 

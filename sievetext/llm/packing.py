@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import lean, stored, text_of
 from .encoding import encoder, tokenizer_path
 
 Pattern = tuple[tuple[int, int], ...]
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | Non
     id; repeated rows and rows with a null id are packed like any other; no rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    pieces = stored(rows.mapInArrow(_cut(path, end_id, capacity), PIECE_SCHEMA), "pieces")
+    pieces = stored(rows.mapInArrow(lean(_cut(path, end_id, capacity)), PIECE_SCHEMA), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     first = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("first"))
