@@ -25,6 +25,8 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 #: Texts go to Python so much at a time: 10,000 rows, Spark's own limit, may be any size, which both sides hold more than once.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Shuffle files go as soon as the table they were for is written, not when the driver happens to collect its garbage.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
@@ -43,7 +45,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: its lineage ends there, lost executors cost nothing."""
     folder = fresh_folder(df.sparkSession, name)
-    with settings(df.sparkSession, BATCHES):
+    with settings(df.sparkSession, BATCHES | CLEANUP):
         df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

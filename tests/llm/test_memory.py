@@ -1,4 +1,4 @@
-"""What tasks hold at once."""
+"""What tasks hold at once and what steps leave on disk."""
 
 from collections import Counter
 
@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievetext.llm import ctw
-from sievetext.llm.common import BATCHES, stored
+from sievetext.llm import ctw, search
+from sievetext.llm.common import BATCHES, CLEANUP, stored
 
 
 def _sizes(batches):
@@ -23,7 +23,7 @@ def test_texts_of_a_stored_step_reach_python_in_small_batches(spark):
     texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("text"))
     sizes = [r["size"] for r in stored(texts.mapInArrow(_sizes, "size long"), "sizes").collect()]
     assert sum(sizes) > 30_000_000 and max(sizes) < 5_000_000
-    assert all(spark.conf.get(k, None) is None for k in BATCHES)
+    assert all(spark.conf.get(k, None) is None for k in BATCHES | CLEANUP)
 
 
 def test_settings_of_the_session_stay(spark):
@@ -37,6 +37,18 @@ def test_settings_of_the_session_stay(spark):
         spark.conf.unset(key)
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f.getName() for f in (all_files.apply(i) for all_files in [blocks.getAllFiles()] for i in range(all_files.size())) if "shuffle" in f.getName()}
+
+    before = files()
+    table = stored(spark.range(100_000).groupBy((F.col("id") * 7 % 1009).alias("k")).agg(F.count("*").alias("n")), "grouped")
+    assert not files() - before
+    assert table.agg(F.sum("n")).first()[0] == 100_000
+
+
 def test_counts_of_a_task_are_added_up_over_batches_and_bounded(monkeypatch):
     rng = np.random.default_rng(3)
     texts = ["", "a b", "", *("".join(rng.choice(list("ab c\n"), 300)) for _ in range(60))]
@@ -60,3 +72,28 @@ def test_counts_of_a_task_are_added_up_over_batches_and_bounded(monkeypatch):
         assert found == wanted and all(set(found[k]) == set(wanted[k]) for k in found)
         assert all(sum(r.column("kind")[0].as_py() == kind for r in rows) <= most for kind in found)
     assert list(ctw._count(iter([]))) == []
+
+
+def test_a_shard_of_empty_texts_has_no_result_and_files_keep_arrays(tmp_path):
+    empty = search.build(np.arange(3), [np.zeros(0, np.uint64)] * 3, [np.zeros(0, np.uint32)] * 3, 1.0)
+    name = search._save(f"file://{tmp_path}", "shard", empty)
+    read = search._load(f"file://{tmp_path}", name)
+    assert all(np.array_equal(read[k], v) and read[k].dtype == v.dtype for k, v in empty.items())
+    index = search.with_heads(read)
+    query = [(np.array([5], np.uint64), np.array([1.0]))]
+    assert [len(x) for x in search.placed(index, query)[0]] == [0, 0]
+    above = search.head_bounds(index, search.placed(index, query))
+    assert not above.any()
+    assert len(search.best_of(index, *search.placed(index, query)[0], 10, None, above[0])[0]) == 0
+
+
+def test_impacts_are_at_least_what_postings_add():
+    rng = np.random.default_rng(8)
+    terms = [np.unique(rng.integers(0, 3000, 60).astype(np.uint64)) for _ in range(400)]
+    counts = [rng.integers(1, 9, len(t)).astype(np.uint32) for t in terms]
+    index = search.with_heads(search.build(np.arange(400), terms, counts, 60.0))
+    tf = index["tf"].astype(np.float64)
+    exact = tf * (search.K1 + 1) / (tf + index["norms"][index["docs"]])
+    assert (index["impacts"] >= exact).all() and np.allclose(index["impacts"], exact)
+    post = index["entry_post"].tolist()
+    assert all(index["impacts"][a:b].max() == top for a, b, top in zip(post, post[1:], index["entry_max"], strict=False))
