@@ -42,14 +42,25 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there, lost executors cost nothing."""
-    folder = fresh_folder(df.sparkSession, name)
+def _table(df: DataFrame, folder: str) -> DataFrame:
     with settings(df.sparkSession, BATCHES | CLEANUP):
         df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage ends there, lost executors cost nothing."""
+    return _table(df, fresh_folder(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A stored table that is emptied after the block, where all that is made of it is stored, too."""
+    folder = fresh_folder(df.sparkSession, name)
+    yield _table(df, folder)
+    df.sparkSession.range(0).write.mode("overwrite").parquet(folder)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

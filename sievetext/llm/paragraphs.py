@@ -25,15 +25,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lean, row_key, spare, stored, text_of
+from .common import components, lean, row_key, scratch, spare, stored, text_of
 from .encoding import Memory, groups
 
 MIN_WORDS = 50
@@ -177,21 +179,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 UNITS = "band long, doc_id long, key long, start int, n int, bands array<long>"
 
 
+RUN = ("key", "doc_id", "o_key", "o_doc_id", "start", "stop", "o_start", "o_stop", "loose")
+#: Words s to e of a text: those around a ``run`` of its own, or (no run) those that runs of other texts or lines ask for.
+SLICES = "key long, s int, e int, line boolean, run struct<key:long,doc_id:long,o_key:long,o_doc_id:long,start:int,stop:int,o_start:int,o_stop:int,loose:int>, words binary"
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked stretches of words of each text, joined by single spaces."""
     for batch in batches:
-        keys, starts, stops, lines, texts = [], [], [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("key", "text", "asked"))
-        for key, text, asked in zip(*columns, strict=True):
+        asked = batch.column("asked")
+        s, e, line, run = asked.flatten().flatten()
+        spans, texts = zip(s.to_pylist(), e.to_pylist(), strict=True), []
+        for text, n in zip(batch.column("text").to_pylist(), pc.list_value_length(asked).to_pylist(), strict=True):
             words = text.encode("utf-8", "surrogatepass").split()
-            for part in asked:
-                keys.append(key)
-                starts.append(part["s"])
-                stops.append(part["e"])
-                lines.append(part["line"])
-                texts.append(b" ".join(words[part["s"] : part["e"]]))
-        arrays = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(lines, pa.bool_()), pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "s", "e", "line", "words"])
+            texts += [b" ".join(words[a:b]) for a, b in islice(spans, n)]
+        arrays = [batch.column("key").take(pc.list_parent_indices(asked)), s, e, line, run, pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "s", "e", "line", "run", "words"])
 
 
 def jaccard(a: list[bytes], b: list[bytes]) -> float:
@@ -292,24 +295,39 @@ def _around(start: str, stop: str, prefix: str = "") -> dict[str, Column]:
 
 
 def _verify(runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The runs that stand, grown, and their loose windows (see VERIFIED)."""
-    runs = runs.withColumns(_around("start", "stop") | _around("o_start", "o_stop", "o_"))
-    texts = texts.select("key", "s", "e", "words")
+    """The runs that stand, grown, and their loose windows (see VERIFIED); runs have the words around them, from ``s`` on."""
+    runs = runs.withColumns(_around("o_start", "o_stop", "o_"))
     others = texts.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "s", "e", "words")])
-    pairs = runs.join(texts, ["key", "s", "e"]).join(others, ["o_key", "o_s", "o_e"])
+    pairs = runs.join(others, ["o_key", "o_s", "o_e"])
     names = ["key", "doc_id", "o_key", "o_doc_id", "start", "stop", "o_start", "o_stop", "s", "o_s", "words", "o_words", "line", "loose"]
     return pairs.select(*names).mapInArrow(lean(_verified), VERIFIED)
 
 
+def _verify_runs(slices: DataFrame) -> DataFrame:
+    """All runs of the slices, against the words that they ask for: each run's own words come with it."""
+    runs = slices.where("run is not null").select("run.*", "s", "line", "words")
+    return _verify(runs, slices.where("run is null and not line"))
+
+
+def _verify_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of lines; a line may be in many, so its words are found by its place."""
+    own = texts.select("key", "s", "e", "words")
+    return _verify(pairs.withColumns(_around("start", "stop")).join(own, ["key", "s", "e"]), texts)
+
+
 def _texts_of(rows: DataFrame, runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """The words (key, s, e, line, words) around runs and their counterparts, and around lines (``line`` true)."""
-    asked = runs.select("key", *[c.alias(n) for n, c in _around("start", "stop").items()], F.lit(False).alias("line"))
-    asked = asked.union(runs.select("o_key", *[c.alias(n) for n, c in _around("o_start", "o_stop").items()], F.lit(False)))
+    """The words around runs, around their counterparts and around lines (``line`` true), as SLICES.
+
+    Only whole texts are dealt out, not what is cut out of them: equal rows lie side by side then, and one of them is cut.
+    """
+    run, none = F.struct(*RUN).alias("run"), F.lit(None).alias("run")
+    asked = runs.select("key", *[c.alias(n) for n, c in _around("start", "stop").items()], F.lit(False).alias("line"), run)
+    asked = asked.union(runs.select("o_key", *[c.alias(n) for n, c in _around("o_start", "o_stop").items()], F.lit(False), none))
     if lines is not None:
-        asked = asked.union(lines.select("key", *[c.alias(n) for n, c in _around("start", "(start + n)").items()], F.lit(True)))
-    asked = asked.groupBy("key").agg(F.collect_set(F.struct("s", "e", "line")).alias("asked"))  # stretches of one text
-    texts = rows.select("key", "text").join(asked, "key").mapInArrow(lean(_slices), "key long, s int, e int, line boolean, words binary")
-    return stored(texts.dropDuplicates(["key", "s", "e", "line"]), "slices")
+        asked = asked.union(lines.select("key", *[c.alias(n) for n, c in _around("start", "(start + n)").items()], F.lit(True), none))
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("s", "e", "line", "run")).alias("asked"))  # stretches of one text
+    texts = rows.select("key", "text").join(asked, "key").dropDuplicates(["key"])
+    return stored(texts.mapInArrow(lean(_slices), SLICES), "slices")
 
 
 def _shared_bands(rows: DataFrame, *more: str) -> DataFrame:
@@ -395,7 +413,7 @@ def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
         met = met.select("p.doc_id", "p.key", "p.start", "p.n", "p.head", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("doc_id", "key", "start", "n", "head")])
         met = stored(met.distinct(), "line-met")
         ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("o_n"), "line": F.lit(True), "loose": F.lit(0)}
-        stands = stored(_verify(met.withColumns(ends), texts), "line-pairs")
+        stands = stored(_verify_lines(met.withColumns(ends), texts), "line-pairs")
         found.append(stands)
         like = stands.select("key", F.col("met").alias("start"), "o_key", F.col("o_met").alias("o_start"))
         like = met.join(like, ["key", "start", "o_key", "o_start"], "left_semi")
@@ -408,7 +426,7 @@ def line_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
         left = left.withColumn("head", F.when(follows, F.least("head", "low")).otherwise(F.col("head"))).drop("low")
         left = stored(_shared_bands(left, "head"), "lines-left")
         salts *= MORE_FIRSTS
-    whole = found[0] if found else _verify(_no_runs(lines), texts)
+    whole = found[0] if found else _verify_lines(_no_runs(lines), texts)
     for stands in found[1:]:
         whole = whole.union(stands)
     return whole
@@ -458,26 +476,25 @@ def _loose_windows(found: DataFrame, rows: DataFrame) -> DataFrame:
     chained = shared.withColumn("fresh", fresh.cast("int")).withColumn("nth", F.sum("fresh").over(close))
     chained = chained.groupBy("band", "doc_id", "key", "nth").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + MIN_WORDS).alias("n"))
     runs = _runs(_after_first(chained.drop("nth"), MIN_WORDS).where("key <> o_key"))
-    runs = stored(runs.withColumns({"line": F.lit(False), "loose": F.lit(0)}), "window-runs")
-    return _verify(runs, _texts_of(rows, runs))
+    return _verify_runs(_texts_of(rows, stored(runs.withColumn("loose", F.lit(0)), "window-runs")))
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """Verified stretches (key, doc_id, start, stop) whose words stand in an earlier document (o_key, o_doc_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_of().alias("text"))
-    units = stored(rows.mapInArrow(lean(_units), UNITS), "units")
-    blocks = stored(_shared_bands(units.where("bands is null").drop("bands")), "blocks")
-    runs = _runs(_after_first(blocks, BLOCK))
-    long = units.where("bands is not null")
-    same_lines = _after_first(_shared_bands(long.drop("bands")), MIN_WORDS).where("key <> o_key").distinct()
-    ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("n"), "loose": F.lit(0)}
-    runs = runs.unionByName(same_lines.withColumns(ends).drop("n", "o_n"))
-    runs = stored(runs.where("key <> o_key or loose > 0").withColumn("line", F.lit(False)), "runs")
-    single = long.groupBy("band").agg(F.min(F.struct("doc_id", "key", "start", "n", "bands")).alias("l"))
-    lines = single.select(F.explode("l.bands").alias("band"), "l.doc_id", "l.key", "l.start", "l.n")
-    lines = stored(_shared_bands(lines), "lines")
+    with scratch(rows.mapInArrow(lean(_units), UNITS), "units") as units:
+        with scratch(_shared_bands(units.where("bands is null").drop("bands")), "blocks") as blocks:
+            runs = _runs(_after_first(blocks, BLOCK))
+            long = units.where("bands is not null")
+            same_lines = _after_first(_shared_bands(long.drop("bands")), MIN_WORDS).where("key <> o_key").distinct()
+            ends = {"stop": F.col("start") + F.col("n"), "o_stop": F.col("o_start") + F.col("n"), "loose": F.lit(0)}
+            runs = runs.unionByName(same_lines.withColumns(ends).drop("n", "o_n"))
+            runs = stored(runs.where("key <> o_key or loose > 0"), "runs")
+        single = long.groupBy("band").agg(F.min(F.struct("doc_id", "key", "start", "n", "bands")).alias("l"))
+        lines = single.select(F.explode("l.bands").alias("band"), "l.doc_id", "l.key", "l.start", "l.n")
+        lines = stored(_shared_bands(lines), "lines")
     texts = _texts_of(rows, runs, lines)
-    found = stored(_verify(runs, texts.where("not line")), "run-matches")
+    found = stored(_verify_runs(texts), "run-matches")
     whole = found.where("windows is null and key <> o_key").union(_loose_windows(found, rows)).union(line_pairs(lines, texts.where("line")))
     return whole.drop("met", "o_met", "windows")
 

@@ -1,13 +1,14 @@
 """What tasks hold at once and what steps leave on disk."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievetext.llm import ctw, search
-from sievetext.llm.common import BATCHES, CLEANUP, stored
+from sievetext.llm import common, ctw, paragraphs, search
+from sievetext.llm.common import BATCHES, CLEANUP, row_key, stored
 
 
 def _sizes(batches):
@@ -97,3 +98,59 @@ def test_impacts_are_at_least_what_postings_add():
     assert (index["impacts"] >= exact).all() and np.allclose(index["impacts"], exact)
     post = index["entry_post"].tolist()
     assert all(index["impacts"][a:b].max() == top for a, b, top in zip(post, post[1:], index["entry_max"], strict=False))
+
+
+def _passages(spark, copies):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(4000)]
+    common = [rng.choices(words, k=90) for _ in range(6)]
+    texts = [" ".join(rng.choices(words, k=40) + common[i % 6] + rng.choices(words, k=40)) for i in range(40)]
+    texts += [f"{rng.choice(words)}\n{' '.join(common[i % 6])}\n{rng.choice(words)}" for i in range(12)]
+    return spark.createDataFrame(list(enumerate(texts)) * copies, "doc_id long, text string").repartition(5)
+
+
+def test_words_around_runs_are_dealt_out_once(spark, monkeypatch):
+    """Words cut out of texts are stored as they are cut; a run's own come with it and only meet its counterpart's."""
+    plans, kept, real = {}, {}, paragraphs.stored
+
+    def stored(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return kept.setdefault(name, real(df, name))
+
+    monkeypatch.setattr(paragraphs, "stored", lambda df, name: stored(df, name) if name not in plans else real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paragraphs.matches(_passages(spark, 3)).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plans["slices"].split("MapInArrow")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert plans["run-matches"].count("Exchange hashpartitioning") == 2
+    # every document is there three times, what is cut out of it once
+    cut = Counter((r["key"], r["s"], r["e"], r["line"], r["run"]) for r in kept["slices"].collect())
+    assert len(cut) > 60 and set(cut.values()) == {1}
+
+
+def test_words_of_slices_are_those_of_their_texts(spark):
+    docs = spark.createDataFrame([(1, "a b\u00a0c  d\ne f"), (2, "x y z"), (3, "never asked")], "doc_id long, text string")
+    rows = docs.withColumn("key", row_key())
+    one, two = (rows.where(f"doc_id = {i}").first()["key"] for i in (1, 2))
+    runs = spark.createDataFrame([(two, 2, one, 1, 1, 3, 2, 4, 0)], "key long, doc_id long, o_key long, o_doc_id long, start int, stop int, o_start int, o_stop int, loose int")
+    lines = spark.createDataFrame([(one, 1, 2), (one, 1, 2)], "key long, start int, n int")
+    got = sorted(((r["key"] == one, r["line"], r["run"], r["words"].decode()) for r in paragraphs._texts_of(rows, runs, lines).collect()), key=str)
+    assert got == [(False, False, tuple(runs.first()), "x y z"), (True, False, None, "a b\u00a0c d e f"), (True, True, None, "a b\u00a0c d e f")]
+
+
+def test_units_and_blocks_go_when_runs_and_lines_are_stored(spark, monkeypatch):
+    folders, real = [], common.fresh_folder
+
+    def fresh_folder(session, name):
+        folders.append((name, real(session, name)))
+        return folders[-1][1]
+
+    monkeypatch.setattr(common, "fresh_folder", fresh_folder)
+    docs = _passages(spark, 1)
+    rows = paragraphs.repeated_passages(docs).collect()
+    assert len({r["doc_id"] for r in rows}) == 46
+    sizes = {name: spark.read.parquet(folder).count() for name, folder in folders if name in ("units", "blocks", "run-matches")}
+    assert sizes.pop("run-matches") > 0 and sizes == {"units": 0, "blocks": 0}
