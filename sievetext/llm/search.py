@@ -42,9 +42,9 @@ BLOCK, NEIGHBOURS = 64, 4
 #: Queries of a file at most, and their terms; fewer queries are dealt out to so many files for each core, not to files of less than some.
 QUERY_BLOCK, QUERY_TERMS, CORE_FILES, QUERY_FEW = 8192, 4_000_000, 2, 1024
 #: Queries taken through a shard at once.
-BOUNDS = 1024
+BOUNDS = 512
 #: A shard's longest lists, whose bounds are by document.
-HEADS = 1536
+HEADS = 768
 #: Postings looked at in one go.
 RUN = 1 << 16
 #: Scores count to this many decimals, so that equal texts tie exactly.
@@ -180,10 +180,23 @@ def build(ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], me
     return rated(indexed(ids, terms, counts), mean_length)
 
 
+Room = dict[str, np.ndarray]
+
+
+def zeros(room: Room | None, name: str, size: int) -> np.ndarray:
+    """Zeros in single precision, in memory of ``room`` that was used before and is no longer."""
+    if room is None:
+        return np.zeros(size, np.float32)
+    if name not in room or len(room[name]) < size:
+        room[name] = np.zeros(size, np.float32)
+    room[name][:size] = 0
+    return room[name][:size]
+
+
 _POST, _ASKED = np.dtype([("doc", "<i4"), ("impact", "<f4")]), np.dtype([("row", "<i4"), ("weight", "<f4")])
 
 
-def with_heads(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def with_heads(index: dict[str, np.ndarray], room: Room | None = None) -> dict[str, np.ndarray]:
     """The index as it is searched: its longest lists by document, with each block's maxima, and all postings as pairs.
 
     ``head`` is each term's row among the longest lists (-1: none).
@@ -196,7 +209,8 @@ def with_heads(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     head = np.full(len(sizes), -1, np.int32)
     head[longest] = np.arange(len(longest))
     blocks = -(-n // BLOCK)
-    bounds, maxima = np.zeros((len(longest), blocks * BLOCK), np.float32), np.zeros((len(longest), blocks), np.float32)
+    bounds = zeros(room, "heads", len(longest) * blocks * BLOCK).reshape(len(longest), blocks * BLOCK)
+    maxima = np.zeros((len(longest), blocks), np.float32)
     posts = spans(post[longest], sizes[longest])
     docs, impacts = index["docs"][posts], index["impacts"][posts]
     place = np.repeat(np.arange(len(longest)) * (blocks * BLOCK), sizes[longest]) + docs
@@ -267,7 +281,7 @@ Best = tuple[np.ndarray, np.ndarray]
 
 
 def advance(
-    index: dict[str, np.ndarray], at: np.ndarray, weights: np.ndarray, ptr: np.ndarray, k: int, best: list[Best], above: np.ndarray | None = None
+    index: dict[str, np.ndarray], at: np.ndarray, weights: np.ndarray, ptr: np.ndarray, k: int, best: list[Best], above: np.ndarray | None = None, room: Room | None = None
 ) -> tuple[int, int]:
     """Takes queries through a shard: ``best``, the k best (ids, scores) of each so far, is brought up to date.
 
@@ -289,7 +303,7 @@ def advance(
     blocks = -(-n_docs // BLOCK)
     width = blocks * BLOCK
     # what the lists in postings add
-    bound = np.zeros(n * width, np.float32)
+    bound = zeros(room, "bound", n * width)
     rest = np.flatnonzero((index["head"][at] < 0) & live[owner])
     start, size = index["entry_post"][at[rest]], index["sizes"][at[rest]]
     asked = np.empty(len(rest), _ASKED)
@@ -309,15 +323,27 @@ def advance(
     opened = int(unskipped.sum())
     if not opened:
         return 0, 0
+    open_ended = np.flatnonzero(live & (least <= 0))
+    reach = np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
     for a in range(0, blocks, NEIGHBOURS):
         rows, cols = np.flatnonzero(unskipped[:, a : a + NEIGHBOURS].any(1)), slice(a * BLOCK, (a + NEIGHBOURS) * BLOCK)
-        if len(rows):
-            bound[rows, cols] += heads[rows] @ index["head_bounds"][:, cols] if above is None else above[rows, cols]
+        if not len(rows):
+            continue
+        if rows[-1] - rows[0] < len(rows) * 9 // 8:  # nearly all of a run, which needs no copy
+            rows = slice(rows[0], rows[-1] + 1)
+        sums = heads[rows] @ index["head_bounds"][:, cols] if above is None else above[rows, cols].copy()
+        sums += bound[rows, cols]
+        if len(open_ended):
+            bound[rows, cols] = sums
+        else:
+            place = np.flatnonzero(sums >= reach[rows, None])
+            of, docs = np.divmod(place, sums.shape[1])
+            found.append((of + rows.start if isinstance(rows, slice) else rows[of], docs + cols.start, sums.ravel()[place]))
 
     def score(of: np.ndarray, docs: np.ndarray) -> None:
         nonlocal pivots
         pivots += len(of)
-        bound[of, docs] = 0  # not again
         edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))).tolist() if len(of) else []
         for a, b in zip(edges, edges[1:]):
             q = of[a]
@@ -331,16 +357,18 @@ def advance(
                 least[q] = (best[q][1][-1] - 10.0**-DECIMALS) * exactness[q]
 
     # without a score to beat, the documents that the bounds rate highest are the first pivots
-    open_ended = np.flatnonzero(least <= 0)
-    if len(open_ended) and width > k:
-        docs = np.argpartition(bound[open_ended], width - k, axis=1)[:, -k:].ravel()
-        of = np.repeat(open_ended, k)
-        likely = bound[of, docs] > 0
-        score(of[likely], docs[likely])
-    reach = np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
-    of, docs = np.divmod(np.flatnonzero(bound >= reach[:, None]), width)
+    if len(open_ended):
+        if width > k:
+            docs = np.argpartition(bound[open_ended], width - k, axis=1)[:, -k:].ravel()
+            of = np.repeat(open_ended, k)
+            likely = bound[of, docs] > 0
+            score(of[likely], docs[likely])
+            bound[of, docs] = 0  # not again
+        reach = np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
+        of, docs = np.divmod(np.flatnonzero(bound >= reach[:, None]), width)
+        found.append((of, docs, bound[of, docs]))
+    of, docs, rated = (np.concatenate(x) for x in zip(*found))
     # best bounds first: the k highest raise the score that the others have to beat
-    rated = bound[of, docs]
     order = np.lexsort((-rated, of))
     of, docs, rated = of[order], docs[order], rated[order]
     ahead = np.arange(len(of)) - np.searchsorted(of, of) < k
@@ -478,6 +506,23 @@ def _write_queries(folder: str):
     return run
 
 
+def kinds(index: dict[str, np.ndarray], at: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """An order of queries (as for ``advance``) that brings those of a kind together: by the block that suits them best, like blocks together."""
+    means = index["head_bounds"].reshape(*index["head_maxima"].shape, BLOCK).mean(2)
+    near = means / np.maximum(np.linalg.norm(means, axis=0), np.finfo(np.float32).tiny)
+    near = near.T @ near
+    chain, left, last = np.zeros(len(near), np.int64), np.ones(len(near), bool), 0
+    for i in range(len(near)):
+        chain[last], left[last] = i, False
+        last = int(np.where(left, near[last], -1).argmax())
+    found = []
+    for a in range(0, len(ptr) - 1, BOUNDS):
+        own = ptr[a : a + BOUNDS + 1]
+        owner, part = np.repeat(np.arange(len(own) - 1), np.diff(own)), slice(own[0], own[-1])
+        found.append(chain[(head_weights(index, owner, at[part], weights[part], len(own) - 1) @ means).argmax(1)])
+    return np.argsort(np.concatenate(found), kind="stable")
+
+
 def found_by(at: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, weights and ends of queries' terms without those that stand nowhere."""
     known = np.flatnonzero(at >= 0)
@@ -494,17 +539,23 @@ def _search(folder: str, files: Broadcast, shards: Broadcast, mean_length: float
                 ids, ptr, weights = asked["ids"], asked["ptr"], asked["weights"]
                 terms, place = np.unique(asked["terms"], return_inverse=True)
                 best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+                room, order = {}, None
                 for name in shards.value:
                     index = _load(folder, name)
                     if not len(index["terms"]):
                         continue
-                    index = with_heads(rated(index, mean_length))
+                    index = with_heads(rated(index, mean_length), room)
                     where = places(index, terms)
+                    if order is None:
+                        order = kinds(index, *found_by(where[place], weights, ptr))
+                        sizes = np.diff(ptr)[order]
+                        term = spans(ptr[order], sizes)
+                        ids, ptr, place, weights = ids[order], np.concatenate(([0], np.cumsum(sizes))), place[term], weights[term]
                     at, own, ends = found_by(where[place], weights, ptr)
                     for a in range(0, len(ids), BOUNDS):
                         edges = ends[a : a + BOUNDS + 1]
                         part, held = slice(edges[0], edges[-1]), best[a : a + BOUNDS]
-                        advance(index, at[part], own[part], edges - edges[0], k, held)
+                        advance(index, at[part], own[part], edges - edges[0], k, held, room=room)
                         best[a : a + BOUNDS] = held
                     del index
                 sizes = [len(found) for found, _ in best]

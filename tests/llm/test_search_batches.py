@@ -19,7 +19,7 @@ def _docs(seed, n, words=600):
     return [d[0].astype(np.uint64) for d in docs], [d[1].astype(np.uint32) for d in docs]
 
 
-@pytest.mark.parametrize("heads", [0, 20, 1536])
+@pytest.mark.parametrize("heads", [0, 20, 768])
 def test_queries_together_find_what_scoring_all_finds(monkeypatch, heads):
     monkeypatch.setattr(search, "HEADS", heads)
     monkeypatch.setattr(search, "RUN", 500)
@@ -32,12 +32,13 @@ def test_queries_together_find_what_scoring_all_finds(monkeypatch, heads):
     ptr = np.concatenate(([0], np.cumsum([len(terms[q]) for q in asked])))
     weights = np.concatenate([idf[terms[q].astype(int)] * counts[q] for q in asked])
     best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+    room = {}
     for a in range(0, n, 300):
         ids = np.arange(a, a + 300) * 10
-        index = search.with_heads(search.build(ids, terms[a : a + 300], counts[a : a + 300], mean))
+        index = search.with_heads(search.build(ids, terms[a : a + 300], counts[a : a + 300], mean), room)
         known, place = np.unique(flat, return_inverse=True)
         at, own, ends = search.found_by(search.places(index, known)[place], weights, ptr)
-        opened, pivots = search.advance(index, at, own, ends, k, best)
+        opened, pivots = search.advance(index, at, own, ends, k, best, room=room)
         assert 0 < pivots < len(asked) * 300 and opened <= len(asked) * 5
     dense = np.zeros((n, 600))
     for d in range(n):
@@ -100,6 +101,20 @@ def test_a_small_rest_of_documents_is_no_shard_of_its_own(tmp_path, monkeypatch)
         assert sum(r["words"] for r in rows) == 2 * n
 
 
+def test_queries_of_a_kind_come_together():
+    rng = np.random.default_rng(4)
+    kind = rng.integers(0, 3, 400)
+    docs = [np.unique(rng.zipf(1.3, 40) % 200 + 1000 * c, return_counts=True) for c in kind]
+    terms, counts = [d[0].astype(np.uint64) for d in docs], [d[1].astype(np.uint32) for d in docs]
+    index = search.with_heads(search.build(np.arange(400), terms, counts, 40.0))
+    ptr = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    flat = np.concatenate(terms)
+    at = search.places(index, np.unique(flat))[np.unique(flat, return_inverse=True)[1]]
+    order = search.kinds(index, *search.found_by(at, np.ones(len(flat)), ptr))
+    assert sorted(order.tolist()) == list(range(400))
+    assert (np.diff(kind[order]) != 0).sum() < 40 < (np.diff(kind) != 0).sum()
+
+
 def test_scores_that_round_to_nothing_are_results(spark):
     docs = spark.createDataFrame([(i, "x") for i in range(3)], "doc_id long, text string")
     found = search.search(docs, docs.selectExpr("doc_id as query_id", "text"), k=2).orderBy("query_id", "rank").collect()
